@@ -1,0 +1 @@
+"""Intentionally empty: every job this package covers is load-all, write-all batch work (see README)."""
