@@ -78,23 +78,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _by_lang(value) -> Column:
-    """One literal per language."""
-    out = None
-    for lang in LANGS:
-        out = F.when(F.col("lang") == lang, value(variant(lang))) if out is None else out.when(
-            F.col("lang") == lang, value(variant(lang)))
-    return out
+def _by_lang(value, kind: str) -> Column:
+    """One literal per language, `value` giving nested lists or None."""
+    cases = " ".join(f"WHEN '{lang}' THEN {_literal(value(variant(lang)))}" for lang in LANGS)
+    return F.expr(f"CAST(CASE lang {cases} END AS {kind})")
 
 
-def _strings(items: list[str] | None) -> Column:
-    return F.lit(None).cast("array<string>") if items is None else F.array(*[F.lit(i) for i in items])
+def _literal(x) -> str:
+    if x is None:
+        return "NULL"
+    if isinstance(x, list | tuple):
+        return f"array({', '.join(_literal(i) for i in x)})"
+    return str(x) if isinstance(x, int) else f"'{x}'"
 
 
-def _pairs(items: list[tuple[int, str]] | None) -> Column:
-    if items is None:
-        return F.lit(None).cast("array<array<string>>")
-    return F.array(*[F.array(F.lit(str(i)), F.lit(n)) for i, n in items])
+def _texts_of(items: list[tuple[int, str]] | None):
+    return None if items is None else [(str(i), n) for i, n in items]
 
 
 def db_name(c) -> Column:
@@ -103,13 +102,14 @@ def db_name(c) -> Column:
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One schema entry per document."""
+    names, pairs = "array<string>", "array<array<string>>"
     return table(spark, sf_dir, "documents").select(
         db_name("doc_id").alias("db_id"),
-        _by_lang(lambda v: _strings(v.canonical_tables)).alias("table_names"),
-        _by_lang(lambda v: _strings(v.original_tables)).alias("table_names_original"),
-        _by_lang(lambda v: _pairs(v.canonical_columns)).alias("column_names"),
-        _by_lang(lambda v: _pairs(v.original_columns)).alias("column_names_original"),
-        _by_lang(lambda v: F.array(*[F.array(*[F.lit(x) for x in p]) for p in v.links])).alias("foreign_keys"))
+        _by_lang(lambda v: v.canonical_tables, names).alias("table_names"),
+        _by_lang(lambda v: v.original_tables, names).alias("table_names_original"),
+        _by_lang(lambda v: _texts_of(v.canonical_columns), pairs).alias("column_names"),
+        _by_lang(lambda v: _texts_of(v.original_columns), pairs).alias("column_names_original"),
+        _by_lang(lambda v: v.links, "array<array<int>>").alias("foreign_keys"))
 
 
 # Files of each database: the seven tables, a second spelling of one, and the shared canonical name.
@@ -123,15 +123,18 @@ def description_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     Sentence i goes to file i mod 9, where it is row i div 9 and describes the column of that number, going round.
     Some rows name the column by its readable name only, some carry no text.
     """
-    names = lambda which: F.array(*[F.array(*[F.lit(c[which]) for c in cols]) for cols in FILE_COLUMNS])
     n_files = len(FILES)
-    nth = lambda which: F.get(F.get(names(which), F.col("f")), F.col("row_no") % F.size(F.get(names(which), F.col("f"))))
+
+    def nth(which: int) -> Column:
+        names = f"get({_literal([[c[which] for c in cols] for cols in FILE_COLUMNS])}, f)"
+        return F.expr(f"get({names}, row_no % size({names}))")
+
     sentences = (table(spark, sf_dir, "documents")
                  .select(db_name("doc_id").alias("db_id"), F.posexplode(F.split("text", r"[.\n]+", -1)).alias("i", "s"))
                  .select("db_id", "i", "s", (F.col("i") % n_files).alias("f"),
                          F.expr(f"cast(i div {n_files} as int)").alias("row_no")))
     return sentences.select(
-        "db_id", F.get(F.array(*[F.lit(f) for f in FILES]), F.col("f")).alias("file"), "row_no",
+        "db_id", F.expr(f"get({_literal(FILES)}, f)").alias("file"), "row_no",
         F.when(F.col("i") % 5 == 3, "").when(F.col("i") % 5 == 1, F.upper(nth(0))).otherwise(nth(0))
         .alias("original_column_name"),
         nth(1).alias("column_name"),
