@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from schemaloom.operators.joins import spread
+
 # Fixed values: (original table, readable table, [(original column, readable column), ...])
 SCHEMA = [
     ("region", "region", [("r_regionkey", "region key"), ("r_name", "name")]),
@@ -129,7 +131,7 @@ def description_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         names = f"get({_literal([[c[which] for c in cols] for cols in FILE_COLUMNS])}, f)"
         return F.expr(f"get({names}, row_no % size({names}))")
 
-    sentences = (table(spark, sf_dir, "documents")
+    sentences = (spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
                  .select(db_name("doc_id").alias("db_id"), F.posexplode(F.split("text", r"[.\n]+", -1)).alias("i", "s"))
                  .select("db_id", "i", "s", (F.col("i") % n_files).alias("f"),
                          F.expr(f"cast(i div {n_files} as int)").alias("row_no")))
@@ -187,7 +189,9 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql = None
     for i, text in enumerate(_texts()):
         sql = F.when(shape == i, text) if sql is None else sql.when(shape == i, text)
-    return table(spark, sf_dir, "orders").select(
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    return spread(orders).select(
         F.col("o_orderkey").alias("question_id"), db_name("o_custkey").alias("db_id"),
         F.concat(F.lit("Question "), F.col("o_orderkey").cast("string"), F.lit(" about "),
                  F.col("o_orderpriority")).alias("question_en"),

@@ -32,3 +32,9 @@ def lookup_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "le
     shuffled into a sort-merge join, where adaptive execution cuts a hot key's partition into pieces.
     """
     return rows.join(F.broadcast(table) if small else table.hint("merge"), on, how)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, for work that is heavy per row; tables with enough splits are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
