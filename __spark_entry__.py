@@ -172,20 +172,26 @@ def using_natural(spark, d):
 # --- graphs -----------------------------------------------------------------------------------------------------------
 
 def gold_edges(spark, d):
-    return graph.gold_edges(W.query_log(spark, d), _catalog(spark, d))
+    return graph.gold_edges(refs.query_facts(W.query_log(spark, d)), _catalog(spark, d))
+
+
+def _log_and_facts(spark, d):
+    """The log, and what was read out of its text, written once for the steps that share it."""
+    log = W.query_log(spark, d)
+    return log, sinks.staged(refs.query_facts(log), sinks.shared_folder(spark))
 
 
 def resolve_tables(spark, d):
-    return graph.gold_nodes(W.query_log(spark, d), _names(spark, d))
+    return graph.gold_nodes(*_log_and_facts(spark, d), _names(spark, d))
 
 
 def gold_nodes(spark, d):
     c = _catalog(spark, d)
-    return graph.node_columns(graph.gold_nodes(W.query_log(spark, d), c), c)
+    return graph.node_columns(graph.gold_nodes(*_log_and_facts(spark, d), c), c)
 
 
 def _records(spark, d):
-    return graph.gold_records(W.query_log(spark, d), _catalog(spark, d))
+    return graph.gold_records(*_log_and_facts(spark, d), _catalog(spark, d))
 
 
 def gold_context(spark, d):

@@ -105,7 +105,7 @@ def db_name(c) -> Column:
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One schema entry per document."""
     names, pairs = "array<string>", "array<array<string>>"
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "lang")).select(
         db_name("doc_id").alias("db_id"),
         _by_lang(lambda v: v.canonical_tables, names).alias("table_names"),
         _by_lang(lambda v: v.original_tables, names).alias("table_names_original"),

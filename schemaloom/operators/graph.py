@@ -10,7 +10,6 @@ from schemaloom.functions.text import edge_line, filled, first_filled, labelled,
 from schemaloom.operators import catalog as cat
 from schemaloom.operators.catalog import Catalog
 from schemaloom.operators.enrich import FK_ENDS
-from schemaloom.operators.refs import named_tables, natural_joins, read_log, stated_edges
 
 
 def in_catalog(log: DataFrame, catalog: Catalog) -> DataFrame:
@@ -46,20 +45,20 @@ def shared_columns(pairs: DataFrame, catalog: Catalog) -> DataFrame:
                      ["db_id", "right_table", "name"], "left_semi")
 
 
-def gold_edges(log: DataFrame, catalog: Catalog, key: str = "question_id", sql: str = "SQL") -> DataFrame:
+def gold_edges(facts: DataFrame, catalog: Catalog, key: str = "question_id") -> DataFrame:
     """(key, db_id, pos, four names, description): the equality joins of each query, each once.
 
     Edges point the way they are written. What the text states needs no shuffle; NATURAL joins, which need the
     catalog to name their columns, are worked out only for the queries that have one.
     """
     keep = [key, "db_id"]
-    # The exploded value is worked out in place, and databases are checked afterwards: a filter on an array that
-    # was computed earlier would be pushed down and compute it twice.
-    stated = read_log(log, sql).select(*keep, F.posexplode(stated_edges()).alias("pos", "e")).select(*keep, "pos", "e.*")
+    # The array is exploded through an expression: Spark would push its own non-empty test on a plain column
+    # below the step that reads the SQL text, and read it twice.
+    whole = F.filter("edges", lambda e: (e["child_table"] != "") & (e["parent_table"] != ""))
+    stated = facts.select(*keep, F.posexplode(whole).alias("pos", "e")).select(*keep, "pos", "e.*")
 
-    natural = (read_log(log.filter(F.contains(F.upper(sql), F.lit("NATURAL"))), sql)
-               .select(*keep, "equalities", "sources", "aliases", F.explode(natural_joins()).alias("j"))
-               .select(*keep, stated_edges().alias("edges"), "j.*"))
+    natural = (facts.filter("maybe_natural")
+               .select(*keep, "edges", F.explode(F.array_distinct("natural")).alias("j")).select(*keep, "edges", "j.*"))
     shared = shared_columns(natural, catalog)
     implied = (natural.join(shared.hint("merge"), ["db_id", "left_table", "right_table"])
                .select(*keep, "edges", F.struct(
@@ -68,8 +67,8 @@ def gold_edges(log: DataFrame, catalog: Catalog, key: str = "question_id", sql:
                .filter(~F.array_contains("edges", F.col("e")))
                .select(*keep, F.size("edges").alias("pos"), "e.*"))
 
-    edges = stated.unionByName(implied).filter("child_table <> '' and parent_table <> ''")
-    found = catalog.lookup(in_catalog(edges, catalog), fk_lookup(catalog), ["db_id", *FK_ENDS])
+    edges = in_catalog(stated.unionByName(implied), catalog)
+    found = catalog.lookup(edges, fk_lookup(catalog), ["db_id", *FK_ENDS])
     return found.select(*keep, "pos", *FK_ENDS, filled(F.col("description")).alias("description"))
 
 
@@ -83,16 +82,15 @@ def _name_index(catalog: Catalog) -> DataFrame:
     return names.unionByName(owners)
 
 
-def resolve_names(log: DataFrame, catalog: Catalog, key: str = "question_id", sql: str = "SQL") -> DataFrame:
+def resolve_names(facts: DataFrame, catalog: Catalog, key: str = "question_id") -> DataFrame:
     """(key, db_id, table_name, canonical): tables a query names, refers to, or implies by a bare column.
 
     `table_name` is the name as written, so two spellings are two rows.
     """
     item = lambda kind, k, name: F.struct(F.lit(kind).alias("kind"), k.alias("name_key"), name.alias("name"))
-    items = F.concat(F.transform(named_tables(), lambda n: item("table", F.lower(n), n)),
+    items = F.concat(F.transform("names", lambda n: item("table", F.lower(n), n)),
                      F.transform("words", lambda w: item("column", w, w)))
-    asked = (read_log(log, sql).select(key, "db_id", F.explode(items).alias("i"))
-             .select(key, "db_id", "i.*"))
+    asked = facts.select(key, "db_id", F.explode(items).alias("i")).select(key, "db_id", "i.*")
     hits = catalog.lookup(asked, _name_index(catalog), ["db_id", "kind", "name_key"], "inner")
     return (hits.select(key, "db_id",
                         F.coalesce("owner", "name").alias("table_name"),
@@ -122,14 +120,17 @@ def words_as_tables(log: DataFrame, catalog: Catalog, key: str = "question_id",
             .select(key, "db_id", "table_name", F.col("table_name").alias("canonical")))
 
 
-def gold_nodes(log: DataFrame, catalog: Catalog, key: str = "question_id", sql: str = "SQL") -> DataFrame:
+def gold_nodes(log: DataFrame, facts: DataFrame, catalog: Catalog, key: str = "question_id",
+               sql: str = "SQL") -> DataFrame:
     """(key, db_id, table_name, canonical): the tables of each query's graph.
 
     Queries whose text gives no table at all fall back to schema tables named anywhere in it.
     """
-    named = resolve_names(log, catalog, key, sql)
-    left_over = (in_catalog(log.select(key, "db_id", sql), catalog)
-                 .join(named.select(key).distinct(), key, "left_anti"))
+    named = resolve_names(facts, catalog, key)
+    # Counting a column of `named` keeps both uses of it alike, so that its shuffle is done once.
+    found = named.groupBy(key).agg(F.max("canonical").alias("some")).select(key, "some")
+    left_over = in_catalog(log.select(key, "db_id", sql), catalog).join(found, key, "left").filter("some is null").drop(
+        "some")
     return named.unionByName(words_as_tables(left_over, catalog, key, sql))
 
 
@@ -165,10 +166,11 @@ def context_text(nodes, edges):
     return F.array_join(F.concat(node_lines, head, edge_lines), "\n")
 
 
-def gold_records(log: DataFrame, catalog: Catalog, key: str = "question_id", sql: str = "SQL") -> DataFrame:
+def gold_records(log: DataFrame, facts: DataFrame, catalog: Catalog, key: str = "question_id",
+                 sql: str = "SQL") -> DataFrame:
     """One record per question of a known database: the question, its graph and the context text."""
-    edges = gold_edges(log, catalog, key, sql)
-    graphs = gold_graphs(gold_nodes(log, catalog, key, sql), edges, catalog, key)
+    edges = gold_edges(facts, catalog, key)
+    graphs = gold_graphs(gold_nodes(log, facts, catalog, key, sql), edges, catalog, key)
     column = lambda c: F.col(c) if c in log.columns else F.lit(None).cast("string")
     questions = in_catalog(log.select(
         key, "db_id", first_filled(column("question_en"), column("question")).alias("question_en"),

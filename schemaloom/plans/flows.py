@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from schemaloom.operators import catalog as cat
-from schemaloom.operators import enrich, graph, records
+from schemaloom.operators import enrich, graph, records, refs
 from schemaloom.operators.joins import fits_broadcast
 from schemaloom.sources import descriptions, json_docs, sinks
 
@@ -39,8 +39,8 @@ def build_gold_graphs(spark: SparkSession, entries_path: str, roots: list[str],
     catalog = enrich.enriched_catalog(entries, rows, small)
     files = [json_docs.read_questions(spark, p) for p in question_paths]
     log = records.file_ordinal(records.union_files(*files)).withColumnRenamed("idx", "record_key")
-    done = graph.gold_records(log, catalog, key="record_key")
-    sinks.write_json(done, out)
+    facts = sinks.staged(refs.query_facts(log, "record_key"), sinks.shared_folder(spark))
+    sinks.write_json(graph.gold_records(log, facts, catalog, "record_key"), out)
 
 
 def prepare_translation(spark: SparkSession, question_path: str, out: str, stem: str, parts: int = 4) -> DataFrame:
