@@ -77,7 +77,7 @@ def decode_files(spark, d):
     # Characters that Latin-1 lacks leave a document in UTF-8.
     narrow = F.regexp_like(text, F.lit(r"^[\x00-\x7f\xa0-\xff]*$"))
     content = (F.when((kind == 0) & narrow, F.encode(text, "ISO-8859-1"))
-               .when(kind == 1, F.encode(F.concat(F.lit("﻿"), text), "UTF-8")).otherwise(F.encode(text, "UTF-8")))
+               .when(kind == 1, F.encode(F.concat(F.lit("\ufeff"), text), "UTF-8")).otherwise(F.encode(text, "UTF-8")))
     return (t(spark, d, "documents").select("doc_id", content.alias("content"))
             .select("doc_id", encodings.decode_best(F.col("content")).alias("text")))
 

@@ -29,7 +29,7 @@ def decode_best(content: Column) -> Column:
     """The text of a file; a byte-order mark is dropped."""
     as_latin = F.decode(content, "ISO-8859-1")
     encoding = encoding_of(content)
-    return (F.when(encoding == "utf-8", F.regexp_replace(content.cast("string"), "^﻿", ""))
+    return (F.when(encoding == "utf-8", F.regexp_replace(content.cast("string"), "^\ufeff", ""))
             .when(encoding == "cp1252", F.translate(as_latin, _LATIN, _WINDOWS)).otherwise(as_latin))
 
 
