@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schemaloom.functions.text import norm_alnum
-from schemaloom.operators.joins import lookup_join
+from schemaloom.operators.joins import salted_lookup_join
 
 ENTRY_SCHEMA = ("db_id string, table_names array<string>, table_names_original array<string>, "
                 "column_names array<array<string>>, column_names_original array<array<string>>, "
@@ -196,7 +196,7 @@ class Catalog:
         return self.tables.select("db_id").distinct()
 
     def lookup(self, rows: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-        return lookup_join(rows, table, on, how, self.small)
+        return salted_lookup_join(rows, table, on, how, self.small)
 
     def column_lists(self) -> DataFrame:
         """(db_id, table_name, columns) for every canonical table, borrowed lists included."""

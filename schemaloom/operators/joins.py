@@ -34,6 +34,26 @@ def lookup_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "le
     return rows.join(F.broadcast(table) if small else table.hint("merge"), on, how)
 
 
+# Copies of a lookup on the shuffle path.
+SALTS = 4
+
+
+def salted_lookup_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left",
+                       small: bool = False) -> DataFrame:
+    """`lookup_join` for rows of which very many may share one key.
+
+    Beyond broadcast size a key's rows are dealt out by a hash of their other columns and meet one copy of the lookup
+    each. The salt also makes Spark shuffle the lookup for this join, instead of taking over the partitioning of the
+    aggregate that built it; only then can adaptive execution split what is still too large.
+    """
+    others = [c for c in rows.columns if c not in on]
+    if small or not others:
+        return lookup_join(rows, table, on, how, small)
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return lookup_join(dealt, copies, [*on, "_salt"], how).drop("_salt")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores, for work that is heavy per row; tables with enough splits are left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
