@@ -171,16 +171,16 @@ def using_natural(spark, d):
 
 # --- graphs -----------------------------------------------------------------------------------------------------------
 
-def gold_edges(spark, d):
-    return graph.gold_edges(refs.query_facts(W.query_log(spark, d)), _catalog(spark, d))
-
-
 def _log_and_facts(spark, d):
     """The log, and what was read out of its text, written once for the steps that share it."""
     log = W.query_log(spark, d)
     return log, sinks.staged(refs.query_facts(log), sinks.shared_folder(spark))
 
 
+def gold_edges(spark, d):
+    return graph.gold_edges(_log_and_facts(spark, d)[1], _catalog(spark, d))
+
+
 def resolve_tables(spark, d):
     return graph.gold_nodes(*_log_and_facts(spark, d), _names(spark, d))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from test_enrich import ROWS, entries, entry
 
 from schemaloom.operators import browse, catalog, enrich, graph, joins, refs
+from schemaloom.sources import sinks
 
 SHOP = entry("shop", tables=("client", "account", "district"), columns=(
     (-1, "*"), (0, "client_id"), (0, "district_id"), (0, "birth"), (1, "account_id"), (1, "district_id"),
@@ -17,14 +18,19 @@ def shop(spark, small=True, item=SHOP):
     return enrich.enriched_catalog(entries(spark, item), spark.createDataFrame(TEXTS, ROWS), small)
 
 
-def log(spark, *sqls, db="shop"):
-    return spark.createDataFrame([(i, db, f"q{i}", s) for i, s in enumerate(sqls)],
-                                 "question_id long, db_id string, question string, SQL string")
+def log(spark, *sqls):
+    """The texts as a log of one database, after a query of an unknown one."""
+    asked = [(99, "elsewhere", "q", "SELECT 1 FROM client")] + [(i, "shop", f"q{i}", s) for i, s in enumerate(sqls)]
+    return spark.createDataFrame(asked, "question_id long, db_id string, question string, SQL string")
+
+
+def facts_of(spark, q):
+    return sinks.staged(refs.query_facts(q), sinks.shared_folder(spark))
 
 
 def nodes(spark, *sqls, small=True, item=SHOP):
     q = log(spark, *sqls)
-    return rows(graph.gold_nodes(q, refs.query_facts(q), shop(spark, small, item)), "question_id", "table_name")
+    return rows(graph.gold_nodes(q, facts_of(spark, q), shop(spark, small, item)), "question_id", "table_name")
 
 
 CLIENT_FK = "client.district_id references district.district_id."
@@ -64,9 +70,8 @@ CASES = [
 
 @pytest.mark.parametrize("small", [True, False])
 def test_edges_and_nodes(spark, small):
-    q = log(spark, *[c[0] for c in CASES]).unionByName(
-        log(spark, "SELECT 1 FROM client", db="elsewhere").withColumn("question_id", F.lit(99).cast("long")))
-    c, facts = shop(spark, small), refs.query_facts(q)
+    q = log(spark, *[c[0] for c in CASES])
+    c, facts = shop(spark, small), facts_of(spark, q)
     edges, nodes = defaultdict(list), defaultdict(list)
     for k, *edge in rows(graph.gold_edges(facts, c), "question_id", *graph.FK_ENDS, "description"):
         edges[k].append(tuple(edge))
@@ -85,7 +90,7 @@ def test_fallback_to_words_only_without_any_node(spark):
 
 def test_records_and_context_text(spark):
     q = log(spark, "SELECT 1 FROM client c JOIN district d ON c.district_id = d.district_id", "SELECT 1", None)
-    done = graph.gold_records(q, refs.query_facts(q), shop(spark))
+    done = graph.gold_records(q, facts_of(spark, q), shop(spark))
     done = spark.createDataFrame(done.collect(), done.schema)
     got = done.orderBy("question_id").collect()
     assert got[0]["context_text"] == (
