@@ -18,6 +18,13 @@ from schemaloom.operators import browse, catalog, enrich, extremes, graph, recor
 from schemaloom.operators.joins import fits_broadcast  # noqa: E402
 from schemaloom.sources import descriptions, encodings, json_docs, sinks  # noqa: E402
 
+try:  # the training-text operators are a part of their own and may be missing
+    from schemaloom.llm import expected_sql as LLM_SQL
+    from schemaloom.llm import queries as LLM
+    import corpus_pipeline as _  # noqa: F401
+except ImportError:
+    LLM = LLM_SQL = None
+
 t = W.table
 
 
@@ -391,6 +398,10 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return _own_queries() | (LLM.queries() if LLM else {})
+
+
+def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "norm_key": norm_key,
         "norm_alnum": norm_alnum,
@@ -474,6 +485,10 @@ _DAY = "strftime(o_orderdate, '%Y-%m-%d')"
 
 
 def oracle_sql() -> dict[str, str]:
+    return _own_sql() | (LLM_SQL.oracle_sql() if LLM else {})
+
+
+def _own_sql() -> dict[str, str]:
     log = X.sql
     return {
         "norm_key": f"""SELECT 'document' AS kind, doc_id AS id, {X.NORM('text')} AS name_key FROM documents UNION ALL
