@@ -40,7 +40,8 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, margin: float = MA
               .withColumn("likely", F.col("sites") >= min_sites * (1 - margin)))
     listed = staged(spread.where(F.col("likely") | (F.col("n") >= HEAVY)))
     sure = listed.select("h1", "h2", "likely", (F.col("sites") > min_sites * (1 + margin)).alias("sure"), "n")
-    found = staged(lookup(lines, sure, ["h1", "h2"], "n", seen.get["rows"], "inner").where("likely").drop("likely"))
+    rows = 0 if listed.isEmpty() else seen.get["rows"]  # a plan without rows may be cut before it is observed
+    found = staged(lookup(lines, sure, ["h1", "h2"], "n", rows, "inner").where("likely").drop("likely"))
     total = listed.where("likely").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     lines_out = (found.groupBy("h1", "h2")
                  .agg(F.max("sure").alias("sure"), F.countDistinct(F.when(~F.col("sure"), F.col("site"))).alias("exact"),

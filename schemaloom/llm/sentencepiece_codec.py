@@ -107,8 +107,10 @@ class Codec:
                 elif score[end] is None or score[start] + s > score[end]:
                     score[end], back[end] = score[start] + s, start
             # a character without a piece of its own stands alone
-            if score[end - 1] is not None and score[end] is None and unit[end - 1] not in self.ids:
-                score[end], back[end] = score[end - 1] + self.floor, end - 1
+            if score[end - 1] is not None and unit[end - 1] not in self.ids:
+                alone = score[end - 1] + self.floor
+                if score[end] is None or not self.v.bpe and alone > score[end]:
+                    score[end], back[end] = alone, end - 1
         out, end = [], n
         while end:
             out.append(unit[back[end]:end])
