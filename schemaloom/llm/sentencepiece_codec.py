@@ -9,10 +9,12 @@ segmentation exists per prefix, and it is the one that merging finds.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,8 +58,14 @@ class Codec:
         across = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         line = "\n" if not any("\n" in p for p in self.ids) else ""
         self.units = re.compile(r"(?s).+") if across else re.compile(f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+" + (f"|{line}" if line else ""))
-        self.seen: dict[str, list[int]] = {}
+        self.single = {p for p in self.ids if len(p) == 1}
+        self.seen: dict[str, array] = {}
+        self.before: dict[str, array] = {}  # what was remembered before `seen` was last full
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.follows: dict[int, bool] = {}
+        text = {"byte": lambda p: bytes([int(p[3:5], 16)]), "normal": lambda p: p.replace(SPACE, " ").encode("utf-8", "surrogatepass"),
+                "unknown": lambda p: " ⁇ ".encode(), "control": lambda p: b""}
+        self.raw = [text[k](p) for k, p in zip(v.kinds, v.pieces)]
 
     def _fallback(self, char: str) -> list[int]:
         raw = char.encode("utf-8", "surrogatepass")
@@ -117,73 +125,122 @@ class Codec:
             end = back[end]
         return out[::-1]
 
-    def _unit(self, unit: str) -> list[int]:
-        found = self.seen.get(unit)
+    def _known(self, unit: str) -> array | None:
+        """`_segment` for BPE and a unit whose characters all are pieces: the same pass, over ids."""
+        pieces, follows, many = self.v.pieces, self.follows, len(self.v.pieces)
+        last, back = [-1] * (len(unit) + 1), [0] * (len(unit) + 1)
+        for end, (i, size, _) in self.automaton.iter(unit):
+            if last[end + 1] >= 0:
+                continue
+            start = end + 1 - size
+            a = last[start] if start else many
+            if a < 0:
+                continue
+            pair = a * many + i
+            ok = follows.get(pair)
+            if ok is None:
+                if len(follows) > REMEMBERED:
+                    follows.clear()
+                ok = follows[pair] = self._neighbours(pieces[a] if start else "", pieces[i])
+            if ok:
+                last[end + 1], back[end + 1] = i, start
+        out, end = array("i"), len(unit)
+        while end:
+            if last[end] < 0:
+                return None
+            out.append(last[end])
+            end = back[end]
+        out.reverse()
+        return out
+
+    def _unit(self, unit: str) -> array:
+        found = self.before.get(unit)
+        if found is None and self.v.bpe and self.single.issuperset(unit):
+            found = self._known(unit)
         if found is None:
-            found = []
+            found = array("i")
             for p in self._segment(unit):
                 i = self.ids.get(p)
-                found += [i] if i is not None else self._fallback(p)
-            if len(unit) <= LONGEST:
-                if len(self.seen) > REMEMBERED:
-                    self.seen.clear()
-                self.seen[unit] = found
+                found.extend([i] if i is not None else self._fallback(p))
+        if len(unit) <= LONGEST:
+            if len(self.seen) > REMEMBERED:
+                self.before, self.seen = self.seen, {}
+            self.seen[unit] = found
         return found
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def ids_of(self, text: str) -> array:
+        out = array("i")
         if not text:
             return out
+        unit = self._unit
         # the space mark itself, found in a text, is written as bytes, so that it does not come back as a space
         for k, part in enumerate(text.split(SPACE) if self.bytes else [text]):
             if k:
-                out += self._fallback(SPACE)
+                out.extend(self._fallback(SPACE))
             part = part.replace(" ", SPACE)
             if not k and self.v.dummy_prefix:
                 part = SPACE + part
             for u in self.units.findall(part):
-                out += self._unit(u)
+                out.extend(self.seen.get(u) or unit(u))
         return out
 
+    def encode(self, text: str) -> list[int]:
+        return self.ids_of(text).tolist()
+
     def decode(self, ids: list[int]) -> str:
-        raw = bytearray()
-        for i in ids:
-            kind, p = self.v.kinds[i], self.v.pieces[i]
-            if kind == "byte":
-                raw.append(int(p[3:5], 16))
-            elif kind == "normal":
-                raw += p.replace(SPACE, " ").encode("utf-8", "surrogatepass")
-            elif kind == "unknown":
-                raw += " ⁇ ".encode()
-        if self.v.dummy_prefix and raw[:1] == b" ":
-            del raw[:1]
-        return raw.decode("utf-8", "replace")
+        raw = b"".join(map(self.raw.__getitem__, ids))
+        return (raw[1:] if self.v.dummy_prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
+
+
+#: The codec of a worker process, with what it remembers, and the broadcast it was made from.
+_MADE: list = []
+
+
+def _codec(shared) -> Codec:
+    vocabulary = shared.value  # one object per process and broadcast
+    if not _MADE or _MADE[0] is not vocabulary:
+        _MADE[:] = [vocabulary, Codec(vocabulary)]
+    return _MADE[1]
+
+
+def _encoded(codec: Codec, column: pa.Array) -> pa.Array:
+    ids, ends, gone = array("i"), [0], []
+    for t in column.to_pylist():
+        if t is not None:
+            ids.extend(codec.ids_of(t))
+        gone.append(t is None)
+        ends.append(len(ids))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)), mask=pa.array(gone, pa.bool_()))
+
+
+def _decoded(codec: Codec, column: pa.Array) -> pa.Array:
+    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
+    return pa.array([codec.decode(values[a:b].tolist()) if there else None
+                     for a, b, there in zip(ends, ends[1:], column.is_valid().to_pylist())], pa.string())
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
     """`docs` with the ids of `text` in a new last column (in place of one of that name). Null texts have null ids."""
-    return _mapped(docs.drop(ids), vocabulary, text, ids, "array<int>", pa.list_(pa.int32()), Codec.encode)
+    return _mapped(docs.drop(ids), vocabulary, text, ids, "array<int>", _encoded)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """`encoded` with the text of `ids` in a new last column (in place of one of that name). Null ids give null."""
-    return _mapped(encoded.drop(text), vocabulary, ids, text, "string", pa.string(), Codec.decode)
+    return _mapped(encoded.drop(text), vocabulary, ids, text, "string", _decoded)
 
 
-def _mapped(df: DataFrame, vocabulary: Vocabulary, source: str, target: str, kind: str, arrow: pa.DataType, how) -> DataFrame:
+def _mapped(df: DataFrame, vocabulary: Vocabulary, source: str, target: str, kind: str, how) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)  # the model's pieces
-    at = df.columns.index(source)
+    at, names = df.columns.index(source), [*df.columns, target]
     schema = df.withColumn(target, F.lit(None).cast(kind)).schema
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = _codec(shared)
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 b = whole.slice(start, 256)
-                out = [None if x is None else how(codec, x) for x in b.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, arrow)], [*df_names, target])
+                yield pa.RecordBatch.from_arrays([*b.columns, how(codec, b.column(at))], names)
 
-    df_names = list(df.columns)
     return df.mapInArrow(mapped, schema)
 
 
