@@ -15,7 +15,6 @@ from checks import expected as X  # noqa: E402
 from checks import workload as W  # noqa: E402
 from schemaloom.functions import text as T  # noqa: E402
 from schemaloom.operators import browse, catalog, enrich, extremes, graph, records, refs  # noqa: E402
-from schemaloom.operators.joins import fits_broadcast  # noqa: E402
 from schemaloom.sources import descriptions, encodings, json_docs, sinks  # noqa: E402
 
 try:  # the training-text operators are a part of their own and may be missing
@@ -28,21 +27,12 @@ except ImportError:
 t = W.table
 
 
-def _small(spark: SparkSession, d: str, *, described: bool) -> bool:
-    """May lookups derived from the schema entries (and their descriptions) be broadcast?"""
-    inputs = [W.entries(spark, d)]
-    if described:
-        inputs.append(t(spark, d, "documents").select("text"))
-    return fits_broadcast(*inputs)
-
-
 def _catalog(spark: SparkSession, d: str) -> catalog.Catalog:
-    return enrich.enriched_catalog(W.entries(spark, d), W.description_rows(spark, d),
-                                   _small(spark, d, described=True))
+    return enrich.enriched_catalog(W.entries(spark, d), W.description_rows(spark, d))
 
 
 def _names(spark: SparkSession, d: str) -> catalog.Catalog:
-    return catalog.plain_catalog(W.entries(spark, d), _small(spark, d, described=False))
+    return catalog.plain_catalog(W.entries(spark, d))
 
 
 def _described(spark: SparkSession, d: str) -> DataFrame:
@@ -149,13 +139,13 @@ def column_descriptions(spark, d):
 
 def fk_descriptions(spark, d):
     c = _catalog(spark, d)
-    return enrich.fk_descriptions(catalog.foreign_keys(W.entries(spark, d)), c.described, c.small)
+    return enrich.fk_descriptions(catalog.foreign_keys(W.entries(spark, d)), c.described)
 
 
 def _report(spark, d, by_db):
     c = _catalog(spark, d)
     entries = W.entries(spark, d)
-    fks = enrich.fk_descriptions(catalog.foreign_keys(entries), c.described, c.small)
+    fks = enrich.fk_descriptions(catalog.foreign_keys(entries), c.described)
     return enrich.enrichment_report(entries, fks, c.described, by_db)
 
 
@@ -163,7 +153,7 @@ def nested_entries(spark, d):
     """Per database: how many descriptions the written entry carries, and their text in order."""
     c = _catalog(spark, d)
     entries = W.entries(spark, d)
-    fks = enrich.fk_descriptions(catalog.foreign_keys(entries), c.described, c.small)
+    fks = enrich.fk_descriptions(catalog.foreign_keys(entries), c.described)
     return enrich.nested_entries(entries, fks, c.described).select(
         "db_id", F.size("column_descriptions").alias("n_columns"),
         F.array_join("column_descriptions", "|").alias("column_descriptions"),
@@ -178,27 +168,30 @@ def using_natural(spark, d):
 
 # --- graphs -----------------------------------------------------------------------------------------------------------
 
-def _log_and_facts(spark, d):
-    """The log, and what was read out of its text, written once for the steps that share it."""
-    log = W.query_log(spark, d)
+def _log_and_facts(spark, d, c):
+    """The log of known databases, and what was read out of its text, each written once for the steps that share it."""
+    log = sinks.staged(graph.in_catalog(W.query_log(spark, d), c), sinks.shared_folder(spark))
     return log, sinks.staged(refs.query_facts(log), sinks.shared_folder(spark))
 
 
 def gold_edges(spark, d):
-    return graph.gold_edges(_log_and_facts(spark, d)[1], _catalog(spark, d))
+    c = _catalog(spark, d)
+    return graph.gold_edges(_log_and_facts(spark, d, c)[1], c)
 
 
 def resolve_tables(spark, d):
-    return graph.gold_nodes(*_log_and_facts(spark, d), _names(spark, d))
+    c = _names(spark, d)
+    return graph.gold_nodes(*_log_and_facts(spark, d, c), c)
 
 
 def gold_nodes(spark, d):
     c = _catalog(spark, d)
-    return graph.node_columns(graph.gold_nodes(*_log_and_facts(spark, d), c), c)
+    return graph.node_columns(graph.gold_nodes(*_log_and_facts(spark, d, c), c), c)
 
 
 def _records(spark, d):
-    return graph.gold_records(*_log_and_facts(spark, d), _catalog(spark, d))
+    c = _catalog(spark, d)
+    return graph.gold_records(*_log_and_facts(spark, d, c), c)
 
 
 def gold_context(spark, d):
@@ -221,7 +214,7 @@ def customer_edges(spark, d):
 
 
 def neighbourhood(spark, d):
-    return graph.neighbourhood(customer_edges(spark, d).select("src", "dst"), "c7")
+    return graph.neighbourhood(_customers(spark, d), customer_edges(spark, d).select("src", "dst"), "c7")
 
 
 def _customers(spark, d):
@@ -237,6 +230,11 @@ def graph_filter_edges(spark, d):
     return graph.ends_of_edges_with(customer_edges(spark, d), "l_returnflag", ["R"])
 
 
+def visible_vertices(spark, d):
+    """Customers of two segments, with or without an order."""
+    return graph.visible_vertices(_customers(spark, d), graph_filter(spark, d)).select("vertex")
+
+
 def visible_subgraph(spark, d):
     suppliers = t(spark, d, "supplier").filter("s_acctbal > 0").select(
         F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("vertex"))
@@ -286,11 +284,12 @@ def file_ordinal(spark, d):
 def merge_translations(spark, d):
     c = t(spark, d, "conversations")
     chunk = lambda role, field: c.filter(F.col("role") == role).select(
-        F.col("conv_id").alias("question_id"),
+        F.col("conv_id").alias("question_id"), "turn",
         *[(F.col("text") if f == field else F.lit("")).alias(f) for f in ("question_ar", "evidence_ar")])
     base = records.bilingual(W.raw_questions(spark, d)).select(
         "question_id", "question_en", "question_ar", "evidence_ar")
-    return records.merge_translations(base, [chunk("user", "question_ar"), chunk("assistant", "evidence_ar")])
+    return records.merge_translations(base, [chunk("system", "question_ar"), chunk("user", "question_ar"),
+                                             chunk("assistant", "evidence_ar")], order=["turn"])
 
 
 # --- extremes -----------------------------------------------------------------------------------------------------------
@@ -326,8 +325,7 @@ def nested_extreme(spark, d):
     o, c = t(spark, d, "orders"), t(spark, d, "customer")
     joined = o.join(c, o.o_custkey == c.c_custkey).filter("c_mktsegment = 'MACHINERY'")
     day = F.col("o_orderdate").cast("date").cast("string")
-    earliest = extremes.tied_extreme(joined, day, "min")
-    return extremes.tied_extreme(earliest, F.col("o_orderpriority"), "min").select(
+    return extremes.tied_extreme(joined, F.struct(day, F.col("o_orderpriority")), "min").select(
         "o_orderkey", "c_custkey", "o_orderpriority")
 
 
@@ -442,6 +440,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "graph_filter": graph_filter,
         "graph_filter_edges": graph_filter_edges,
         "visible_subgraph": visible_subgraph,
+        "visible_vertices": visible_vertices,
         "bilingual_records": bilingual_records,
         "change_report": lambda s, d: records.change_report(W.raw_questions(s, d)),
         "union_files": union_files,
@@ -453,7 +452,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "db_counts": lambda s, d: browse.db_counts(_browsed(s, d)),
         "list_records": lambda s, d: browse.list_records(_browsed(s, d), "DEV", "src3"),
         "record_at": lambda s, d: browse.record_at(_browsed(s, d), 11),
-        "search_records": lambda s, d: browse.search_records(_browsed(s, d), " THE from src1"),
+        "search_records": lambda s, d: browse.search_records(_browsed(s, d), " FROM src1", "dev"),
         "search_all": lambda s, d: browse.search_records(_browsed(s, d), "or the", "train"),
         "tied_extreme": tied_extreme,
         "tied_extreme_filtered": tied_extreme_filtered,
@@ -546,7 +545,7 @@ def _own_sql() -> dict[str, str]:
         "table_refs": log(X.LOG, X.by_shape("r", "name, alias", X.TABLES),
                           select="SELECT question_id, pos, name, alias FROM log JOIN r USING (k)"),
         "alias_map": log(X.LOG, X.by_shape("m", "qualifier, table_name", {
-            k: list(X.alias_map(k).items()) for k in X.TABLES}),
+            k: list(X.ALIASES[k].items()) for k in X.TABLES}),
             select="SELECT question_id, qualifier, table_name FROM log JOIN m USING (k)"),
         "equi_pairs": log(X.LOG, X.by_shape("p", "left_qualifier, left_column, right_qualifier, right_column", X.PAIRS),
                           select="SELECT question_id, p.* EXCLUDE (k) FROM log JOIN p USING (k)"),
@@ -582,6 +581,7 @@ def _own_sql() -> dict[str, str]:
         "graph_filter": "SELECT 'c' || c_custkey AS vertex FROM customer WHERE c_mktsegment IN ('MACHINERY', 'FURNITURE')",
         "graph_filter_edges": log(_CUSTOMER_EDGES, select="SELECT src AS vertex FROM edges WHERE l_returnflag = 'R' "
                                   "UNION SELECT dst FROM edges WHERE l_returnflag = 'R'"),
+        "visible_vertices": "SELECT 'c' || c_custkey AS vertex FROM customer WHERE c_mktsegment IN ('MACHINERY', 'FURNITURE')",
         "visible_subgraph": log(_CUSTOMER_EDGES, select="""SELECT * FROM edges WHERE src IN (SELECT 'c' || c_custkey
             FROM customer WHERE c_mktsegment IN ('MACHINERY', 'FURNITURE')) AND dst IN (SELECT 's' || s_suppkey
             FROM supplier WHERE s_acctbal > 0)"""),
@@ -603,15 +603,16 @@ def _own_sql() -> dict[str, str]:
                         "FROM (SELECT DISTINCT role, conv_id FROM conversations)",
         "merge_translations": """SELECT doc_id AS question_id, text AS question_en, coalesce(u, '') AS question_ar,
             coalesce(a, '') AS evidence_ar FROM documents LEFT JOIN (SELECT conv_id,
-            max(text) FILTER (WHERE role = 'user' AND text <> '') AS u,
-            max(text) FILTER (WHERE role = 'assistant' AND text <> '') AS a FROM conversations GROUP BY ALL)
+            coalesce(last(text ORDER BY turn, text) FILTER (WHERE role = 'user' AND text <> ''),
+                     last(text ORDER BY turn, text) FILTER (WHERE role = 'system' AND text <> '')) AS u,
+            last(text ORDER BY turn, text) FILTER (WHERE role = 'assistant' AND text <> '') AS a FROM conversations GROUP BY ALL)
             ON conv_id = doc_id""",
         "db_counts": log(_RAW, _BROWSED, select="SELECT split, db_id, count(*) AS count FROM browsed GROUP BY ALL"),
         "list_records": log(_RAW, _BROWSED, select="SELECT idx, db_id, question_en, question_ar, SQL FROM browsed "
                             "WHERE split = 'dev' AND db_id = 'src3'"),
         "record_at": log(_RAW, _BROWSED, select="SELECT * FROM browsed WHERE split = 'train' AND idx = 11"),
         "search_records": log(_RAW, _BROWSED, select="""SELECT idx, db_id, question_en, question_ar, SQL FROM browsed
-            WHERE split = 'train' AND contains(lower(question_en || ' ' || SQL), 'the from src1')"""),
+            WHERE split = 'dev' AND (contains(lower(question_en), ' from src1') OR contains(lower(SQL), ' from src1'))"""),
         "search_all": log(_RAW, _BROWSED, select="""SELECT idx, db_id, question_en, question_ar, SQL FROM browsed
             WHERE split = 'train' AND contains(lower(question_en || ' ' || SQL), 'or the')"""),
         "tied_extreme": "SELECT p_partkey, p_size FROM part WHERE abs(p_size) = (SELECT max(abs(p_size)) FROM part)",

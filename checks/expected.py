@@ -64,24 +64,67 @@ BARE = {
     6: ["custkey"], 9: ["l_tax", "tax"], 11: ["o_orderkey", "brand", "o_custkey", "c_custkey", "o_orderdate"],
     15: ["o_orderkey", "o_totalprice", "s_name"],
 }
-# Schema tables that stand as words in the one text that names no table.
-WORDS = {10: ["line item", "part", "Part"]}
-
-
-def alias_map(k: int) -> dict[str, str]:
-    out = {}
-    for name, alias in TABLES[k]:
-        out[name] = name
-        if alias:
-            out[alias] = name
-    return out
-
-
-def stated_edges(k: int) -> list[tuple]:
-    of = lambda q: alias_map(k).get(q, q)
-    found = [(of(a), b, of(c), d) for a, b, c, d in PAIRS.get(k, [])]
-    found += [(left, c, right, c) for left, right, cols in BY_NAME.get(k, []) for c in cols]
-    return list(dict.fromkeys(found))
+# What qualifiers stand for, by shape.
+ALIASES = {
+    0: {"customer": "customer", "T1": "customer", "orders": "orders", "T2": "orders"},
+    1: {"orders": "orders"},
+    2: {"supplier": "supplier", "s": "supplier", "nation": "nation", "n": "nation", "region": "region", "r": "region"},
+    3: {"lineitem": "lineitem", "orders": "orders", "o": "orders"},
+    4: {"nation": "nation", "a": "nation", "customer": "customer", "b": "customer"},
+    5: {"nation": "nation", "n": "nation", "region": "region", "r": "region"},
+    6: {"Customer": "Customer", "Orders": "Orders"},
+    7: {"Customer": "Customer", "C": "Customer", "ORDERS": "ORDERS", "o": "ORDERS"},
+    8: {"part": "part", "p": "part", "lineitem": "lineitem", "l": "lineitem"},
+    9: {"unknown_table": "unknown_table"},
+    10: {},
+    11: {"orders": "orders", "customer": "customer"},
+    12: {"lineitem": "lineitem", "l": "lineitem", "part": "part", "p": "part"},
+    13: {"lineitem": "lineitem", "T1": "lineitem", "orders": "orders", "T2": "orders", "supplier": "supplier", "T3": "supplier"},
+    14: {"line item": "line item", "T1": "line item", "orders": "orders", "T2": "orders"},
+    15: {"orders": "orders", "big": "big", "b": "big", "customer": "customer", "c": "customer", "supplier": "supplier"},
+}
+# Edges that the text states, by shape.
+EDGES_OF = {
+    0: [("customer", "c_custkey", "orders", "o_custkey")],
+    2: [("supplier", "s_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey")],
+    3: [("T", "ok", "orders", "o_orderkey")],
+    4: [("nation", "nation key", "customer", "nation key"), ("nation", "name", "customer", "name")],
+    6: [("Orders", "custkey", "Customer", "custkey")],
+    7: [("Customer", "c_custkey", "ORDERS", "o_custkey")],
+    8: [("part", "p_partkey", "lineitem", "l_partkey"), ("lineitem", "l_partkey", "part", "p_partkey")],
+    13: [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey")],
+    14: [("line item", "order key", "orders", "order key")],
+}
+# Edges that a natural join implies, by language and shape.
+NATURAL_OF = {
+    ("en", 5): [("nation", "name", "region", "name"), ("nation", "region key", "region", "region key")],
+    ("es", 6): [("Customer", "custkey", "Orders", "custkey")],
+}
+# Nodes by shape: the table as written, and its canonical name in English, French, German and Spanish entries; None
+# where it is no node.
+NODES_OF = {
+    0: [("customer", "customer", "customer", "party", "Customer"), ("orders", "orders", "orders", "orders", "Orders")],
+    1: [("orders", "orders", "orders", "orders", "Orders")],
+    2: [("supplier", "supplier", "supplier", "party", "Supplier"), ("nation", "nation", "nation", "nation", "Nation"),
+        ("region", "region", "region", "region", "Region")],
+    3: [("lineitem", "line item", "lineitem", "lineitem", "LineItem"), ("orders", "orders", "orders", "orders", "Orders")],
+    4: [("nation", "nation", "nation", "nation", "Nation"), ("customer", "customer", "customer", "party", "Customer")],
+    5: [("nation", "nation", "nation", "nation", "Nation"), ("region", "region", "region", "region", "Region")],
+    6: [("Customer", "customer", "customer", "party", "Customer"), ("Orders", "orders", "orders", "orders", "Orders")],
+    7: [("Customer", "customer", "customer", "party", "Customer"), ("ORDERS", "orders", "orders", "orders", "Orders")],
+    8: [("part", "part", "part", "part", "Part"), ("lineitem", "line item", "lineitem", "lineitem", "LineItem")],
+    9: [("line item", "line item", None, None, None), ("lineitem", None, "lineitem", "lineitem", None),
+        ("LineItem", None, None, None, "LineItem")],
+    10: [("line item", "line item", None, None, None), ("part", "part", "part", "part", None), ("Part", None, None, None, "Part")],
+    11: [("orders", "orders", "orders", "orders", "Orders"), ("customer", "customer", "customer", "party", "Customer"),
+         ("part", "part", None, None, None), ("party", None, None, "party", None), ("Part", None, None, None, "Part")],
+    12: [("lineitem", "line item", "lineitem", "lineitem", "LineItem"), ("part", "part", "part", "part", "Part")],
+    13: [("lineitem", "line item", "lineitem", "lineitem", "LineItem"), ("orders", "orders", "orders", "orders", "Orders"),
+         ("supplier", "supplier", "supplier", "party", "Supplier")],
+    14: [("line item", "line item", None, None, None), ("orders", "orders", "orders", "orders", "Orders")],
+    15: [("orders", "orders", "orders", "orders", "Orders"), ("customer", "customer", "customer", "party", "Customer"),
+         ("supplier", "supplier", "supplier", "party", "Supplier"), ("party", None, None, "party", None)],
+}
 
 
 def lang_columns(lang: str) -> list[tuple]:
@@ -113,40 +156,6 @@ def lang_links(lang: str) -> list[tuple]:
     return out
 
 
-def nodes(lang: str, k: int) -> dict[str, str]:
-    """Table as written -> canonical table."""
-    tables, cols = lang_tables(lang), [c for c in lang_columns(lang) if c[1] >= 0]
-
-    def canonical(name: str) -> str | None:
-        if any(c[5] == name for c in cols):
-            return name
-        for same in (lambda o: o == name, lambda o: o.lower() == name.lower()):
-            hits = [t[2] for t in tables if same(t[1])]
-            if hits:
-                return hits[-1]
-        return None
-
-    aliases = alias_map(k)
-    written = [n for n, _ in TABLES[k]]
-    qualifiers = [p[0] for p in PAIRS.get(k, [])] + [p[2] for p in PAIRS.get(k, [])]
-    qualifiers += [q for q, _ in QUALIFIED.get(k, [])]
-    found = {n: canonical(n) for n in written + [aliases.get(q, q) for q in qualifiers] if canonical(n)}
-    for word in BARE.get(k, []):
-        owners = {c[5] for c in cols if c[3] == word}
-        if len(owners) == 1:
-            found.setdefault(*owners, *owners)
-    if not found:
-        found = {w: w for w in WORDS.get(k, []) if any(c[5] == w for c in cols)}
-    return found
-
-
-def natural_edges(lang: str, k: int) -> list[tuple]:
-    cols = [c for c in lang_columns(lang) if c[1] >= 0]
-    names = lambda t: {c[3] for c in cols if c[5] == t}
-    return [(left, n, right, n) for left, right, listed in BY_NAME.get(k, []) if not listed
-            for n in sorted(names(left) & names(right))]
-
-
 def _lit(x) -> str:
     if x is None:
         return "NULL"
@@ -223,13 +232,12 @@ LOG = ("log AS (SELECT o_orderkey AS question_id, o_orderkey % 16 AS k, 'db_' ||
        "'Question ' || o_orderkey || ' about ' || o_orderpriority AS question_en FROM orders)")
 KNOWN = f"{LOG}, known AS (SELECT log.*, lang FROM log JOIN docs USING (db_id))"
 
-_edge_rows = [(g, k, i, *e) for g in LANGS for k in range(TEMPLATES) for i, e in enumerate(stated_edges(k))]
-_natural_rows = [(g, k, len(stated_edges(k)), *e) for g in LANGS for k in range(TEMPLATES)
-                 for e in natural_edges(g, k) if e not in stated_edges(k)]
 V_EDGES = values("ve", "lang, k, pos, child_table, child_column, parent_table, parent_column",
-                 _edge_rows + _natural_rows)
+                 [(g, k, i, *e) for g in LANGS for k, edges in EDGES_OF.items() for i, e in enumerate(edges)]
+                 + [(g, k, len(EDGES_OF.get(k, [])), *e) for (g, k), edges in NATURAL_OF.items() for e in edges
+                    if e not in EDGES_OF.get(k, [])])
 V_NODES = values("vn", "lang, k, table_name, canonical",
-                 [(g, k, *n) for g in LANGS for k in range(TEMPLATES) for n in nodes(g, k).items()])
+                 [(g, k, n[0], n[i]) for i, g in enumerate(LANGS, 1) for k, names in NODES_OF.items() for n in names if n[i]])
 EDGES = ", ".join([
     V_EDGES,
     """edges AS (SELECT question_id, e.db_id, pos, e.child_table, e.child_column, e.parent_table, e.parent_column,

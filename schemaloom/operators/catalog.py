@@ -179,24 +179,16 @@ def borrowed_columns(tabs: DataFrame, cols: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Catalog:
-    """Flat schema tables plus the texts attached to them.
-
-    `small` says that everything derived from the catalog may be broadcast; set it from a measured size
-    (`joins.fits_broadcast` over the entries and the description rows), never from a guess.
-    """
+    """Flat schema tables plus the texts attached to them."""
 
+    databases: DataFrame  # (db_id): all of the entries, also those without tables
     tables: DataFrame
     columns: DataFrame  # names alone, so that resolving names does not work out descriptions
     described: DataFrame  # rows of `columns` with `description`
     fk_texts: DataFrame  # (db_id, child_table, child_column, parent_table, parent_column, description)
-    small: bool = False
-
-    @property
-    def databases(self) -> DataFrame:
-        return self.tables.select("db_id").distinct()
 
     def lookup(self, rows: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-        return salted_lookup_join(rows, table, on, how, self.small)
+        return salted_lookup_join(rows, table, on, how)
 
     def column_lists(self) -> DataFrame:
         """(db_id, table_name, columns) for every canonical table, borrowed lists included."""
@@ -206,10 +198,14 @@ class Catalog:
         return own.unionByName(borrowed.drop("shown_as"))
 
 
-def plain_catalog(entries: DataFrame, small: bool = False) -> Catalog:
+def databases(entries: DataFrame) -> DataFrame:
+    return named_entries(entries).select("db_id").distinct()
+
+
+def plain_catalog(entries: DataFrame) -> Catalog:
     """A catalog without descriptions."""
     empty = F.lit("").alias("description")
     texts = foreign_keys(entries).select(
         "db_id", "child_table", "child_column", "parent_table", "parent_column", empty).distinct()
     cols = columns(entries)
-    return Catalog(tables(entries), cols, cols.select("*", empty), texts, small)
+    return Catalog(databases(entries), tables(entries), cols, cols.select("*", empty), texts)

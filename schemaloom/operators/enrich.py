@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from schemaloom.functions.text import filled, first_filled, fk_summary, fk_usage, norm_key, strip
 from schemaloom.operators import catalog
 from schemaloom.operators.joins import lookup_join
+from schemaloom.sources import sinks
 
 
 def description_map(rows: DataFrame) -> DataFrame:
@@ -27,7 +28,7 @@ def description_map(rows: DataFrame) -> DataFrame:
     return merged.join(last, ["db_id", "table_key", "file"], "left_semi").drop("file")
 
 
-def column_descriptions(cols: DataFrame, descriptions: DataFrame, small: bool = False) -> DataFrame:
+def column_descriptions(cols: DataFrame, descriptions: DataFrame) -> DataFrame:
     """`columns` rows with `description`, '' where there is none.
 
     A table's file is looked up by its original name; only if there is no such file, by its canonical name.
@@ -36,17 +37,17 @@ def column_descriptions(cols: DataFrame, descriptions: DataFrame, small: bool =
              .withColumn("col_key", F.when(F.col("t_idx") >= 0, norm_key(F.col("original")))))
     files = descriptions.select("db_id", "table_key").distinct().withColumn("has_file", F.lit(True))
     chosen = F.when(F.col("has_file"), F.col("table_key")).otherwise(norm_key(F.col("table_canonical")))
-    keyed = lookup_join(keyed, files, ["db_id", "table_key"], "left", small).withColumn("table_key", chosen)
-    found = lookup_join(keyed, descriptions, ["db_id", "table_key", "col_key"], "left", small)
+    keyed = lookup_join(keyed, files, ["db_id", "table_key"]).withColumn("table_key", chosen)
+    found = lookup_join(keyed, descriptions, ["db_id", "table_key", "col_key"])
     return found.select(*cols.columns, filled(F.col("description")).alias("description"))
 
 
-def fk_descriptions(fks: DataFrame, described: DataFrame, small: bool = False) -> DataFrame:
+def fk_descriptions(fks: DataFrame, described: DataFrame) -> DataFrame:
     """Foreign keys with both ends' descriptions, a summary and a usage line."""
     text = lambda end: described.select("db_id", F.col("col_idx").alias(f"{end}_idx"),
                                         F.col("description").alias(f"{end}_description"))
-    both = lookup_join(fks, text("child"), ["db_id", "child_idx"], "left", small)
-    both = lookup_join(both, text("parent"), ["db_id", "parent_idx"], "left", small)
+    both = lookup_join(fks, text("child"), ["db_id", "child_idx"])
+    both = lookup_join(both, text("parent"), ["db_id", "parent_idx"])
     ends = [F.col(c) for c in ("child_table", "child_column", "parent_table", "parent_column")]
     child, parent = filled(F.col("child_description")), filled(F.col("parent_description"))
     return both.select("db_id", "fk_pos", *ends, child.alias("child_description"),
@@ -63,12 +64,15 @@ def fk_texts(fk_rows: DataFrame) -> DataFrame:
             .agg(F.max_by(first_filled(F.col("summary"), F.col("usage")), F.col("fk_pos")).alias("description")))
 
 
-def enriched_catalog(entries: DataFrame, rows: DataFrame, small: bool = False) -> catalog.Catalog:
-    """Schema entries and description rows as one catalog."""
-    cols = catalog.columns(entries)
-    described = column_descriptions(cols, description_map(rows), small)
-    fks = fk_descriptions(catalog.foreign_keys(entries), described, small)
-    return catalog.Catalog(catalog.tables(entries), cols, described, fk_texts(fks), small)
+def enriched_catalog(entries: DataFrame, rows: DataFrame) -> catalog.Catalog:
+    """Schema entries and description rows as one catalog, written to the shared folder once: what uses it several times
+    reads files instead of working out descriptions again."""
+    spark = entries.sparkSession
+    keep = lambda df: sinks.staged(df, sinks.shared_folder(spark))
+    described = keep(column_descriptions(catalog.columns(entries), description_map(rows)))
+    texts = keep(fk_texts(fk_descriptions(catalog.foreign_keys(entries), described)))
+    return catalog.Catalog(keep(catalog.databases(entries)), keep(catalog.tables(entries)), described.drop("description"),
+                           described, texts)
 
 
 def enrichment_report(entries: DataFrame, fk_rows: DataFrame, described: DataFrame, by_db: bool = False) -> DataFrame:

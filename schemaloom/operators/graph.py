@@ -13,7 +13,7 @@ from schemaloom.operators.enrich import FK_ENDS
 
 
 def in_catalog(log: DataFrame, catalog: Catalog) -> DataFrame:
-    """Questions whose database the catalog knows."""
+    """Questions whose database the catalog knows. Done once, before their text is read; the functions below expect it."""
     return catalog.lookup(log, catalog.databases, ["db_id"], "left_semi")
 
 
@@ -40,8 +40,8 @@ def shared_columns(pairs: DataFrame, catalog: Catalog) -> DataFrame:
     cols = catalog.columns.filter("t_idx >= 0").select(
         "db_id", F.col("table_canonical").alias("t"), F.col("canonical").alias("name")).distinct()
     left = pairs.select("db_id", "left_table", "right_table").distinct().join(
-        cols.withColumnRenamed("t", "left_table").hint("merge"), ["db_id", "left_table"])
-    return left.join(cols.withColumnRenamed("t", "right_table").hint("merge"),
+        cols.withColumnRenamed("t", "left_table"), ["db_id", "left_table"])
+    return left.join(cols.withColumnRenamed("t", "right_table"),
                      ["db_id", "right_table", "name"], "left_semi")
 
 
@@ -60,15 +60,15 @@ def gold_edges(facts: DataFrame, catalog: Catalog, key: str = "question_id") ->
     natural = (facts.filter("maybe_natural")
                .select(*keep, "edges", F.explode(F.array_distinct("natural")).alias("j")).select(*keep, "edges", "j.*"))
     shared = shared_columns(natural, catalog)
-    implied = (natural.join(shared.hint("merge"), ["db_id", "left_table", "right_table"])
+    implied = (catalog.lookup(natural, shared.groupBy("db_id", "left_table", "right_table").agg(F.collect_list("name").alias("shared_names")), ["db_id", "left_table", "right_table"], "inner")
+               .withColumn("name", F.explode("shared_names"))
                .select(*keep, "edges", F.struct(
                    F.col("left_table").alias("child_table"), F.col("name").alias("child_column"),
                    F.col("right_table").alias("parent_table"), F.col("name").alias("parent_column")).alias("e"))
                .filter(~F.array_contains("edges", F.col("e")))
                .select(*keep, F.size("edges").alias("pos"), "e.*"))
 
-    edges = in_catalog(stated.unionByName(implied), catalog)
-    found = catalog.lookup(edges, fk_lookup(catalog), ["db_id", *FK_ENDS])
+    found = catalog.lookup(stated.unionByName(implied), fk_lookup(catalog), ["db_id", *FK_ENDS])
     return found.select(*keep, "pos", *FK_ENDS, filled(F.col("description")).alias("description"))
 
 
@@ -111,7 +111,7 @@ def words_as_tables(log: DataFrame, catalog: Catalog, key: str = "question_id",
     heads = (catalog.columns.filter("t_idx >= 0").select("db_id", F.col("table_canonical").alias("table_name"),
                                                          F.regexp_extract(lower, r"(?U)\w+", 0).alias("head"))
              .distinct())
-    met = tokens.join(F.broadcast(heads) if catalog.small else heads.hint("merge"), ["db_id", "head"])
+    met = tokens.join(heads, ["db_id", "head"])
     single = F.lower("table_name") == F.col("head")
     texts = log.select(key, F.lower(sql).alias("text"))
     longer = (met.filter(~single).join(texts, key)
@@ -129,7 +129,7 @@ def gold_nodes(log: DataFrame, facts: DataFrame, catalog: Catalog, key: str = "q
     named = resolve_names(facts, catalog, key)
     # Counting a column of `named` keeps both uses of it alike, so that its shuffle is done once.
     found = named.groupBy(key).agg(F.max("canonical").alias("some")).select(key, "some")
-    left_over = in_catalog(log.select(key, "db_id", sql), catalog).join(found, key, "left").filter("some is null").drop(
+    left_over = log.select(key, "db_id", sql).join(found, key, "left").filter("some is null").drop(
         "some")
     return named.unionByName(words_as_tables(left_over, catalog, key, sql))
 
@@ -168,13 +168,13 @@ def context_text(nodes, edges):
 
 def gold_records(log: DataFrame, facts: DataFrame, catalog: Catalog, key: str = "question_id",
                  sql: str = "SQL") -> DataFrame:
-    """One record per question of a known database: the question, its graph and the context text."""
+    """One record per question: the question, its graph and the context text."""
     edges = gold_edges(facts, catalog, key)
     graphs = gold_graphs(gold_nodes(log, facts, catalog, key, sql), edges, catalog, key)
     column = lambda c: F.col(c) if c in log.columns else F.lit(None).cast("string")
-    questions = in_catalog(log.select(
+    questions = log.select(
         key, "db_id", first_filled(column("question_en"), column("question")).alias("question_en"),
-        filled(column("question_ar")).alias("question_ar"), filled(F.col(sql)).alias(sql)), catalog)
+        filled(column("question_ar")).alias("question_ar"), filled(F.col(sql)).alias(sql))
     none = lambda c: F.coalesce(F.col(c), F.array().cast(graphs.schema[c].dataType)).alias(c)
     return (questions.join(graphs, key, "left")
             .select(*questions.columns, none("nodes"), none("edges"))
@@ -189,13 +189,16 @@ def undirected(edges: DataFrame) -> DataFrame:
         F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("e")).select("e.*")
 
 
-def neighbourhood(edges: DataFrame, vertex) -> DataFrame:
-    """(vertex, level): the vertex itself (0), its neighbours (1) and theirs (2), each at its nearest level."""
+def neighbourhood(vertices: DataFrame, edges: DataFrame, vertex) -> DataFrame:
+    """(vertex, level): the vertex itself (0), its neighbours (1) and theirs (2), each at its nearest level.
+
+    The vertex is there if `vertices` (vertex) has it, with or without an edge.
+    """
     ways = undirected(edges)
     first = ways.filter(F.col("a") == F.lit(vertex)).select(F.col("b").alias("vertex")).distinct()
     second = ways.join(first.withColumnRenamed("vertex", "a"), "a").select(F.col("b").alias("vertex"))
     at = lambda df, level: df.select("vertex", F.lit(level).alias("level"))
-    start = ways.filter(F.col("a") == F.lit(vertex)).select(F.col("a").alias("vertex"))
+    start = vertices.filter(F.col("vertex") == F.lit(vertex)).select("vertex")
     return (at(start, 0).unionByName(at(first, 1)).unionByName(at(second, 2))
             .groupBy("vertex").agg(F.min("level").alias("level")))
 
@@ -217,6 +220,11 @@ def ends_of_edges_with(edges: DataFrame, prop: str, values: list[str]) -> DataFr
             .select(F.explode(F.array("src", "dst")).alias("vertex")).distinct())
 
 
+def visible_vertices(vertices: DataFrame, selected: DataFrame) -> DataFrame:
+    """The selected ones of `vertices`, also those without an edge."""
+    return vertices.join(selected.select("vertex").distinct(), "vertex", "left_semi")
+
+
 def visible_subgraph(edges: DataFrame, selected: DataFrame) -> DataFrame:
     """The edges between selected vertices."""
     chosen = selected.select("vertex").distinct()

@@ -1,54 +1,31 @@
-"""How lookups are joined: broadcast behind a measured size, sort-merge beyond it."""
+"""How lookups are joined: one plan for all sizes. Adaptive execution broadcasts a side when its shuffled size turns
+out to be small, and cuts up skewed partitions when it does not."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Measured size of the rows (as JSON text) up to which a lookup may be sent to every executor. Catalyst's own
-# estimate is not used: it does not see how many rows an explode makes.
-BROADCAST_BYTES = 8 << 20
 
+def lookup_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join `rows` to a lookup with at most one row per key."""
+    return rows.join(table, on, how)
 
-def measured_bytes(df: DataFrame) -> int:
-    """Size of all rows, added up on the executors; only the total reaches the driver."""
-    total = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
-    return int(df.agg(F.coalesce(total, F.lit(0))).first()[0])
 
-
-def fits_broadcast(*dfs: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    left = limit
-    for df in dfs:
-        left -= measured_bytes(df)
-        if left < 0:
-            return False
-    return True
-
-
-def lookup_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left", small: bool = False) -> DataFrame:
-    """Join `rows` to a lookup with at most one row per key.
-
-    A lookup known to be small is broadcast and `rows` stay where they are. Otherwise both sides are
-    shuffled into a sort-merge join, where adaptive execution cuts a hot key's partition into pieces.
-    """
-    return rows.join(F.broadcast(table) if small else table.hint("merge"), on, how)
-
-
-# Copies of a lookup on the shuffle path.
+# Copies of a lookup. They spread a hot key a little; what is still too large adaptive execution cuts up.
 SALTS = 4
 
 
-def salted_lookup_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left",
-                       small: bool = False) -> DataFrame:
+def salted_lookup_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """`lookup_join` for rows of which very many may share one key.
 
-    Beyond broadcast size a key's rows are dealt out by a hash of their other columns and meet one copy of the lookup
-    each. The salt also makes Spark shuffle the lookup for this join, instead of taking over the partitioning of the
-    aggregate that built it; only then can adaptive execution split what is still too large.
+    A key's rows are dealt out by a hash of their other columns and meet one copy of the lookup each. The salt also makes
+    Spark shuffle the lookup for this join, instead of taking over the partitioning of the aggregate that built it; only
+    then can adaptive execution split what is still too large.
     """
     others = [c for c in rows.columns if c not in on]
-    if small or not others:
-        return lookup_join(rows, table, on, how, small)
+    if not others:
+        return lookup_join(rows, table, on, how)
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int"))
     copies = table.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     return lookup_join(dealt, copies, [*on, "_salt"], how).drop("_salt")

@@ -119,14 +119,15 @@ def file_ordinal(df: DataFrame) -> DataFrame:
 
 
 def merge_translations(base: DataFrame, chunks: list[DataFrame], key: str = "question_id",
-                       fields: tuple[str, ...] = ("question_ar", "evidence_ar")) -> DataFrame:
+                       fields: tuple[str, ...] = ("question_ar", "evidence_ar"), order: list[str] | None = None) -> DataFrame:
     """Translated fields of the chunks put into the records; an empty translation leaves the record as it is.
 
-    If chunks repeat a key, the last chunk with a filled field wins, so no record is ever doubled.
+    If chunks repeat a key, the last chunk with a filled field wins, and within a chunk the last row by `order`, so no
+    record is ever doubled.
     """
-    rows = union_files(*[c.select(key, *fields) for c in chunks])
+    rows = union_files(*[c.select(key, *fields, *(order or [])) for c in chunks])
     latest = rows.groupBy(key).agg(*[
-        F.max_by(f, F.when(filled(F.col(f)) != "", F.struct("file_ord", f))).alias(f"_{f}") for f in fields])
+        F.max_by(f, F.when(filled(F.col(f)) != "", F.struct("file_ord", *(order or []), f))).alias(f"_{f}") for f in fields])
     merged = base.join(latest, key, "left")
     put = {f: filled(F.coalesce(F.nullif(F.col(f"_{f}"), F.lit("")), F.col(f))) for f in fields}
     return merged.select(*[put[c].alias(c) if c in put else F.col(c) for c in base.columns])

@@ -3,42 +3,43 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from schemaloom.operators import catalog as cat
 from schemaloom.operators import enrich, graph, records, refs
-from schemaloom.operators.joins import fits_broadcast
 from schemaloom.sources import descriptions, json_docs, sinks
 
 
-def load_catalog(spark: SparkSession, entries_path: str, roots: list[str]) -> tuple[DataFrame, DataFrame, bool]:
-    """Schema entries, their description rows, and whether both together may be broadcast."""
+def load_catalog(spark: SparkSession, entries_path: str, roots: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Schema entries and their description rows."""
     entries = cat.latest_entries(cat.named_entries(json_docs.read_entries(spark, entries_path)), "pos")
     if roots:
         rows = descriptions.descriptions_by_db(entries, descriptions.read_description_files(spark, roots))
     else:
         rows = spark.createDataFrame([], "file string, row_no int, original_column_name string, "
                                          "column_name string, column_description string, db_id string")
-    return entries, rows, fits_broadcast(entries, rows)
+    return entries, rows
 
 
 def enrich_schemas(spark: SparkSession, entries_path: str, roots: list[str], out: str) -> DataFrame:
     """Write the entries with descriptions attached; returns the counts."""
-    entries, rows, small = load_catalog(spark, entries_path, roots)
+    entries, rows = load_catalog(spark, entries_path, roots)
     described = sinks.staged(
-        enrich.column_descriptions(cat.columns(entries), enrich.description_map(rows), small),
+        enrich.column_descriptions(cat.columns(entries), enrich.description_map(rows)),
         sinks.shared_folder(spark))
-    fks = enrich.fk_descriptions(cat.foreign_keys(entries), described, small)
-    sinks.write_json(enrich.nested_entries(entries, fks, described), out)
+    fks = enrich.fk_descriptions(cat.foreign_keys(entries), described)
+    sinks.write_json(enrich.nested_entries(entries, fks, described).drop("pos"), out)
     return enrich.enrichment_report(entries, fks, described)
 
 
 def build_gold_graphs(spark: SparkSession, entries_path: str, roots: list[str], question_paths: list[str],
                       out: str) -> None:
     """Write one record with graph and context text per question of a known database."""
-    entries, rows, small = load_catalog(spark, entries_path, roots)
-    catalog = enrich.enriched_catalog(entries, rows, small)
+    entries, rows = load_catalog(spark, entries_path, roots)
+    catalog = enrich.enriched_catalog(entries, rows)
     files = [json_docs.read_questions(spark, p) for p in question_paths]
     log = records.file_ordinal(records.union_files(*files)).withColumnRenamed("idx", "record_key")
+    log = graph.in_catalog(log, catalog)
     facts = sinks.staged(refs.query_facts(log, "record_key"), sinks.shared_folder(spark))
     sinks.write_json(graph.gold_records(log, facts, catalog, "record_key"), out)
 
@@ -47,10 +48,12 @@ def prepare_translation(spark: SparkSession, question_path: str, out: str, stem:
     """Write the bilingual records in chunks for translators; returns the change report."""
     raw = json_docs.read_array(spark, question_path, json_docs.QUESTION_SCHEMA, strict=True).drop("path")
     numbered = records.bilingual(raw.withColumnRenamed("pos", "idx"))
-    sinks.write_chunks(records.split_contiguous(numbered, parts), out, stem, parts)
+    sinks.write_chunks(records.split_contiguous(numbered, parts).drop("idx"), out, stem, parts)
     return records.change_report(raw)
 
 
 def merge_translated(spark: SparkSession, base: DataFrame, chunk_path: str, schema: str, out: str) -> None:
-    """Put translated chunks back into the records and write them."""
-    sinks.write_json(records.merge_translations(base, [sinks.read_chunks(spark, chunk_path, schema)]), out)
+    """Put translated chunks back into the records and write them; later chunks win."""
+    chunks = sinks.read_chunks(spark, chunk_path, schema)
+    chunks = chunks.withColumn("part", F.regexp_extract("chunk", r"_part(\d+)of", 1).try_cast("int"))
+    sinks.write_json(records.merge_translations(base, [chunks], order=["part"]), out)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,21 +20,21 @@ ROW_SCHEMA = ("path string, row_no int, original_column_name string, column_name
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """CSV text to rows by header name. A file that cannot be read becomes one row with `error` set."""
+    """CSV text to rows by header name, file by file. Cells may be of any length. A file that cannot be read becomes one
+    row with `error` set."""
+    csv.field_size_limit(sys.maxsize)
     names = ["path", "row_no", "original_column_name", "column_name", "column_description", "error"]
     for batch in batches:
-        rows = []
         for path, text in zip(batch["path"], batch["text"]):
             try:
-                found = [(path, i, r.get("original_column_name") or r.get("original"), r.get("column_name"),
-                          r.get("column_description") or r.get("description"), None)
-                         for i, r in enumerate(csv.DictReader(io.StringIO(text, newline="")))]
+                rows = [(path, i, r.get("original_column_name") or r.get("original"), r.get("column_name"),
+                         r.get("column_description") or r.get("description"), None)
+                        for i, r in enumerate(csv.DictReader(io.StringIO(text, newline="")))]
             except csv.Error as e:
-                found = [(path, None, None, None, None, str(e))]
-            rows.extend(found)
-        out = pd.DataFrame(rows, columns=names)
-        out["row_no"] = out["row_no"].astype("Int32")
-        yield out
+                rows = [(path, None, None, None, None, str(e))]
+            out = pd.DataFrame(rows, columns=names)
+            out["row_no"] = out["row_no"].astype("Int32")
+            yield out
 
 
 def parse_files(texts: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def bad_files(rows: DataFrame) -> DataFrame:
     return rows.filter("error is not null").select("root_ord", "folder", "file", "error")
 
 
-def resolve_folders(dbs: DataFrame, folders: DataFrame, small: bool = False) -> DataFrame:
+def resolve_folders(dbs: DataFrame, folders: DataFrame) -> DataFrame:
     """(db_id, root_ord, folder): where each database lies.
 
     Roots are tried in order; within a root the exact name beats one that is equal after `norm_key`, and of
@@ -73,8 +74,8 @@ def resolve_folders(dbs: DataFrame, folders: DataFrame, small: bool = False) ->
     alike = (folders.groupBy(norm_key(F.col("folder")).alias("name_key"))
              .agg(F.min(F.struct("root_ord", "folder")).alias("alike")))
     ids = dbs.select("db_id").distinct().withColumn("name_key", norm_key(F.col("db_id")))
-    found = lookup_join(ids, exact, ["db_id"], "left", small)
-    found = lookup_join(found, alike, ["name_key"], "left", small)
+    found = lookup_join(ids, exact, ["db_id"])
+    found = lookup_join(found, alike, ["name_key"])
     is_exact = F.col("exact_root").isNotNull() & (F.col("exact_root") <= F.col("alike.root_ord"))
     return (found.select("db_id", F.when(is_exact, F.col("exact_root")).otherwise(F.col("alike.root_ord"))
                          .alias("root_ord"),

@@ -14,17 +14,21 @@ QUESTION_SCHEMA = ("question_id long, db_id string, question string, question_en
                    "evidence string, evidence_en string, evidence_ar string, SQL string, difficulty string")
 
 
-def array_items(text: Column, schema: str, strict: bool = False) -> Column:
-    """The array in a JSON text. Text that is no array gives null, or an error if `strict`."""
-    is_array = F.regexp_like(text, F.lit(r"^\s*\["))
-    other = F.raise_error(F.lit("expected a JSON array")) if strict else F.lit(None)
-    return F.when(is_array, F.from_json(text, T.ArrayType(T.StructType.fromDDL(schema)))).otherwise(other)
+def array_items(text: Column, strict: bool = False) -> Column:
+    """The items of a JSON array, each as JSON text. Text that is no whole array gives null, or an error if `strict`."""
+    items = F.when(F.regexp_like(text, F.lit(r"^\s*\[")), F.from_json(text, T.ArrayType(T.StringType())))
+    return F.coalesce(items, F.raise_error(F.lit("expected a JSON array"))) if strict else items
 
 
 def explode_items(docs: DataFrame, schema: str, text: str = "text", strict: bool = False) -> DataFrame:
-    """Rows of the arrays in `text` with their 0-based `pos`; the other columns are kept."""
+    """Rows of the objects in the arrays in `text` with their 0-based `pos`; the other columns are kept.
+
+    Items are read one by one: one that is no object, or whose fields do not fit, takes nothing else with it.
+    """
     others = [c for c in docs.columns if c != text]
-    return (docs.select(*others, F.posexplode(array_items(F.col(text), schema, strict)).alias("pos", "item"))
+    items = docs.select(*others, F.posexplode(array_items(F.col(text), strict)).alias("pos", "item"))
+    return (items.filter(F.regexp_like("item", F.lit(r"^\s*\{")))
+            .select(*others, "pos", F.from_json("item", T.StructType.fromDDL(schema)).alias("item"))
             .select(*others, "pos", "item.*"))
 
 
@@ -44,8 +48,10 @@ def read_array_or_empty(spark: SparkSession, paths: str | list[str], schema: str
 
 
 def read_entries(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Schema entries with `pos`."""
-    return read_array(spark, paths, ENTRY_SCHEMA).drop("path")
+    """Schema entries with `pos`. A foreign key that is no pair of numbers does not affect the others."""
+    loose = ENTRY_SCHEMA.replace("foreign_keys array<array<int>>", "foreign_keys array<string>")
+    pair = lambda p: F.transform(F.from_json(p, "array<string>"), lambda end: end.try_cast("int"))
+    return read_array(spark, paths, loose).drop("path").withColumn("foreign_keys", F.transform("foreign_keys", pair))
 
 
 def read_questions(spark: SparkSession, paths: str | list[str], schema: str = QUESTION_SCHEMA) -> DataFrame:

@@ -51,9 +51,8 @@ def test_canonical_file_is_used_only_without_an_original_one(spark):
     e = entries(spark, entry(canonical=["first", "second"]))
     r = spark.createDataFrame([("d", "a", 0, "other", "", "x"), ("d", "first", 0, "x", "", "never"),
                                ("d", "second", 0, "Y", "", "found")], ROWS)
-    for small in (True, False):
-        got = enrich.column_descriptions(catalog.columns(e), enrich.description_map(r), small)
-        assert rows(got, "col_idx", "description") == [(0, ""), (1, ""), (2, "found")]
+    got = enrich.column_descriptions(catalog.columns(e), enrich.description_map(r))
+    assert rows(got, "col_idx", "description") == [(0, ""), (1, ""), (2, "found")]
 
 
 def test_report(spark):

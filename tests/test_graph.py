@@ -1,6 +1,5 @@
 from collections import defaultdict
 
-import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 from test_enrich import ROWS, entries, entry
@@ -8,19 +7,19 @@ from test_enrich import ROWS, entries, entry
 from schemaloom.operators import browse, catalog, enrich, graph, joins, refs
 from schemaloom.sources import sinks
 
-SHOP = entry("shop", tables=("client", "account", "district"), columns=(
-    (-1, "*"), (0, "client_id"), (0, "district_id"), (0, "birth"), (1, "account_id"), (1, "district_id"),
-    (2, "district_id"), (2, "A11")), fks=[(2, 6), (5, 6)])
-TEXTS = [("shop", "client", 0, "client_id", "", "the unique id")]
+LIBRARY = entry("library", tables=("reader", "loan", "branch"), columns=(
+    (-1, "*"), (0, "reader_id"), (0, "branch_id"), (0, "joined"), (1, "loan_id"), (1, "branch_id"),
+    (2, "branch_id"), (2, "Aisle")), fks=[(2, 6), (5, 6)])
+TEXTS = [("library", "reader", 0, "reader_id", "", "the unique id")]
 
 
-def shop(spark, small=True, item=SHOP):
-    return enrich.enriched_catalog(entries(spark, item), spark.createDataFrame(TEXTS, ROWS), small)
+def library(spark, item=LIBRARY):
+    return enrich.enriched_catalog(entries(spark, item), spark.createDataFrame(TEXTS, ROWS))
 
 
 def log(spark, *sqls):
     """The texts as a log of one database, after a query of an unknown one."""
-    asked = [(99, "elsewhere", "q", "SELECT 1 FROM client")] + [(i, "shop", f"q{i}", s) for i, s in enumerate(sqls)]
+    asked = [(99, "elsewhere", "q", "SELECT 1 FROM reader")] + [(i, "library", f"q{i}", s) for i, s in enumerate(sqls)]
     return spark.createDataFrame(asked, "question_id long, db_id string, question string, SQL string")
 
 
@@ -28,85 +27,86 @@ def facts_of(spark, q):
     return sinks.staged(refs.query_facts(q), sinks.shared_folder(spark))
 
 
-def nodes(spark, *sqls, small=True, item=SHOP):
-    q = log(spark, *sqls)
-    return rows(graph.gold_nodes(q, facts_of(spark, q), shop(spark, small, item)), "question_id", "table_name")
+def nodes(spark, *sqls, item=LIBRARY):
+    q = graph.in_catalog(log(spark, *sqls), library(spark, item))
+    return rows(graph.gold_nodes(q, facts_of(spark, q), library(spark, item)), "question_id", "table_name")
 
 
-CLIENT_FK = "client.district_id references district.district_id."
+READER_FK = "reader.branch_id references branch.branch_id."
 
 
-ACCOUNT_FK = "account.district_id references district.district_id."
+LOAN_FK = "loan.branch_id references branch.branch_id."
 # text -> edges, nodes
 CASES = [
     # repeated joins give one edge, aliases are resolved
-    ("SELECT T3.account_id FROM client AS T1 INNER JOIN district AS T2 ON T1.district_id = T2.district_id INNER "
-     "JOIN account AS T3 ON T2.district_id = T3.district_id WHERE T2.A11 = (SELECT MIN(T2.A11) FROM client AS T1 "
-     "INNER JOIN district AS T2 ON T1.district_id = T2.district_id)",
-     [("client", "district_id", "district", "district_id", CLIENT_FK),
-      ("district", "district_id", "account", "district_id", ACCOUNT_FK)], ["account", "client", "district"]),
+    ("SELECT l.loan_id FROM reader AS r JOIN branch AS b ON r.branch_id = b.branch_id JOIN loan AS l ON b.branch_id = "
+     "l.branch_id WHERE EXISTS (SELECT 1 FROM reader AS r, branch AS b WHERE r.branch_id = b.branch_id)",
+     [("reader", "branch_id", "branch", "branch_id", READER_FK),
+      ("branch", "branch_id", "loan", "branch_id", LOAN_FK)], ["loan", "reader", "branch"]),
     # both directions are two edges with one text
-    ("SELECT 1 FROM client c JOIN district d ON c.district_id = d.district_id AND d.district_id = c.district_id",
-     [("client", "district_id", "district", "district_id", CLIENT_FK),
-      ("district", "district_id", "client", "district_id", CLIENT_FK)], ["client", "district"]),
+    ("SELECT 1 FROM reader c JOIN branch d ON c.branch_id = d.branch_id AND d.branch_id = c.branch_id",
+     [("reader", "branch_id", "branch", "branch_id", READER_FK),
+      ("branch", "branch_id", "reader", "branch_id", READER_FK)], ["reader", "branch"]),
     # the alias of a derived table stays
-    ("SELECT 1 FROM client c JOIN (SELECT district_id AS d FROM account) AS T ON c.district_id = T.d",
-     [("client", "district_id", "T", "d", "")], ["account", "client"]),
-    ("SELECT 1 FROM client JOIN district USING (district_id)",
-     [("client", "district_id", "district", "district_id", CLIENT_FK)], ["client", "district"]),
-    ("SELECT 1 FROM client NATURAL JOIN account",
-     [("client", "district_id", "account", "district_id", "")], ["account", "client"]),
+    ("SELECT 1 FROM reader c JOIN (SELECT branch_id AS d FROM loan) AS T ON c.branch_id = T.d",
+     [("reader", "branch_id", "T", "d", "")], ["loan", "reader"]),
+    ("SELECT 1 FROM reader JOIN branch USING (branch_id)",
+     [("reader", "branch_id", "branch", "branch_id", READER_FK)], ["reader", "branch"]),
+    ("SELECT 1 FROM reader NATURAL JOIN loan",
+     [("reader", "branch_id", "loan", "branch_id", "")], ["loan", "reader"]),
     # a natural join that repeats a stated edge adds nothing
-    ("SELECT 1 FROM client c NATURAL JOIN district d WHERE c.district_id = d.district_id",
-     [("client", "district_id", "district", "district_id", CLIENT_FK)], ["client", "district"]),
+    ("SELECT 1 FROM reader c NATURAL JOIN branch d WHERE c.branch_id = d.branch_id",
+     [("reader", "branch_id", "branch", "branch_id", READER_FK)], ["reader", "branch"]),
     # spellings are separate nodes, unknown names none
-    ("SELECT 1 FROM Client, client, nowhere", [], ["Client", "client"]),
+    ("SELECT 1 FROM Reader, reader, nowhere", [], ["Reader", "reader"]),
     # a bare column adds its only owner, in its exact spelling
-    ("SELECT A11 FROM nowhere", [], ["district"]),
-    ("SELECT district_id FROM nowhere", [], []),
-    ("SELECT a11 FROM nowhere", [], []),
+    ("SELECT Aisle FROM nowhere", [], ["branch"]),
+    ("SELECT branch_id FROM nowhere", [], []),
+    ("SELECT aisle FROM nowhere", [], []),
 ]
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_edges_and_nodes(spark, small):
-    q = log(spark, *[c[0] for c in CASES])
-    c, facts = shop(spark, small), facts_of(spark, q)
+def test_edges_and_nodes(spark):
+    c = library(spark)
+    q = graph.in_catalog(log(spark, *[c[0] for c in CASES]), c)
+    facts = facts_of(spark, q)
     edges, nodes = defaultdict(list), defaultdict(list)
     for k, *edge in rows(graph.gold_edges(facts, c), "question_id", *graph.FK_ENDS, "description"):
         edges[k].append(tuple(edge))
     for k, name in rows(graph.gold_nodes(q, facts, c), "question_id", "table_name"):
         nodes[k].append(name)
-    assert [(edges[i], nodes[i]) for i in range(len(CASES))] == [(e, n) for _, e, n in CASES]
+    assert [(edges[i], nodes[i]) for i in range(len(CASES))] == [(sorted(e), sorted(n)) for _, e, n in CASES]
     assert not edges[99] and not nodes[99]
 
 
 def test_fallback_to_words_only_without_any_node(spark):
-    item = entry("shop", tables=("client", "line item", "*"), columns=((-1, "*"), (0, "x"), (1, "x"), (2, "x")))
-    for small in (False,):
-        assert nodes(spark, "SELECT 1 -- client's Line Item", "SELECT 1 -- line-item clients", "SELECT 1 FROM client --"
-                     " line item", "", small=small, item=item) == [(0, "client"), (0, "line item"), (2, "client")]
+    item = entry("library", tables=("reader", "line item", "*"), columns=((-1, "*"), (0, "x"), (1, "x"), (2, "x")))
+    assert nodes(spark, "SELECT 1 -- reader's Line Item", "SELECT 1 -- line-item readers", "SELECT 1 FROM reader --"
+                 " line item", "", item=item) == [(0, "reader"), (0, "line item"), (2, "reader")]
 
 
 def test_records_and_context_text(spark):
-    q = log(spark, "SELECT 1 FROM client c JOIN district d ON c.district_id = d.district_id", "SELECT 1", None)
-    done = graph.gold_records(q, facts_of(spark, q), shop(spark))
+    q = log(spark, "SELECT 1 FROM reader c JOIN branch d ON c.branch_id = d.branch_id", "SELECT 1", None)
+    q = graph.in_catalog(q, library(spark))
+    done = graph.gold_records(q, facts_of(spark, q), library(spark))
     done = spark.createDataFrame(done.collect(), done.schema)
     got = done.orderBy("question_id").collect()
     assert got[0]["context_text"] == (
-        "Table client: client_id: the unique id, district_id, birth\nTable district: district_id, A11\n"
-        f"Relationships:\nclient.district_id → district.district_id ({CLIENT_FK})")
+        "Table reader: reader_id: the unique id, branch_id, joined\nTable branch: branch_id, Aisle\n"
+        f"Relationships:\nreader.branch_id → branch.branch_id ({READER_FK})")
     assert got[0]["question_en"] == "q0" and got[0]["question_ar"] == ""
     assert [(r["context_text"], r["gold_graph"]["nodes"]) for r in got[1:]] == [("", []), ("", [])]
-    assert (0, "client", "client", "<b>client_id</b> : the unique id<br/>district_id<br/>birth") in rows(
+    assert (0, "reader", "reader", "<b>reader_id</b> : the unique id<br/>branch_id<br/>joined") in rows(
         browse.view_nodes(done))
-    assert rows(browse.view_links(done)) == [(0, "client", "district", "district_id → district_id", CLIENT_FK)]
+    assert rows(browse.view_links(done)) == [(0, "reader", "branch", "branch_id → branch_id", READER_FK)]
 
 
 def test_neighbourhood_levels_are_the_nearest(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src int, dst int")
-    assert rows(graph.neighbourhood(e, 1)) == [(1, 0), (2, 1), (3, 2)]
-    assert rows(graph.neighbourhood(e, 9)) == []
+    v = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5)], "vertex int")
+    assert rows(graph.neighbourhood(v, e, 1)) == [(1, 0), (2, 1), (3, 2)]
+    assert rows(graph.neighbourhood(v, e, 5)) == [(5, 0)]  # without an edge
+    assert rows(graph.neighbourhood(v, e, 9)) == []
 
 
 def test_neighbourhood_against_brute_force(spark):
@@ -121,7 +121,8 @@ def test_neighbourhood_against_brute_force(spark):
     for v in near[3]:
         for w in near[v]:
             want.setdefault(w, 2)
-    got = graph.neighbourhood(spark.createDataFrame(pairs, "src int, dst int"), 3)
+    got = graph.neighbourhood(spark.range(30).selectExpr("cast(id as int) AS vertex"),
+                              spark.createDataFrame(pairs, "src int, dst int"), 3)
     assert dict(rows(got)) == want
 
 
@@ -131,23 +132,25 @@ def test_filters_and_visible_part(spark):
     assert rows(graph.vertices_with(v, "kind", ["x", ""])) == [("a",)]
     assert rows(graph.vertices_with(v, "n", ["0", "2"])) == [("c",)]
     assert rows(graph.ends_of_edges_with(e, "kind", ["m"])) == [("b",), ("c",)]
+    assert rows(graph.visible_vertices(v, v.filter("vertex = 'c'")), "vertex") == [("c",)]
     assert rows(graph.visible_subgraph(e, v.filter("vertex <> 'c'"))) == [("a", "b", "k")]
 
 
 def test_a_hot_database_is_split_on_the_shuffle_path(spark):
     """Two thirds of the log ask one database; the lookup join cuts that key and loses nothing."""
     q = spark.range(60_000).select(
-        F.col("id").alias("question_id"), F.when(F.col("id") % 3 < 2, "shop").otherwise(
+        F.col("id").alias("question_id"), F.when(F.col("id") % 3 < 2, "library").otherwise(
             F.concat(F.lit("db"), F.col("id").cast("string"))).alias("db_id"),
-        F.array(F.lit("client"), F.lit("district")).alias("names"), F.array().cast("array<string>").alias("words"))
+        F.array(F.lit("reader"), F.lit("branch")).alias("names"), F.array().cast("array<string>").alias("words"))
     asked = q.select("question_id", "db_id", F.explode("names").alias("name_key"))
-    c = catalog.plain_catalog(entries(spark, SHOP, entry("other")))
+    c = catalog.plain_catalog(entries(spark, LIBRARY, entry("other")))
     index = catalog.table_names(c.tables, c.columns)
     keys = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
-            "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "64"}
-    before = {k: spark.conf.get(k) for k in keys}
+            "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "64",
+            "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in keys}
     try:
         for k, v in keys.items():
             spark.conf.set(k, v)
@@ -157,12 +160,16 @@ def test_a_hot_database_is_split_on_the_shuffle_path(spark):
         assert "SortMergeJoin(skew=true)" in plan
     finally:
         for k, v in before.items():
-            spark.conf.set(k, v)
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_database_without_tables_keeps_its_questions(spark):
+    bare = entry("library", tables=(), columns=())
+    q = graph.in_catalog(log(spark, "SELECT 1 FROM reader"), library(spark, bare))
+    got = graph.gold_records(q, facts_of(spark, q), library(spark, bare)).collect()
+    assert [(r["question_id"], r["context_text"]) for r in got] == [(0, "")]
 
 
-def test_broadcast_only_behind_a_measured_size(spark):
-    small, large = spark.range(10), spark.range(1000).selectExpr("id", "repeat('x', 100) as t")
-    assert joins.fits_broadcast(small, limit=200)
-    assert not joins.fits_broadcast(small, large, limit=50_000)
-    plan = lambda flag: joins.lookup_join(large, small, ["id"], "left", flag)._jdf.queryExecution().toString()
-    assert "BroadcastHashJoin" in plan(True) and "BroadcastHashJoin" not in plan(False)
+def test_words_of_sql_are_no_columns(spark):
+    item = entry("library", tables=("reader",), columns=((-1, "*"), (0, "end"), (0, "desc")))
+    assert nodes(spark, "SELECT CASE WHEN 1 THEN 2 END FROM nowhere ORDER BY 1 DESC", item=item) == []

@@ -30,8 +30,7 @@ def test_json_arrays(spark, tmp_path):
 def test_folders(spark):
     f = spark.createDataFrame([(0, "my-db"), (0, "My_DB"), (1, "mydb"), (1, "other"), (1, "数据")], "root_ord int, folder string")
     dbs = spark.createDataFrame([("mydb",), ("other",), ("none",), ("My_DB",), ("数",)], "db_id string")
-    for small in (True, False):
-        assert rows(descriptions.resolve_folders(dbs, f, small)) == [
+    assert rows(descriptions.resolve_folders(dbs, f)) == [
             ("My_DB", 0, "My_DB"), ("mydb", 0, "My_DB"), ("other", 1, "other"), ("数", 1, "数据")]
 
 
@@ -76,9 +75,19 @@ def test_jobs_from_files_to_files(spark, tmp_path):
     assert names == ["chunk=q_part1of3", "chunk=q_part2of3", "chunk=q_part3of3"]
 
 
-def test_bad_files_are_passed_over_and_listed(spark):
+def test_cells_of_any_length(spark):
     texts = spark.createDataFrame([("x/d/database_description/t.csv", "original_column_name\n" + "a" * 200_000 + "\n"),
                                    ("x/d/database_description/u.csv", "original_column_name\nid\n")], "path string, text string")
     got = descriptions.parse_files(texts)
-    assert got.filter("error is not null").count() == 1
-    assert rows(got.filter("error is null"), "row_no", "original_column_name") == [(0, "id")]
+    assert got.filter("error is not null").count() == 0
+    assert sorted(len(r["original_column_name"]) for r in got.collect()) == [2, 200_000]
+
+
+def test_one_bad_item_or_key_takes_nothing_else_with_it(spark, tmp_path):
+    (tmp_path / "i.json").write_text('[1, {"q": "a"}, null, "x", {"q": "b", "n": "no number"}]')
+    assert rows(json_docs.read_array(spark, str(tmp_path / "i.json"), "q string, n int"), "pos", "q", "n") == [(1, "a", None), (4, "b", None)]
+    (tmp_path / "cut.json").write_text('[{"q": "a"}, {"q"')
+    with pytest.raises(Exception, match="expected a JSON array"):
+        json_docs.read_array(spark, str(tmp_path / "cut.json"), "q string", strict=True).collect()
+    (tmp_path / "e.json").write_text('[{"db_id": "d", "foreign_keys": [[1, 2], ["x", 3], [[1, 2], 3], 7, [4, 5]]}]')
+    assert json_docs.read_entries(spark, str(tmp_path / "e.json")).first()["foreign_keys"] == [[1, 2], [None, 3], [None, 3], None, [4, 5]]
