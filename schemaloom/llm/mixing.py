@@ -74,6 +74,16 @@ def leaf_budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], total: i
     return got.drop("capacity")
 
 
+def end_bins(bins: DataFrame, leaf: list[str]) -> DataFrame:
+    """Per leaf the first of its `bins` (bin, in_bin, start: tokens before them) that leads beyond `to`, as `end` (bin, start).
+
+    A leaf comes with 256 bins at most, so the window is small however large the leaf is.
+    """
+    upto = F.col("start") + F.sum("in_bin").over(Window.partitionBy(*leaf).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    return (bins.withColumn("upto", upto).where("upto > to").groupBy(*leaf)
+            .agg(F.min(F.struct("bin", (F.col("upto") - F.col("in_bin")).alias("start"))).alias("end")))
+
+
 def mix_sources(docs: DataFrame, domain: Column, lang: Column, source: Column, tokens: Column,
                 weights: dict[str, dict[str, int]], total: int | None = None, percent: int = 100, max_epochs: int = EPOCHS, seed: int = SEED,
                 doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -95,11 +105,13 @@ def mix_sources(docs: DataFrame, domain: Column, lang: Column, source: Column, t
     n_rows = rows.count()
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     keyed = lookup(rows, plan.drop("tokens"), leaf, "n", n_rows, "inner").withColumn("key", key).withColumn("bin", F.substring("key", 1, 4))
-    # where the prefix ends: first by bins of the key (65,536 to a leaf), then inside the one bin where it ends
-    bins = keyed.where("rest > 0").groupBy(*leaf, "bin").agg(F.sum("n_tokens").alias("in_bin"), F.first("rest").alias("to"))
-    upto = Window.partitionBy(*leaf).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    ends = staged(bins.withColumn("upto", F.sum("in_bin").over(upto)).where("upto > to")
-                  .groupBy(*leaf).agg(F.min(F.struct("bin", (F.col("upto") - F.col("in_bin")).alias("start"))).alias("end")))
+    # where the prefix ends: by two digits of the key, by the next two inside the bin where it ends, then inside that one
+    bins = staged(keyed.where("rest > 0").groupBy(*leaf, "bin").agg(F.sum("n_tokens").alias("in_bin"), F.first("rest").alias("to")))
+    two = F.substring("bin", 1, 2)
+    wide = bins.groupBy(*leaf, two.alias("bin")).agg(F.sum("in_bin").alias("in_bin"), F.first("to").alias("to"))
+    first = staged(end_bins(wide.withColumn("start", F.lit(0).cast("long")), leaf))
+    narrow = bins.join(first.select(*leaf, F.col("end.bin").alias("in"), F.col("end.start").alias("start")), leaf).where(two == F.col("in"))
+    ends = staged(end_bins(narrow, leaf))
     ended = lookup(keyed, ends.join(plan.select(*leaf, "n"), leaf), leaf, "n", n_rows)
     inside = F.col("bin") == F.col("end.bin")
     order = Window.partitionBy(*leaf).orderBy("key", "text_hash", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
