@@ -144,7 +144,7 @@ def description_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _texts() -> list[Column]:
-    """The sixteen ways a logged query is written; literals come from the order."""
+    """The ways a logged query is written; literals come from the order."""
     status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
     day, price = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_custkey").cast("string")
     c = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
@@ -177,10 +177,14 @@ def _texts() -> list[Column]:
           "WHERE T2.\"order status\" = '", status, "'"),
         c("WITH big AS (SELECT o_orderkey FROM orders WHERE o_totalprice > ", price, ") SELECT c.c_name, b.* FROM "
           "big b, customer c UNION SELECT s_name FROM supplier"),
+        c("SELECT s.k, r_name FROM (SELECT o_custkey AS k FROM orders WHERE o_totalprice > ", price,
+          ") AS s, customer c, region WHERE s.k = c.c_custkey"),
+        c("SELECT b.c_name FROM nation AS a JOIN (SELECT s_name FROM supplier WHERE s_acctbal > ", price,
+          ") s ON a.n_name = s.s_name JOIN customer AS b USING (name)"),
     ]
 
 
-TEMPLATES = 16
+TEMPLATES = 18
 
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
