@@ -58,8 +58,8 @@ def test_canonical_file_is_used_only_without_an_original_one(spark):
 def test_report(spark):
     e = entries(spark, entry(fks=[(1, 2), (0, 1)]), entry("e"))
     r = spark.createDataFrame([("d", "a", 0, "x", "", "the x")], ROWS)
-    c = enrich.enriched_catalog(e, r, True)
-    fks = enrich.fk_descriptions(catalog.foreign_keys(e), c.described, True)
+    c = enrich.enriched_catalog(e, r)
+    fks = enrich.fk_descriptions(catalog.foreign_keys(e), c.described)
     assert rows(enrich.enrichment_report(e, fks, c.described)) == [(2, 0, 3, 1)]
     assert rows(enrich.enrichment_report(e, fks, c.described, by_db=True)) == [("d", 1, 0, 1, 1), ("e", 1, 0, 2, 0)]
     nested = enrich.nested_entries(e, fks, c.described).filter("db_id = 'd'").first()
@@ -78,7 +78,7 @@ def test_fk_text_of_a_repeated_key_is_the_last(spark):
 def test_tables_without_columns_borrow_by_letters(spark):
     e = entries(spark, entry(tables=("t one", "T-ONE", "z"), canonical=["t one", "T-ONE", "z"],
                              columns=((-1, "*"), (0, "x"))))
-    c = catalog.plain_catalog(e, True)
+    c = catalog.plain_catalog(e)
     got = {r["table_name"]: [x["name"] for x in r["columns"]] for r in c.column_lists().collect()}
     assert got == {"t one": ["x"], "T-ONE": ["x"]}
 

@@ -82,7 +82,7 @@ def test_edges_and_nodes(spark):
 def test_fallback_to_words_only_without_any_node(spark):
     item = entry("library", tables=("reader", "line item", "*"), columns=((-1, "*"), (0, "x"), (1, "x"), (2, "x")))
     assert nodes(spark, "SELECT 1 -- reader's Line Item", "SELECT 1 -- line-item readers", "SELECT 1 FROM reader --"
-                 " line item", "", item=item) == [(0, "reader"), (0, "line item"), (2, "reader")]
+                 " line item", "", item=item) == [(0, "line item"), (0, "reader"), (2, "reader")]
 
 
 def test_records_and_context_text(spark):
@@ -92,7 +92,7 @@ def test_records_and_context_text(spark):
     done = spark.createDataFrame(done.collect(), done.schema)
     got = done.orderBy("question_id").collect()
     assert got[0]["context_text"] == (
-        "Table reader: reader_id: the unique id, branch_id, joined\nTable branch: branch_id, Aisle\n"
+        "Table branch: branch_id, Aisle\nTable reader: reader_id: the unique id, branch_id, joined\n"
         f"Relationships:\nreader.branch_id → branch.branch_id ({READER_FK})")
     assert got[0]["question_en"] == "q0" and got[0]["question_ar"] == ""
     assert [(r["context_text"], r["gold_graph"]["nodes"]) for r in got[1:]] == [("", []), ("", [])]
