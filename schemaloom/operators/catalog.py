@@ -19,6 +19,9 @@ from schemaloom.operators.joins import salted_lookup_join
 ENTRY_SCHEMA = ("db_id string, table_names array<string>, table_names_original array<string>, "
                 "column_names array<array<string>>, column_names_original array<array<string>>, "
                 "foreign_keys array<array<int>>")
+# What `enrich.nested_entries` adds.
+ENRICHED_SCHEMA = (f"{ENTRY_SCHEMA}, column_descriptions array<string>, foreign_key_descriptions array<struct<child_table "
+                   "string, child_column string, parent_table string, parent_column string, summary string, usage string>>")
 
 
 def _or_else(a: str, b: str) -> Column:

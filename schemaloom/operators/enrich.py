@@ -75,6 +75,19 @@ def enriched_catalog(entries: DataFrame, rows: DataFrame) -> catalog.Catalog:
                            described, texts)
 
 
+def catalog_of_enriched(entries: DataFrame) -> catalog.Catalog:
+    """The catalog of entries that carry their descriptions already (`catalog.ENRICHED_SCHEMA`)."""
+    named = catalog.named_entries(entries)
+    texts = named.select("db_id", F.posexplode("column_descriptions").alias("col_idx", "description"))
+    cols = catalog.columns(entries)
+    described = lookup_join(cols, texts, ["db_id", "col_idx"]).select(*cols.columns, filled(F.col("description")).alias("description"))
+    keys = named.select("db_id", F.posexplode("foreign_key_descriptions").alias("fk_pos", "k")).select("db_id", "fk_pos", "k.*")
+    keep = lambda df: sinks.staged(df, sinks.shared_folder(entries.sparkSession))
+    described = keep(described)
+    return catalog.Catalog(keep(catalog.databases(entries)), keep(catalog.tables(entries)), described.drop("description"),
+                           described, keep(fk_texts(keys)))
+
+
 def enrichment_report(entries: DataFrame, fk_rows: DataFrame, described: DataFrame, by_db: bool = False) -> DataFrame:
     """Counts of databases, of foreign keys and columns left without text, and of dropped foreign keys."""
     zero = F.lit(0).cast("long")

@@ -10,9 +10,13 @@ from schemaloom.operators import enrich, graph, records, refs
 from schemaloom.sources import descriptions, json_docs, sinks
 
 
+#: The column with the fields of an entry or a record that are written back as they were.
+REST = "_rest"
+
+
 def load_catalog(spark: SparkSession, entries_path: str, roots: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Schema entries and their description rows."""
-    entries = cat.latest_entries(cat.named_entries(json_docs.read_entries(spark, entries_path)), "pos")
+    """Schema entries, as they are also in `REST`, and their description rows."""
+    entries = cat.latest_entries(cat.named_entries(json_docs.read_entries(spark, entries_path, rest=REST)), "pos")
     if roots:
         rows = descriptions.descriptions_by_db(entries, descriptions.read_description_files(spark, roots))
     else:
@@ -22,21 +26,27 @@ def load_catalog(spark: SparkSession, entries_path: str, roots: list[str]) -> tu
 
 
 def enrich_schemas(spark: SparkSession, entries_path: str, roots: list[str], out: str) -> DataFrame:
-    """Write the entries with descriptions attached; returns the counts."""
+    """Write the entries with descriptions attached and all other fields as they were; returns the counts."""
     entries, rows = load_catalog(spark, entries_path, roots)
     described = sinks.staged(
         enrich.column_descriptions(cat.columns(entries), enrich.description_map(rows)),
         sinks.shared_folder(spark))
     fks = enrich.fk_descriptions(cat.foreign_keys(entries), described)
-    sinks.write_json(enrich.nested_entries(entries, fks, described).drop("pos"), out)
+    sinks.write_json(enrich.nested_entries(entries, fks, described).select(
+        "column_descriptions", "foreign_key_descriptions", REST), out, rest=REST)
     return enrich.enrichment_report(entries, fks, described)
 
 
-def build_gold_graphs(spark: SparkSession, entries_path: str, roots: list[str], question_paths: list[str],
+def build_gold_graphs(spark: SparkSession, entries_path: str, roots: list[str] | None, question_paths: list[str],
                       out: str) -> None:
-    """Write one record with graph and context text per question of a known database."""
-    entries, rows = load_catalog(spark, entries_path, roots)
-    catalog = enrich.enriched_catalog(entries, rows)
+    """Write one record with graph and context text per question of a known database.
+
+    Without `roots` the entries are those that `enrich_schemas` wrote, as JSON lines, or such an array.
+    """
+    if roots is None:
+        catalog = enrich.catalog_of_enriched(cat.latest_entries(cat.named_entries(read_enriched(spark, entries_path)), "pos"))
+    else:
+        catalog = enrich.enriched_catalog(*load_catalog(spark, entries_path, roots))
     files = [json_docs.read_questions(spark, p) for p in question_paths]
     log = records.file_ordinal(records.union_files(*files)).withColumnRenamed("idx", "record_key")
     log = graph.in_catalog(log, catalog)
@@ -44,11 +54,18 @@ def build_gold_graphs(spark: SparkSession, entries_path: str, roots: list[str],
     sinks.write_json(graph.gold_records(log, facts, catalog, "record_key"), out)
 
 
+def read_enriched(spark: SparkSession, path: str) -> DataFrame:
+    """Enriched entries with `pos`. JSON lines have no order; there each database comes once."""
+    array = json_docs.read_entries(spark, path, cat.ENRICHED_SCHEMA)
+    lines = spark.read.schema(cat.ENRICHED_SCHEMA).json(path).withColumn("pos", F.lit(-1))
+    return array.unionByName(lines)
+
+
 def prepare_translation(spark: SparkSession, question_path: str, out: str, stem: str, parts: int = 4) -> DataFrame:
-    """Write the bilingual records in chunks for translators; returns the change report."""
-    raw = json_docs.read_array(spark, question_path, json_docs.QUESTION_SCHEMA, strict=True).drop("path")
+    """Write the bilingual records, all other fields kept, in chunks for translators; returns the change report."""
+    raw = json_docs.read_array(spark, question_path, json_docs.QUESTION_SCHEMA, strict=True, rest=REST).drop("path")
     numbered = records.bilingual(raw.withColumnRenamed("pos", "idx"))
-    sinks.write_chunks(records.split_contiguous(numbered, parts).drop("idx"), out, stem, parts)
+    sinks.write_chunks(records.split_contiguous(numbered, parts).drop("idx"), out, stem, parts, rest=REST)
     return records.change_report(raw)
 
 

@@ -20,21 +20,27 @@ def array_items(text: Column, strict: bool = False) -> Column:
     return F.coalesce(items, F.raise_error(F.lit("expected a JSON array"))) if strict else items
 
 
-def explode_items(docs: DataFrame, schema: str, text: str = "text", strict: bool = False) -> DataFrame:
+def explode_items(docs: DataFrame, schema: str, text: str = "text", strict: bool = False, rest: str | None = None,
+                  but: list[str] | None = None) -> DataFrame:
     """Rows of the objects in the arrays in `text` with their 0-based `pos`; the other columns are kept.
 
-    Items are read one by one: one that is no object, or whose fields do not fit, takes nothing else with it.
+    Items are read one by one: one that is no object, or whose fields do not fit, takes nothing else with it. If `rest` is
+    given, that map column has all fields as they are, whatever their types, without those in `but` (None: those of the schema).
     """
     others = [c for c in docs.columns if c != text]
     items = docs.select(*others, F.posexplode(array_items(F.col(text), strict)).alias("pos", "item"))
+    known = T.StructType.fromDDL(schema)
+    left = known.names if but is None else but
+    unknown = F.map_filter(F.from_json("item", "map<string,variant>"), lambda name, _: ~name.isin(left))
     return (items.filter(F.regexp_like("item", F.lit(r"^\s*\{")))
-            .select(*others, "pos", F.from_json("item", T.StructType.fromDDL(schema)).alias("item"))
-            .select(*others, "pos", "item.*"))
+            .select(*others, "pos", F.from_json("item", known).alias("read"), *([unknown.alias(rest)] if rest else []))
+            .select(*others, "pos", "read.*", *([rest] if rest else [])))
 
 
-def read_array(spark: SparkSession, paths: str | list[str], schema: str, strict: bool = False) -> DataFrame:
+def read_array(spark: SparkSession, paths: str | list[str], schema: str, strict: bool = False, rest: str | None = None,
+               but: list[str] | None = None) -> DataFrame:
     """Array documents as rows with `path` and `pos`. A document is one task; ingest large ones once."""
-    return explode_items(read_texts(spark, paths), schema, strict=strict)
+    return explode_items(read_texts(spark, paths), schema, strict=strict, rest=rest, but=but)
 
 
 def read_array_or_empty(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
@@ -47,11 +53,15 @@ def read_array_or_empty(spark: SparkSession, paths: str | list[str], schema: str
         return spark.createDataFrame([], f"path string, pos int, {schema}")
 
 
-def read_entries(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Schema entries with `pos`. A foreign key that is no pair of numbers does not affect the others."""
-    loose = ENTRY_SCHEMA.replace("foreign_keys array<array<int>>", "foreign_keys array<string>")
+def read_entries(spark: SparkSession, paths: str | list[str], schema: str = ENTRY_SCHEMA, rest: str | None = None) -> DataFrame:
+    """Schema entries with `pos`. A foreign key that is no pair of numbers does not affect the others.
+
+    `rest` has each entry as it stands in the file, but for the descriptions that enriching attaches.
+    """
+    loose = schema.replace("foreign_keys array<array<int>>", "foreign_keys array<string>")
     pair = lambda p: F.transform(F.from_json(p, "array<string>"), lambda end: end.try_cast("int"))
-    return read_array(spark, paths, loose).drop("path").withColumn("foreign_keys", F.transform("foreign_keys", pair))
+    entries = read_array(spark, paths, loose, rest=rest, but=["column_descriptions", "foreign_key_descriptions"])
+    return entries.drop("path").withColumn("foreign_keys", F.transform("foreign_keys", pair))
 
 
 def read_questions(spark: SparkSession, paths: str | list[str], schema: str = QUESTION_SCHEMA) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,16 +24,34 @@ def staged(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """JSON lines in UTF-8, nulls written out."""
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def as_json(columns: list[str], rest: str | None = None) -> Column:
+    """One JSON object of the columns, nulls written out, followed by the fields in the map column `rest`."""
+    known = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    if rest is None:
+        return known
+    more = F.to_json(rest, {"ignoreNullFields": "false"})
+    return F.when(F.cardinality(F.col(rest)) > 0, F.concat(F.regexp_replace(known, r"\}$", ","), F.substring(more, 2, F.length(more)))).otherwise(known)
 
 
-def write_chunks(df: DataFrame, path: str, stem: str, parts: int) -> None:
-    """One folder per chunk, named `{stem}_part{i}of{parts}`; `df` has a `part` column."""
-    name = F.concat(F.lit(f"{stem}_part"), F.col("part"), F.lit(f"of{parts}"))
-    (df.withColumn("chunk", name).drop("part").write.mode("overwrite")
-     .option("ignoreNullFields", "false").partitionBy("chunk").json(path))
+def write_json(df: DataFrame, path: str, rest: str | None = None) -> None:
+    """JSON lines in UTF-8, nulls written out, the fields in `rest` beside the columns."""
+    columns = [c for c in df.columns if c != rest]
+    df.select(as_json(columns, rest).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_chunks(df: DataFrame, path: str, stem: str, parts: int, rest: str | None = None) -> None:
+    """One folder of JSON lines per chunk, named `{stem}_part{i}of{parts}`; `df` has a `part` column.
+
+    Chunks without rows are there too.
+    """
+    name = lambda i: F.concat(F.lit(f"{stem}_part"), i, F.lit(f"of{parts}"))
+    columns = [c for c in df.columns if c not in ("part", rest)]
+    lines = df.select(name(F.col("part")).alias("chunk"), as_json(columns, rest).alias("value"))
+    lines.write.mode("overwrite").partitionBy("chunk").text(path)
+    filled = {r["part"] for r in df.select("part").distinct().collect()}  # at most `parts` numbers
+    nothing = df.sparkSession.createDataFrame([], "value string")
+    for i in sorted(set(range(1, parts + 1)) - filled):
+        nothing.write.mode("overwrite").text(f"{path}/chunk={stem}_part{i}of{parts}")
 
 
 def read_chunks(spark: SparkSession, path: str, schema: str) -> DataFrame:

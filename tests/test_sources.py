@@ -42,14 +42,15 @@ def test_jobs_from_files_to_files(spark, tmp_path):
     """Description files, enrichment, graphs, chunks and merge over one small set of files."""
     schema = {"db_id": "shop 1", "table_names": ["client list", "town"], "table_names_original": ["clients", "town"],
               "column_names": [[-1, "*"], [0, "id"], [0, "town id"], [1, "id"]],
-              "column_names_original": [[-1, "*"], [0, "id"], [0, "town_id"], [1, "id"]], "foreign_keys": [[2, 3]]}
+              "column_names_original": [[-1, "*"], [0, "id"], [0, "town_id"], [1, "id"]], "foreign_keys": [[2, 3]],
+              "primary_keys": [1, [2, 3]], "x": {"y": None, "z": "a \"b\" }"}}
     (tmp_path / "tables.json").write_text(json.dumps([schema]))
     d = tmp_path / "dbs" / "Shop_1" / "database_description"
     d.mkdir(parents=True)
     (d / "clients.csv").write_bytes('original_column_name,column_name,column_description\r\n'
                                     'TOWN_ID,town,"where, they\r\nlive “now”"\r\n'.encode("cp1252"))
     (d / "town.csv").write_text("\ufefforiginal,description,extra\nid,town id,x\n", "utf-8")
-    questions = [{"question_id": i, "db_id": db, "question": f"q{i}", "evidence": "", "SQL": sql, "difficulty": "simple"}
+    questions = [{"question_id": i, "db_id": db, "question": f"q{i}", "evidence": "", "SQL": sql, "difficulty": "simple", "topic": ["t", 1.5]}
                  for i, (db, sql) in enumerate([
                      ("shop 1", "SELECT 1 FROM clients c JOIN town t ON c.town_id = t.id"), ("gone", "SELECT 1"),
                      ("shop 1", "SELECT 1 FROM Town"), ("shop 1", "")])]
@@ -61,6 +62,9 @@ def test_jobs_from_files_to_files(spark, tmp_path):
     assert done["column_descriptions"] == ["", "", "where, they\r\nlive “now”", "town id"]
     summary = "clients.town_id references town.id. where, they live “now”."
     assert done["foreign_key_descriptions"][0]["summary"] == summary
+    written = [json.loads(x) for x in (r["value"] for r in spark.read.text(str(tmp_path / "out")).collect())]
+    assert [{k: e[k] for k in schema} for e in written] == [schema]
+    assert set(written[0]) == {*schema, "column_descriptions", "foreign_key_descriptions"}
 
     flows.build_gold_graphs(spark, str(tmp_path / "tables.json"), [str(tmp_path / "dbs")],
                             [str(tmp_path / "q.json"), str(tmp_path / "missing.json")], str(tmp_path / "gold"))
@@ -69,10 +73,25 @@ def test_jobs_from_files_to_files(spark, tmp_path):
     assert gold[0]["context_text"].endswith(f"Relationships:\nclients.town_id → town.id ({summary})")
     assert gold[1]["context_text"] == "Table Town: id: town id" and gold[2]["context_text"] == ""
 
+    # the enriched file alone, as it was written and as an array, gives the same
+    (tmp_path / "enriched.json").write_text(json.dumps(written))
+    for enriched in ("out", "enriched.json"):
+        flows.build_gold_graphs(spark, str(tmp_path / enriched), None, [str(tmp_path / "q.json")], str(tmp_path / "gold2"))
+        assert sorted(spark.read.json(str(tmp_path / "gold2")).collect(), key=lambda r: r["record_key"]) == gold
+
     report = flows.prepare_translation(spark, str(tmp_path / "q.json"), str(tmp_path / "parts"), "q", 3).first()
     assert (report["records"], report["changed"]) == (4, 4)
     names = sorted(p.name for p in (tmp_path / "parts").iterdir() if p.is_dir())
     assert names == ["chunk=q_part1of3", "chunk=q_part2of3", "chunk=q_part3of3"]
+    out = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "parts")).collect()]
+    assert len(out) == 4 and all(r["topic"] == ["t", 1.5] and "pos" not in r and "idx" not in r for r in out)
+
+
+def test_chunks_without_rows_are_written(spark, tmp_path):
+    one = spark.createDataFrame([(1, "a", 1)], "id int, s string, part int")
+    sinks.write_chunks(one, str(tmp_path / "c"), "q", 3)
+    assert sorted(p.name for p in (tmp_path / "c").iterdir() if p.is_dir()) == [f"chunk=q_part{i}of3" for i in (1, 2, 3)]
+    assert rows(sinks.read_chunks(spark, str(tmp_path / "c"), "id int, s string")) == [(1, "a", "q_part1of3")]
 
 
 def test_cells_of_any_length(spark):
