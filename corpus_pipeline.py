@@ -35,10 +35,11 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one with the least id. Repeated rows of it come once."""
+    """One document of each SimHash group: the one with the least id, one without an id if none has any. Repeated rows of it come once."""
     grouped = simhash.simhash_dedup(docs)
-    # the group's document: least id, then least text hash where an id has several texts
-    first = staged(grouped.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.*"))
+    # the group's document: least id, nulls last, then least text hash where an id has several texts
+    order = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_hash")
+    first = staged(grouped.groupBy("root").agg(F.min(order).alias("k")).select("k.doc_id", "k.text_hash"))
     mine, k = _keyed(docs), first.select(F.col("doc_id").alias("__k"), F.col("text_hash").alias("__h"))
     on = mine["__id"].eqNullSafe(k["__k"]) & (mine["__text_hash"] == k["__h"])
     return mine.join(k, on, "left_semi").dropDuplicates(["__id", "__text_hash"]).select(*docs.columns)

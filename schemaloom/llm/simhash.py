@@ -214,10 +214,11 @@ def near_pairs(distinct: DataFrame, distance: int = DISTANCE, groups: int = GROU
 
 
 def simhash_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, text_hash, fingerprint (16 hex digits), component_id (least id reachable over links) per row of `docs`.
+    """doc_id, text_hash, fingerprint (16 hex digits), component_id (least id reachable over links), root per row of `docs`.
 
     Null and wordless texts have fingerprint zero and are linked like others. Rows without an id keep a null component
-    unless a row with one is linked to them. Repeated rows are in one component.
+    unless a row with one is linked to them. Repeated rows are in one component. component_id is no key of the components:
+    it is null for all without an id, and an id with several texts may name two. `root`, the least fingerprint, is one.
     """
     rows = staged(fingerprints(docs, doc_id, text, shingle))
     distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
@@ -226,6 +227,6 @@ def simhash_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     # fingerprints of a component agree on the least id below any of them
     labelled = staged(distinct.join(label, distinct.fp == label.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node"))
     roots = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
-    named = staged(lookup(labelled, roots, ["root"], "members", labelled.count(), "inner").select("fp", "component_id", "n"))
+    named = staged(lookup(labelled, roots, ["root"], "members", labelled.count(), "inner").select("fp", "root", "component_id", "n"))
     return lookup(rows, named, ["fp"], "n", rows.count(), "inner").select(
-        "doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        "doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")

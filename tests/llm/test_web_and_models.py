@@ -250,6 +250,20 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"]: r["decoded"] for r in seen["sentencepiece"]} == text
 
 
+def test_one_document_of_each_group(spark):
+    """Groups without ids, groups that share their least id, and a group of rows with and without an id."""
+    rnd = random.Random(21)
+    a, b, c, d, e, f = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(80)) for _ in range(6))
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (7, d.upper()), (None, e), (9, e.upper()), (8, e), (8, e), (2, f), (2, f.upper())]
+    prints = [simhash.fingerprint(t) for _, t in rows]
+    assert all((x == y) == ((x ^ y).bit_count() <= 2) for x in prints for y in prints) and len(set(prints)) == 6
+    docs = spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each(spark, docs, "").collect()]
+    last = [r for r in got if r[0] == 2]  # an id with two texts in one group: either, but one
+    assert len(last) == 1 and last[0][1] in (f, f.upper())
+    assert sorted((r for r in got if r[0] != 2), key=repr) == sorted([(None, a), (None, b), (1, c), (1, d), (8, e)], key=repr)
+
+
 @has_tables
 def test_pipeline_of_nothing(spark, tmp_path):
     queries.table(spark, SF, "documents").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
