@@ -4,11 +4,16 @@ A window's minimiser is the least hash of its m-word runs, so equal windows have
 that share a minimiser travel as one packed string, a super-k-mer, to the minimiser's bucket, where the windows are
 sorted and the least document of each is found. Only super-k-mers whose minimiser occurs in two documents or more need to
 travel; which those are is found first from the hashes alone. Equal packed strings are merged before the shuffle.
+
+A run that many documents share between different words brings one different string per document to one bucket. Buckets of
+too many windows are cut again by the next least hash of each window's runs, and again, until none is crowded. The order of a
+window's hashes depends on the window alone, so equal windows stay together.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +26,10 @@ from schemaloom.llm.shared import lookup, row_key, staged
 
 #: Words in a window and in the runs that minimisers are taken from.
 WINDOW, RUN = 50, 12
+#: Windows of different strings from which on a bucket is cut again.
+CROWDED = 1 << 14
+#: In place of a hash: the windows have no further run.
+_NONE = np.uint64(2**64 - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -28,21 +37,31 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()  # bytes.split: the six ASCII blanks only
 
 
-def super_kmers(words: list[bytes], window: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimiser, first window, number of windows) of each super-k-mer of one document."""
-    n = len(words)
-    if n < window:
-        return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
-    one = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, n)
-    runs = n - run + 1
+def run_hashes(words: list[bytes], run: int) -> np.ndarray:
+    """A hash per run of `run` words."""
+    one = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+    runs = len(words) - run + 1
     mixed = np.zeros(runs, np.uint64)
     for j in range(run):
         mixed = mixed * _BASE + one[j:j + runs]
     mixed ^= mixed >> np.uint64(31)
     mixed *= np.uint64(0xD6E8FEB86659FD93)
     mixed ^= mixed >> np.uint64(32)
+    return mixed
+
+
+def super_kmers(words: list[bytes], window: int, run: int, above: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(minimiser, first window, number of windows) of each super-k-mer of one document.
+
+    With `above` the minimiser is the least hash above that one, and all bits set if a window has none.
+    """
+    n = len(words)
+    if n < window:
+        return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
+    least = run_hashes(words, run)
+    if above is not None:
+        least = np.where(least > np.int64(above).astype(np.uint64), least, _NONE)
     span = window - run + 1  # runs in a window
-    least = mixed.copy()
     width = 1
     while width < span:  # minima of doubling widths
         step = min(width, span - width)
@@ -86,7 +105,7 @@ def _packed(suspects: DataFrame, window: int) -> DataFrame:
                 words, d, h = words_of(text.as_py()), d.as_py(), h.as_py()
                 for k in kmers.as_py():
                     s, n = k["start"], k["size"]
-                    out.append((k["minimiser"], b" ".join(words[s:s + n + window - 1]), d, h, s))
+                    out.append((k["minimiser"], b" ".join(words[s:s + n + window - 1]), d, h, s, n, k["minimiser"]))
                     held += len(out[-1][1])
                 if held > 4 << 20:
                     yield _rows(out)
@@ -94,14 +113,59 @@ def _packed(suspects: DataFrame, window: int) -> DataFrame:
             yield _rows(out)
 
     return suspects.select("doc", "text_hash", "text", "kmers").mapInArrow(
-        packed, "minimiser long, packed binary, doc long, text_hash long, start int")
+        packed, _PACKED).withColumn("string_hash", F.unhex(F.md5("packed")))
+
+
+#: `last` is the hash that the windows were cut by last, and `minimiser` the bucket: at first the same, then mixed from all of them.
+_PACKED = "minimiser long, packed binary, doc long, text_hash long, start int, size int, last long"
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*out)) or [[]] * 5
-    types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
+    cols = list(zip(*out)) or [[]] * 7
+    types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
-                                      ["minimiser", "packed", "doc", "text_hash", "start"])
+                                      ["minimiser", "packed", "doc", "text_hash", "start", "size", "last"])
+
+
+def _cut_again(packed: DataFrame, window: int, run: int) -> DataFrame:
+    """The strings of `packed` cut by the least hash above their last one, as `_packed` has them."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            held = 0
+            for bucket, string, d, h, start, last in zip(*(c.to_pylist() for c in b.columns)):
+                words = string.split(b" ")
+                for m, s, n in zip(*(x.tolist() for x in super_kmers(words, window, run, last))):
+                    out.append((xxhash.xxh64_intdigest(struct.pack("<qq", bucket, m)) - 2**63, b" ".join(words[s:s + n + window - 1]), d, h, start + s, n, m))
+                    held += len(out[-1][1])
+                if held > 4 << 20:
+                    yield _rows(out)
+                    out, held = [], 0
+            yield _rows(out)
+
+    return packed.select("minimiser", "packed", "doc", "text_hash", "start", "last").mapInArrow(
+        cut, _PACKED).withColumn("string_hash", F.unhex(F.md5("packed")))
+
+
+def _spread(packed: DataFrame, window: int, run: int, crowded: int) -> DataFrame:
+    """`packed` (staged) with buckets of over `crowded` windows in different strings cut again until there are none.
+
+    Each round uses up one run of the window, so there are fewer rounds than runs in a window. Windows left together
+    then have the same set of runs, that is, the same words but for the order of repeats.
+    """
+    out = None
+    while True:
+        strings = (packed.where(F.col("last") != int(_NONE.astype(np.int64))).groupBy("minimiser", "string_hash")
+                   .agg(F.first("size").alias("size"), F.count("*").alias("n")))
+        full = staged(strings.groupBy("minimiser").agg(F.sum("size").alias("windows"), F.sum("n").alias("n"))
+                      .where(F.col("windows") > crowded).select("minimiser", "n", F.lit(True).alias("full")))
+        if full.isEmpty():
+            return packed if out is None else out.unionByName(packed)
+        marked = lookup(packed, full, ["minimiser"], "n", packed.count())
+        rest = marked.where("full IS NULL").drop("full")
+        out = rest if out is None else out.unionByName(rest)
+        packed = staged(_cut_again(marked.where("full"), window, run))
 
 
 def _least_documents(strings: DataFrame, window: int) -> DataFrame:
@@ -156,7 +220,8 @@ def _without(suspects: DataFrame, window: int) -> DataFrame:
         cut, "doc long, text_hash long, n_removed long, left string")
 
 
-def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, run: int = RUN) -> DataFrame:
+def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, run: int = RUN,
+                    crowded: int = CROWDED) -> DataFrame:
     """doc_id, n_words, n_removed, left (the remaining words; null if nothing was removed), words_sha256 (of all words).
 
     A word goes if it is covered by a window of `window` consecutive words that also starts in a document with a smaller
@@ -175,11 +240,11 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     wanted = (lookup(kmers, shared, ["minimiser"], "n", total, "inner")
               .groupBy("doc", "text_hash").agg(F.collect_set(F.struct("minimiser", "start", "size")).alias("kmers")))
     suspects = staged(rows.dropDuplicates(["doc", "text_hash"]).join(wanted, ["doc", "text_hash"]))
-    packed = staged(_packed(suspects, window).withColumn("string_hash", F.unhex(F.md5("packed"))))
+    packed = _spread(staged(_packed(suspects, window)), window, run, crowded)
     strings = packed.groupBy("minimiser", "packed", "string_hash").agg(F.min("doc").alias("doc"), F.count("*").alias("n"))
     least = staged(_least_documents(strings, window))
     places = packed.select("minimiser", "string_hash", "doc", "text_hash", "start")
-    again = (lookup(places, least, ["minimiser", "string_hash"], "n", total, "inner")
+    again = (lookup(places, least, ["minimiser", "string_hash"], "n", places.count(), "inner")
              .select("doc", "text_hash", "start", F.posexplode("least").alias("i", "first")).where("first < doc")
              .groupBy("doc", "text_hash").agg(F.collect_set(F.col("start") + F.col("i")).alias("starts")))
     left = _without(suspects.drop("kmers").join(again, ["doc", "text_hash"]), window)

@@ -232,6 +232,26 @@ def test_substring_dedup(spark, window, run):
     assert sorted((tuple(r) for r in got.select("doc_id", "n_words", "n_removed", kept).collect()), key=repr) == passages_by_hand(rows, window)
 
 
+@pytest.mark.parametrize("shared", [12, 40])
+def test_substring_dedup_of_a_run_between_different_words(spark, monkeypatch, shared):
+    """Buckets of a passage that many documents have between words of their own are cut until they are small."""
+    rnd = random.Random(22)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    passage, flank = " ".join(word() for _ in range(shared)), " ".join(word() for _ in range(45))
+    rows = [(i, " ".join([*(word() for _ in range(45)), passage, flank if i % 4 == 0 else " ".join(word() for _ in range(45))]), "en", "src1") for i in range(80)]
+    rows += [(200, "same " * 300, "en", "src1"), (201, "same " * 200, "en", "src1")]
+    seen, least = [], substring_dedup._least_documents
+    monkeypatch.setattr(substring_dedup, "_least_documents", lambda strings, window: seen.append(strings) or least(strings, window))
+    got = substring_dedup.substring_dedup(frame(spark, rows), crowded=200)
+    kept = F.when(F.col("left").isNull(), F.col("words_sha256")).otherwise(F.sha2(F.col("left"), 256))
+    assert sorted((tuple(r) for r in got.select("doc_id", "n_words", "n_removed", kept).collect()), key=repr) == passages_by_hand(rows, 50)
+    windows = defaultdict(set)
+    for r in seen[0].collect():
+        words = bytes(r["packed"]).split()
+        windows[r["minimiser"]] |= {b" ".join(words[i:i + 50]) for i in range(len(words) - 49)}
+    assert max(map(len, windows.values())) <= 200
+
+
 def test_super_k_mers_hold_each_window_once():
     words = [f"w{i % 37 * i}".encode() for i in range(500)]
     _, start, size = substring_dedup.super_kmers(words, 50, 12)
