@@ -47,9 +47,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mixture."""
-    chosen = mixing.mix_sources(docs, domain_of(F.col("source")), F.col("lang"), F.col("source"), mixing.n_words(F.col("text")), WEIGHTS,
-                                percent=PERCENT, max_epochs=EPOCHS)
-    return mixing.mixed(docs, chosen)
+    leaf = {"domain": domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
+    chosen = mixing.mix_sources(docs, **leaf, tokens=mixing.n_words(F.col("text")), weights=WEIGHTS, percent=PERCENT, max_epochs=EPOCHS)
+    return mixing.mixed(docs, chosen, leaf=leaf)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,10 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def node_name(level: Column) -> Column:
+    return F.coalesce(level.cast("string"), F.lit("none"))
+
+
 def weight_of(level: str, weights: dict[str, int]) -> Column:
     """The whole-number weight of a node by its name; names that are not listed weigh 1."""
     w = F.lit(1)
@@ -94,9 +98,8 @@ def mix_sources(docs: DataFrame, domain: Column, lang: Column, source: Column, t
     prefix may hold some of them. Documents without tokens cost nothing and come with the prefix they stand in. total:
     the budget in tokens, or if None `percent` of those there are; at most all of them max_epochs times.
     """
-    name = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
-    rows = staged(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), name(domain).alias("domain"),
-                              name(lang).alias("lang"), name(source).alias("source"), tokens.cast("long").alias("n_tokens")))
+    rows = staged(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), node_name(domain).alias("domain"),
+                              node_name(lang).alias("lang"), node_name(source).alias("source"), tokens.cast("long").alias("n_tokens")))
     leaf = list(LEVELS)
     leaves = staged(rows.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")))
     plan = staged(leaf_budgets(leaves, weights, total, percent, max_epochs).withColumns({
@@ -123,12 +126,18 @@ def mix_sources(docs: DataFrame, domain: Column, lang: Column, source: Column, t
                                            (F.col("epochs") + F.col("more")).alias("copies"))
 
 
-def mixed(docs: DataFrame, chosen: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` as often as `chosen` (from `mix_sources`) says."""
-    picked = chosen.where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text_hash"),
-                                               F.col("copies").alias("__copies"))
-    # repeated rows: all copies of equal rows are added up and dealt to one of them
-    picked = picked.groupBy("__id", "__text_hash").agg(F.sum("__copies").alias("__copies"))
-    mine = docs.withColumns({"__id0": F.col(doc_id), "__text_hash0": F.xxhash64(F.col(text))})
-    joined = mine.join(picked, F.col("__id0").eqNullSafe(F.col("__id")) & (F.col("__text_hash0") == F.col("__text_hash")))
-    return joined.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+def mixed(docs: DataFrame, chosen: DataFrame, doc_id: str = "doc_id", text: str = "text", leaf: dict[str, Column] | None = None) -> DataFrame:
+    """`docs` as often as `chosen` (from `mix_sources`) says. `leaf`: the levels that tell rows with equal id and text apart.
+
+    Of repeated rows (equal id, text and `leaf`) the copies are added up and dealt to one of them.
+    """
+    levels = {} if leaf is None else leaf
+    # one struct as key: nulls in it are equal, and the join leaves rows as the window wants them
+    key = F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("text_hash"), *levels)
+    picked = chosen.where("copies > 0").groupBy(key.alias("__key")).agg(F.sum("copies").alias("__copies"))
+    mine = docs.withColumn("__key0", F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"),
+                                              *(node_name(c).alias(level) for level, c in levels.items())))
+    joined = mine.join(picked, F.col("__key0") == F.col("__key"))
+    nth = F.row_number().over(Window.partitionBy("__key0").orderBy("__key0"))
+    dealt = F.when(nth == 1, F.sequence(F.lit(1).cast("long"), "__copies"))
+    return joined.withColumn("__dealt", dealt).withColumn("__i", F.explode("__dealt")).select(*docs.columns)

@@ -320,6 +320,24 @@ def test_mixed_rows_come_as_often_as_chosen(spark):
     assert Counter((r["doc_id"], r["h"]) for r in got.select("doc_id", F.xxhash64("text").alias("h")).collect()) == +want
 
 
+def test_mixed_repeated_rows_stay_within_the_budget(spark):
+    """The rows that mix_sources saw, with k equal ones, and one id and text in two sources."""
+    rows = made(10)
+    rows += [rows[7]] * 3 + [(*rows[8][:3], "src77"), (None, "no id", "en", "src3")]
+    docs = clashing(spark, rows)
+    leaf = {"domain": F.lit("one"), "lang": F.col("lang"), "source": F.col("source")}
+    chosen = mixing.mix_sources(docs, **leaf, tokens=mixing.n_words(F.col("text")), weights={}, percent=150, max_epochs=2)
+    got = mixing.mixed(docs, chosen, leaf=leaf)
+    assert got.columns == docs.columns
+    want = Counter()
+    for r in chosen.collect():
+        want[r["doc_id"], r["text_hash"], r["lang"], r["source"]] += r["copies"]
+    seen = got.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("source", F.lit("none")).alias("source"))
+    assert Counter(map(tuple, seen.collect())) == +want
+    plain = mixing.mixed(docs, chosen)  # without the levels: as often in all
+    assert plain.count() == sum(want.values())
+
+
 # --- exact ----------------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("history", ["doc_id < 90", "false", "true", "doc_id IS NULL"])
