@@ -60,7 +60,8 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", identified), ("line_dedup", without_boilerplate), ("simhash", one_of_each), ("mixing", to_weights),
           ("sentencepiece", encoded)]
-#: Language models and SimHash fingerprints are beyond SQL; the tests hold run() against a version by brute force.
+#: Language models and SimHash fingerprints are beyond SQL. No test holds all rows of run() against brute force: the tests run the stages on
+#: the small table and compare the SimHash stage and the decoded text by hand, of the others what is planted and the budget.
 ORACLE_SQL = None
 
 
