@@ -52,8 +52,11 @@ def arc_head(version: int) -> bytes:
 
 
 def arc_records(raw: bytes) -> Iterator[dict]:
-    """The records of an ARC file, filedesc first. A broken header line or a short body raises ValueError."""
-    at, version = 0, 1
+    """The records of an ARC file, filedesc first. A broken header line or a short body raises ValueError.
+
+    Only the first record can be the file's `head`; later ones with such a url are records like others.
+    """
+    at, version, first = 0, 1, True
     while at < len(raw):
         if raw[at:at + 1] in b"\r\n":
             at += 1
@@ -61,17 +64,18 @@ def arc_records(raw: bytes) -> Iterator[dict]:
         end = raw.find(b"\n", at)
         end = len(raw) if end < 0 else end
         line = raw[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
-        names = FIELDS[1] if line[0].startswith("filedesc:") and len(line) == len(FIELDS[1]) else FIELDS[version]
+        head = first and line[0].startswith("filedesc:")
+        names = FIELDS[1] if head and len(line) == len(FIELDS[1]) else FIELDS[version]
         if len(line) != len(names) or not line[-1].isdigit():
             raise ValueError(f"no ARC header of version {version} at byte {at}")
         record = dict(zip(names, line)) | {"start": at}
         body = raw[end + 1:end + 1 + int(record["length"])]
         if len(body) < int(record["length"]):
             raise ValueError(f"the record at byte {at} declares {record['length']} bytes and has {len(body)}")
-        if line[0].startswith("filedesc:"):
+        if head:
             version = int(body.split(b" ", 1)[0])
-        yield record | {"content": body, "version": version}
-        at = end + 1 + len(body)
+        yield record | {"content": body, "version": version, "head": head}
+        at, first = end + 1 + len(body), False
 
 
 def http_parts(content: bytes) -> tuple[dict[str, str], bytes | None]:
@@ -87,7 +91,7 @@ def warc_record(record: dict, refers: dict | None) -> bytes:
     """The WARC equivalent of an ARC record; a revisit of `refers` (page_id, url, date) if given."""
     content, fields, payload = record["content"], *http_parts(record["content"])
     url, date = record["url"], iso(record["date"])
-    if url.startswith("filedesc:"):
+    if record["head"]:
         kind, mime, block = "warcinfo", "application/warc-fields", b"software: schemaloom\r\nformat: WARC File Format 1.1\r\n"
     elif payload is None:
         kind, mime, block = ("response" if url.startswith("dns:") else "resource"), record["mime"], content
@@ -101,6 +105,7 @@ def warc_record(record: dict, refers: dict | None) -> bytes:
     if kind != "warcinfo":
         head += [f"WARC-Target-URI: {url}", f"WARC-IP-Address: {record['ip']}", f"WARC-Payload-Digest: sha1:{digest}"]
     if refers:
+        head += [f"X-Payload-Length: {len(payload)}"]  # the block of a revisit has no payload
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
                  f"WARC-Refers-To-Target-URI: {refers['url']}", f"WARC-Refers-To-Date: {iso(refers['date'])}"]
         head += [f"WARC-Refers-To-Page: {refers['page_id']}"] if refers["page_id"] is not None else []
@@ -229,7 +234,7 @@ def read_warcs(files: DataFrame) -> DataFrame:
                     if payload is None:
                         continue
                     kind, digest = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
-                    size = len(payload) if kind == "response" else int(fields["content-length"])
+                    size = len(payload) if kind == "response" else int(head["x-payload-length"])
                     i, to = fields.get("x-page-id"), head.get("warc-refers-to-page")
                     intact = head["warc-block-digest"] == f"sha1:{payload_digest(block)}" and (kind != "response" or payload_digest(payload) == digest)
                     out.append((int(i) if i else None, size, digest, kind, int(to) if to else None, head.get("warc-target-uri"), head["warc-record-id"], intact))

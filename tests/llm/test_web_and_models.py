@@ -62,6 +62,19 @@ def test_both_versions_and_broken_archives():
     assert list(warc.arc_records(warc._unzipped(gzip.compress(one)))) == a and not list(warc.arc_records(b""))
 
 
+def test_pages_that_look_like_heads_and_revisits_without_length(spark, tmp_path):
+    pages = spark.createDataFrame([(i, u, "same") for i, u in enumerate(["filedesc://a", "filedesc:x", "http://a.org/"])], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["record_type"], r["payload_bytes"], r["refers_to"], r["url"], r["intact"]) for r in warc.archive_round_trip(pages, archive=1).collect()}
+    assert got == {0: ("response", 4, None, "filedesc://a", True), 1: ("revisit", 4, 0, "filedesc:x", True), 2: ("revisit", 4, 0, "http://a.org/", True)}
+    foreign = warc.arc_head(2) + b"\n" + b"\n".join(warc.arc_record(2, f"http://{h}/", "2001", "text/html", b"HTTP/1.0 200 OK\r\n\r\nhello") for h in "ab") + b"\n"
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "one.arc.gz").write_bytes(gzip.compress(foreign))
+    files = warc.read_files(spark, str(tmp_path / "arc"))
+    warc.convert(files, warc.revisits(warc.arc_index(files)), str(tmp_path / "warc"))
+    read = warc.read_warcs(warc.read_files(spark, str(tmp_path / "warc"))).collect()
+    assert sorted((r["record_type"], r["payload_bytes"], r["url"], r["intact"]) for r in read) == [("response", 5, "http://a/", True), ("revisit", 5, "http://b/", True)]
+
+
 def test_no_pages(spark):
     assert warc.archive_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
