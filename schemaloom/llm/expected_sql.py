@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from schemaloom.llm import clustering as C
 from schemaloom.llm import url_filter as U
 from schemaloom.llm.line_dedup import MIN_SITES
 from schemaloom.llm.queries import WEIGHTS
@@ -127,8 +128,33 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 bool_or(old) OVER g AS in_history FROM r WINDOW g AS (PARTITION BY text)"""
 
 
+def clustering(k: int = C.CLUSTERS, rounds: int = C.ROUNDS) -> str:
+    """All rounds written out; vectors and centroids are lists of whole numbers."""
+    odd = "list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))"
+    out = f"""
+v0 AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({C.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE len(embedding) = {C.DIMENSIONS} AND NOT {odd}),
+v AS MATERIALIZED (SELECT * FROM v0),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('{C.SEED}:' || vec_id), v) - 1 AS INTEGER) AS c, v AS w FROM v
+    QUALIFY row_number() OVER (ORDER BY sha256('{C.SEED}:' || vec_id), v) <= {k})"""
+    far = "CAST(list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+    for i in range(rounds + 1):
+        out += f""",
+a{i} AS MATERIALIZED (SELECT r, vec_id, v, c, {far} AS d FROM v, c{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)"""
+        if i < rounds:
+            out += f""",
+u{i} AS (SELECT c, unnest(range({C.DIMENSIONS})) AS j, unnest(v) AS x FROM a{i}),
+m{i} AS (SELECT c, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM u{i} GROUP BY c, j),
+f{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS w FROM m{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(f{i}.w, c{i}.w) AS w FROM c{i} LEFT JOIN f{i} ON c{i}.c = f{i}.c)"""
+    return f"""WITH {out.strip()}
+SELECT vec_id, a{rounds}.c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a{rounds}.c) AS BIGINT) AS cluster_inertia,
+CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.w, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON a{rounds}.c = c{rounds}.c"""
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
     out = {"op1_line_dedup": LINES, "op3_warc_convert": WARC, "op5_url_filter": _url(), "op8_substring_dedup": SUBSTRING,
-           "op9_mixing": mixing(WEIGHTS), "op10_exact_dedup": EXACT}
+           "op9_mixing": mixing(WEIGHTS), "op10_exact_dedup": EXACT, "op13_clustering": clustering()}
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

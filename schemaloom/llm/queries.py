@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm import exact_dedup, language_id, line_dedup, mixing, quality, sentencepiece_codec, simhash, substring_dedup, url_filter, warc
+from schemaloom.llm import alignment, clustering, exact_dedup, language_id, line_dedup, mixing, quality, sentencepiece_codec, simhash, substring_dedup, token_files, url_filter, warc
 
 #: The mixture: weights of the nodes by level; nodes that are not named weigh 1.
 WEIGHTS = {"domain": {"web": 5, "books": 3, "news": 2}, "lang": {"en": 6, "de": 2, "fr": 2, "es": 1}}
@@ -81,6 +81,21 @@ def op10_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs, history)
 
 
+def op11_token_files(spark: SparkSession, d: str) -> DataFrame:
+    with open(token_files.vocabulary_file("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    return token_files.round_trip(table(spark, d, "documents"), spec)
+
+
+def op12_alignment(spark: SparkSession, d: str) -> DataFrame:
+    spec = alignment.read_spec(token_files.vocabulary_file("byte_bpe_50k.json"), token_files.vocabulary_file("piece_bpe_32k.model"))
+    return alignment.alignment(table(spark, d, "documents"), spec)
+
+
+def op13_clustering(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.cluster(table(spark, d, "embeddings"))
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, d)
@@ -89,4 +104,5 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline  # noqa: F401  part of this subpackage: without it none of the queries is offered
     return {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_warc_convert, op4_simhash, op5_url_filter, op6_language_id,
-                                    op7_sentencepiece, op8_substring_dedup, op9_mixing, op10_exact_dedup, pipeline)}
+                                    op7_sentencepiece, op8_substring_dedup, op9_mixing, op10_exact_dedup, op11_token_files,
+                                    op12_alignment, op13_clustering, pipeline)}
