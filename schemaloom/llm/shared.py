@@ -52,3 +52,21 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total
     hot = rows.join(F.broadcast(heavy), keys, "inner")
     rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys, how)
     return hot.unionByName(rest.select(*hot.columns))
+
+
+#: What an operator keeps in a worker process from one task to the next, and what it was made from: one object at a time.
+_KEPT: list = []
+
+
+def kept(shared, make):
+    """make(shared.value), made once per worker process and broadcast. What another operator kept there before is let go."""
+    value = shared.value  # one object per process and broadcast
+    if not _KEPT or _KEPT[0] is not value or _KEPT[1] is not make:
+        _KEPT.clear()
+        _KEPT[:] = [value, make, make(value)]
+    return _KEPT[2]
+
+
+def let_go() -> None:
+    """For tasks that need nothing kept: frees what earlier stages left in this worker process."""
+    _KEPT.clear()

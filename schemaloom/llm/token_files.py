@@ -11,7 +11,9 @@ lie in any store that Spark reaches, and a task that is run again replaces its f
 from __future__ import annotations
 
 import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm.shared import staged, workspace
+from schemaloom.llm.shared import kept, let_go, staged, workspace
 from schemaloom.shipping import ship
 
 #: Ids in a sequence; sequences in a record batch; ids after which a file is closed, rounded up to a whole document.
@@ -31,8 +33,11 @@ END_ID = 1
 REMEMBERED, LONGEST = 400_000, 64
 #: Fixed values of the format: how an Arrow file ends.
 MAGIC = "ARROW1"
-#: Marks that no pre-tokenizer of the kind below joins to a letter or digit before them.
-MARKS = b".,;:!?"
+#: Words of plain letters with marks behind them. No pre-tokenizer of the kinds below joins the marks to the letters; apostrophes
+#: are no such marks, and special tokens begin with <.
+MARKS = "".join(map(chr, [*range(0x21, 0x27), *range(0x28, 0x30), 0x3A, 0x3B, 0x3D, 0x3F, 0x40, *range(0x5B, 0x61), *range(0x7B, 0x7F)]))
+PLAIN = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{re.escape(MARKS)}]*)")
+_MARKS = MARKS.encode()
 #: Fixed value: a split that keeps letters, single digits and runs of other signs apart and drops white space.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -43,84 +48,93 @@ def vocabulary_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: printable Latin-1 itself, the rest from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+#: For str.translate, of bytes read as Latin-1.
+BYTE_LEVEL = byte_alphabet()
+
+
+def byte_level(text: str) -> str:
+    return text.encode().decode("latin-1").translate(BYTE_LEVEL)
+
+
 class Encoder:
     """Ids of whole texts through the tokenizers library, as bytes of little-endian unsigned integers.
 
     If the tokenizer drops white space between words (`by_word`), words are encoded once and remembered, since no token
-    reaches across ASCII white space then. Two generations of words are kept, so memory is bounded: when the younger one
-    is full it becomes the older one.
+    reaches across ASCII white space then. Plain words go straight to the library's BPE model, all others through the whole
+    tokenizer. Two generations of words are kept, so memory is bounded: when the younger one is full it becomes the older one.
     """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(spec)
+        self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         parts = json.loads(spec)
         steps = (parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        self.by_word = steps[0].get("type") == "Split" and steps[0]["pattern"].get("Regex") == SPLIT and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
+        self.by_word = (steps[0].get("type") == "Split" and steps[0]["pattern"].get("Regex") == SPLIT and steps[0]["behavior"] == "Removed"
+                        and steps[0]["invert"] and [x["type"] for x in steps[1:]] == ["ByteLevel"] and not steps[1]["add_prefix_space"]
+                        and [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"])
         self.by_word = self.by_word and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"] for a in parts["added_tokens"])
-        self.lowers = "Lowercase" in json.dumps(parts["normalizer"])
-        self.special = [a["content"].encode() for a in parts["added_tokens"]]
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {}
 
     def _library(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
-    def _plain(self, word: bytes) -> tuple[bytes, bytes]:
-        """(stem, marks at its end) that have the word's ids when encoded alone. Only ASCII words are changed."""
-        if not word.isascii() or b"<" in word:
-            return word, b""
-        low = word.lower() if self.lowers else word
-        stem = low.rstrip(MARKS)
-        return (stem, low[len(stem):]) if stem[-1:].isalnum() else (low, b"")
-
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of `words`, which the younger generation does not have."""
-        split = {w: self._plain(w) for w in words}
-        known = {p: i for p in {p for s in split.values() for p in s if p} if (i := self.young.get(p) or self.old.get(p)) is not None}
-        new = [p for p in {p for s in split.values() for p in s if p} if p not in known]
-        known.update(zip(new, self._library(new)))
-        out = {w: known[stem] + known.get(marks, b"") for w, (stem, marks) in split.items()}
-        if len(self.young) + len(out) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        self.young.update((w, i) for w, i in (known | out).items() if len(w) <= LONGEST)
-        return out
+    def _stem(self, text: str) -> bytes:
+        """Ids of one pre-token: plain letters in lower case, or marks."""
+        found = self.stems.get(text)
+        if found is None:
+            if len(self.stems) > REMEMBERED:
+                self.stems.clear()
+            units = text if text.isascii() else byte_level(text)
+            found = self.stems[text] = array(self.code, [t.id for t in self.model.tokenize(units)]).tobytes()
+        return found
+
+    def _parts(self, word: bytes) -> bytes:
+        low = word.lower()  # A-Z only
+        stem = low.rstrip(_MARKS)
+        if stem.isalpha():  # ASCII letters only
+            found = self._stem(stem.decode())
+            return found if len(stem) == len(low) else found + self._stem(low[len(stem):].decode())
+        plain = PLAIN.fullmatch(word.decode("utf-8", "replace"))
+        if plain:
+            return self._stem(plain[1].lower()) + (self._stem(plain[2]) if plain[2] else b"")
+        return self._library([word])[0]
+
+    def _learn(self, word: bytes) -> bytes:
+        found = self.young.get(word)  # a word comes back that was new a moment ago
+        if found is None:
+            found = self.old.get(word)
+            if found is None:
+                found = self._parts(word)
+            if len(word) <= LONGEST:
+                if len(self.young) > REMEMBERED:
+                    self.old, self.young = self.young, {}
+                self.young[word] = found
+        return found
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
             return self._library(texts)
-        out = []
-        for text in texts:
-            words = text.split()  # at the six ASCII blanks
-            try:
-                out.append(b"".join(map(self.young.__getitem__, words)))
-            except KeyError:
-                learnt = self._learn({w for w in words if w not in self.young})
-                young = self.young
-                out.append(b"".join([young[w] if w in young else learnt[w] if w in learnt else self._again(w) for w in words]))
-        return out
-
-    def _again(self, word: bytes) -> bytes:
-        """A word that went to the older generation while its text was read."""
-        found = self.old.get(word)
-        return self._library([word])[0] if found is None else found
-
-
-#: The encoder of a worker process while texts are encoded, and the broadcast it was made from. `release` lets it go.
-_MADE: list = []
-
-
-def _encoder(shared) -> Encoder:
-    spec = shared.value
-    if not _MADE or _MADE[0] is not spec:
-        _MADE[:] = [spec, Encoder(spec)]
-    return _MADE[1]
-
+        return [self._one(text) for text in texts]
 
-def release() -> None:
-    _MADE.clear()
+    def _one(self, text: bytes) -> bytes:
+        words = text.split()  # at the six ASCII blanks
+        found = list(map(self.young.get, words))
+        for at in [k for k, x in enumerate(found) if x is None]:
+            found[at] = self._learn(words[at])
+        return b"".join(found)
 
 
 class FileBuilder:
@@ -192,7 +206,7 @@ def write_tokens(docs: DataFrame, spec: str, folder: str, doc_id: str = "doc_id"
     ordered = rows.repartitionByRange("doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row").select("doc_id", "text")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
+        encoder = kept(shared, Encoder)
         end = np.array([end_id], encoder.kind).tobytes()
         file = FileBuilder(encoder.kind, TaskContext.get().partitionId(), length)
         one = lambda: pa.RecordBatch.from_arrays([pa.array([file.close()[:-len(MAGIC)]], pa.binary())], ["body"])
@@ -258,7 +272,7 @@ def read_documents(files: DataFrame) -> DataFrame:
     ship(files.sparkSession)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
+        let_go()
         for b in batches:
             for raw in b.column(1):
                 reader = open_file(raw.as_buffer())
