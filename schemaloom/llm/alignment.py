@@ -13,24 +13,30 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from schemaloom.llm.shared import staged
+from schemaloom.llm.shared import kept, let_go, staged
+from schemaloom.llm.token_files import BYTE_LEVEL, MARKS, PLAIN, byte_level
 from schemaloom.shipping import ship
 
 #: Pairs with at least this share of all links are looked up from a broadcast, so there are at most so many of them.
 HEAVY = 1 << 17
-#: Words that a worker remembers the tokens of (twice, see `Tokens`), and the longest of them.
-REMEMBERED, LONGEST = 150_000, 48
+#: Pieces of text that a worker remembers the tokens of (twice, see `Tokens`), and the longest of them.
+REMEMBERED, LONGEST = 300_000, 48
 #: Unicode white space; a space is no place to cut if one of them stands before it.
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = "▁"
+SPACE_UNIT = BYTE_LEVEL[0x20]
+#: A plain letter with a mark behind it (see `token_files.PLAIN`).
+JOINED = re.compile(f"[A-Za-zÀ-ÖØ-öø-ÿ][{re.escape(MARKS)}]")
 
 
 @dataclass
@@ -46,18 +52,17 @@ def read_spec(a: str, b: str) -> Spec:
         return Spec(fa.read(), fb.read())
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The character that stands for each byte in byte-level vocabularies: printable Latin-1 itself, the rest from U+0100 on."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+#: Ids of a piece of text: of both tokenizers, as bytes; or False if the tokens of one do not join to the piece.
+Ids = tuple[bytes, bytes] | bool
 
 
 class Tokens:
     """Ids of both tokenizers for whole texts.
 
     Neither tokenizer has a token that reaches across a space with a character other than white space before it, so texts
-    are cut there and the pieces' ids are remembered, in two generations of bounded size.
+    are cut there and the pieces' ids are remembered, in two generations of bounded size. Lines of plain words with marks
+    behind them are put together from their parts: neither tokenizer joins these, and of letters and marks both keep every
+    byte. A's ids of a part come straight from the library's BPE model; anything else goes through the whole tokenizers.
     """
 
     def __init__(self, spec: Spec):
@@ -66,19 +71,28 @@ class Tokens:
         self.a = Tokenizer.from_str(spec.a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=spec.b)
-        alphabet = byte_alphabet()
+        self.model = self.a.model
+        alphabet = {c: b for b, c in BYTE_LEVEL.items()}
         special = {t.content: t for t in self.a.get_added_tokens_decoder().values()}
+        split = repr(self.a.pre_tokenizer)
+        if self.a.normalizer is not None or "ByteLevel" not in split or "add_prefix_space=True" in split:
+            raise ValueError("A has to be a byte-level tokenizer that leaves texts as they are")
         names = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size())]
         self.raw_a = [n.encode() if n in special else bytes(alphabet[c] for c in n) for n in names]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.raw_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         if any(SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError("a piece reaches across a space")
+        # no piece of B joins marks or a line's end to a letter, and both vocabularies have every byte
+        self.parts = (not any(JOINED.search(p) or "\n" in p for i, p in enumerate(pieces) if not self.b.is_byte(i)) and set(alphabet) <= set(names)
+                      and sum(map(self.b.is_byte, range(len(pieces)))) == 256)
+        self.lead = len(self.b.encode("a")), len(self.b.encode("\n"))
         self.size_a, self.size_b = (np.array([len(r) for r in raw], np.int64) for raw in (self.raw_a, self.raw_b))
         self.crowded = re.compile(f"[{BLANK}] ")
         self.cut = re.compile(f"(?s)(?: [^ ]*)+?(?:(?<![{BLANK}])(?= )|\\Z)")
-        self.young: dict[str, tuple[bytes, bytes] | None] = {}
-        self.old: dict[str, tuple[bytes, bytes] | None] = {}
+        self.young: dict[str, Ids] = {}
+        self.old: dict[str, Ids] = {}
+        self.stems: dict[str, Ids] = {}
 
     def pieces(self, text: str) -> list[str]:
         """Space + text cut before spaces; each piece without the space it begins with."""
@@ -86,44 +100,73 @@ class Tokens:
             return text.split(" ")
         return [p[1:] for p in self.cut.findall(" " + text)]
 
-    def _learn(self, pieces: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
-        out, new = {}, []
-        for p in pieces:
-            if p in self.old:
-                out[p] = self.old[p]
-            else:
-                new.append(p)
-        ids_b = [b if p else [self.b.piece_to_id(SPACE)] for p, b in zip(new, self.b.encode(new, num_threads=1))] if new else []  # the library adds no space to nothing
-        for p, a, b in zip(new, self.a.encode_batch_fast([" " + p for p in new], add_special_tokens=False) if new else (), ids_b):
-            whole, ids = (" " + p).encode(), a.ids
-            same = b"".join([self.raw_a[i] for i in ids]) == whole and b"".join([self.raw_b[i] for i in b]) == whole
-            out[p] = (np.array(ids, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if same else None
+    def _whole(self, pieces: list[str]) -> list[Ids]:
+        """Ids of space + piece."""
+        out = []
+        both = zip(pieces, self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False), self.b.encode(pieces, num_threads=1)) if pieces else ()
+        for p, a, b in both:
+            raw, a, b = (" " + p).encode(), a.ids, b if p else [self.b.piece_to_id(SPACE)]  # the library adds no space to nothing
+            same = b"".join([self.raw_a[i] for i in a]) == raw and b"".join([self.raw_b[i] for i in b]) == raw
+            out.append(same and (array("I", a).tobytes(), array("I", b).tobytes()))
+        return out
+
+    def _parts(self, piece: str) -> list[str] | None:
+        """The parts of space + piece, by their first character: space + letters, marks, line end + letters. None if there is more in it."""
+        out = []
+        for k, line in enumerate(piece.split("\n")):
+            plain = PLAIN.fullmatch(line)
+            if not plain:
+                return None
+            out += [" " + plain[1]] if not k else ["\n", "\n" + plain[1]]
+            if plain[2]:
+                out.append(plain[2])
+        return out
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        """A line end comes as a part of its own; letters behind one have no space and are cut off from it here."""
+        head = lambda p: 0 if p[0] == " " else 1 if p == "\n" else self.lead[p[0] == "\n"]  # noqa: E731  B's ids before the part
+        sent = [p[1:] if p[0] == " " else p if p[0] == "\n" else "a" + p for p in parts]
+        for p, b in zip(parts, self.b.encode(sent, num_threads=1) if sent else ()):
+            unit = p[1:] if p[0] == "\n" and len(p) > 1 else p
+            unit = f"{SPACE_UNIT}{unit[1:]}" if p[0] == " " and p.isascii() else unit if p.isascii() and p != "\n" else byte_level(unit)
+            self.stems[p] = array("I", [t.id for t in self.model.tokenize(unit)]).tobytes(), array("I", b[head(p):]).tobytes()
+
+    def _learn(self, pieces: list[str]) -> dict[str, Ids]:
+        """Ids of space + piece for pieces that the younger generation does not have."""
+        out = {p: x for p in pieces if (x := self.old.get(p)) is not None}
+        cut = {p: self._parts(p) if self.parts else None for p in pieces if p not in out}
+        whole = [p for p, parts in cut.items() if parts is None]
+        out.update(zip(whole, self._whole(whole)))
+        if len(self.stems) > REMEMBERED:
+            self.stems.clear()
+        self._learn_parts(list({x for parts in cut.values() for x in parts or () if x not in self.stems}))
+        for p, parts in cut.items():
+            if parts is not None:
+                ids = [self.stems[x] for x in parts]
+                out[p] = ids[0] if len(ids) == 1 else (b"".join([x[0] for x in ids]), b"".join([x[1] for x in ids]))
         if len(self.young) + len(out) > REMEMBERED:
             self.old, self.young = self.young, {}
         self.young.update((p, x) for p, x in out.items() if len(p) <= LONGEST)
         return out
 
-    def of(self, raw: bytes | None) -> tuple[np.ndarray, np.ndarray] | None:
+    def texts(self, raws: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of both tokenizers; None for texts that are null, empty or not what either one's tokens join to."""
+        cut = [self._cut(raw) for raw in raws]
+        known = [list(map(self.young.get, pieces)) for pieces in cut]
+        learnt = self._learn(list({p for pieces, ids in zip(cut, known) if None in ids for p, x in zip(pieces, ids) if x is None}))
+        for pieces, ids in zip(cut, known):
+            if None in ids:
+                ids = [learnt[p] if x is None else x for p, x in zip(pieces, ids)]
+            if not ids or False in ids:
+                yield None
+            else:
+                yield tuple(np.frombuffer(b"".join(map(itemgetter(k), ids)), "<u4") for k in (0, 1))
+
+    def _cut(self, raw: bytes | None) -> list[str]:
         try:
-            text = raw.decode() if raw else ""
+            return self.pieces(raw.decode()) if raw else []
         except UnicodeDecodeError:
-            return None
-        if not text:
-            return None
-        pieces = self.pieces(text)
-        new = {p for p in pieces if p not in self.young}
-        if new:
-            learnt = self._learn(list(new)) if len(new) + len(self.young) <= REMEMBERED else None
-            if learnt is None:  # the generation turns: keep what this text needs
-                before = {p: self.young[p] for p in pieces if p in self.young}
-                learnt = before | self._learn(list(new))
-            found = [learnt[p] if p in learnt else self.young[p] for p in pieces]
-        else:
-            found = list(map(self.young.__getitem__, pieces))
-        if None in found:
-            return None
-        return tuple(np.frombuffer(b"".join([x[k] for x in found]), "<u4") for k in (0, 1))
+            return []
 
 
 def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
@@ -181,20 +224,9 @@ def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.empty(0, np.int64)]).astype(kind)))
 
 
-#: What a worker process needs while texts are read, and the broadcast it was made from. `release` lets it go.
-_MADE: list = []
-
-
-def _made(shared) -> tuple[Tokens, Writer]:
-    spec = shared.value
-    if not _MADE or _MADE[0] is not spec:
-        t = Tokens(spec)
-        _MADE[:] = [spec, (t, Writer(len(t.raw_a), len(t.raw_b)))]
-    return _MADE[1]
-
-
-def release() -> None:
-    _MADE.clear()
+def _tools(spec: Spec) -> tuple[Tokens, Writer]:
+    tokens = Tokens(spec)
+    return tokens, Writer(len(tokens.raw_a), len(tokens.raw_b))
 
 
 def links(docs: DataFrame, spec: Spec, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -208,14 +240,13 @@ def links(docs: DataFrame, spec: Spec, doc_id: str = "doc_id", text: str = "text
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, writer = _made(shared)
+        tokens, writer = kept(shared, _tools)
         none = np.empty(0, np.int64)
         for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                b = whole.slice(at, 128)
+            for at in range(0, whole.num_rows, 64):
+                b = whole.slice(at, 64)
                 counts, hashes, codes, times = [], [], [], []
-                for raw in b.column(2).to_pylist():
-                    ids = tokens.of(raw)
+                for ids in tokens.texts(b.column(2).to_pylist()):
                     if ids is None:
                         counts.append((0, 0, 0))
                         hashes.append("")
@@ -247,7 +278,7 @@ def pair_counts(linked: DataFrame, size_b: int) -> DataFrame:
     """
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
+        let_go()
         for b in batches:
             code, at = np.unique(b.column(0).flatten().to_numpy(), return_inverse=True)
             n = np.bincount(at, weights=b.column(1).flatten().to_numpy(), minlength=len(code)).astype(np.int64)  # exact below 2 ** 53

@@ -112,7 +112,7 @@ def groups_by_hand(values):
     a = Tokenizer.from_file(token_files.vocabulary_file("byte_bpe_50k.json"))
     a.encode_special_tokens = True
     b = sentencepiece.SentencePieceProcessor(model_file=token_files.vocabulary_file("piece_bpe_32k.model"))
-    alphabet = alignment.byte_alphabet()
+    alphabet = {c: b for b, c in token_files.byte_alphabet().items()}
     out = []
     for text in values:
         if not text:
@@ -157,12 +157,12 @@ def test_pieces_of_texts_have_the_tokens_of_the_whole(monkeypatch):
     tokens = alignment.Tokens(spec())
     rnd = random.Random(4)
     values = [t for t in ODD if t] + ["".join(rnd.choice(["a", "b.", " ", "\n", " ", "　", "\x1c", "᠎", "é", "1", "'s", " "]) for _ in range(60)) for _ in range(300)]
-    for text, groups in zip(values, groups_by_hand(values)):
-        got = tokens.of(text.encode())
+    for text, groups, got in zip(values, groups_by_hand(values), [x for k in range(0, len(values), 7) for x in tokens.texts([v.encode() for v in values[k:k + 7]])]):
         assert (got is None) == (groups is None), text
         if got:
             assert [x.tolist() for x in got] == [[i for g in groups for i in g[k]] for k in (0, 1)], text
-    assert tokens.of(b"\xff") is None
+    assert list(tokens.texts([b"\xff", None, b""])) == [None] * 3
+    assert tokens.parts and any(tokens._parts(p) for v in values for p in tokens.pieces(v))
 
 
 def test_align_by_hand():
