@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from schemaloom.functions.text import filled
+from schemaloom.sources.sinks import shared_folder, staged
 
 # Fixed output order of the known fields.
 LEADING = ["question_id", "db_id"]
@@ -73,49 +75,52 @@ def split_contiguous(df: DataFrame, parts: int, pos: str = "idx") -> DataFrame:
     return sized.withColumn("part", (part + 1).cast("int")).drop("_base", "_extra")
 
 
-def key_bounds(df: DataFrame, key: str, buckets: int) -> list:
-    """Approximate quantiles that cut the key range into about equally full buckets.
+#: `monotonically_increasing_id` has the partition above this many bits, and below them the row's place in it.
+_PLACE_BITS = 33
 
-    At most `buckets` numbers reach the driver. The result of `dense_ordinal` does not depend on them, only
-    its balance does.
+
+def range_placed(df: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
+    """`df` in ranges of `order`, sorted inside each, with `_place`: the range above 33 bits, the row's place in it below.
+
+    Written to the shared folder, so that counting the ranges and numbering the rows see the same ones. How many ranges there
+    are follows the data (adaptive execution merges small ones) unless `partitions` says so.
     """
-    wanted = [i / buckets for i in range(1, buckets)]
-    return sorted(set(df.stat.approxQuantile(key, wanted, 1 / (4 * buckets))))
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    placed = ranged.sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    return staged(placed, shared_folder(df.sparkSession))
 
 
-def dense_ordinal(df: DataFrame, key: str, by: list[str] | None = None, buckets: int = 200) -> DataFrame:
-    """`df` with `idx`: 0, 1, 2, ... in the order of a unique numeric key, within each group of `by`.
+def dense_ordinal(df: DataFrame, key: str, by: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+    """`df` with `idx`: 0, 1, 2, ... in the order of a unique key, within each group of `by`.
 
-    The key range is cut into buckets of similar fill; rows are numbered inside a bucket and shifted by the
-    number of rows in the buckets before it. No task ever sorts more than a bucket. `by` is meant for a few
-    groups, such as splits.
+    Rows are numbered inside ranges of (`by`, `key`) and shifted by the rows before; no window, and no task has more than a
+    range. What the driver adds up is one number per range and group, so `by` is meant for a few groups, such as splits.
     """
     by = by or []
-    bounds = key_bounds(df, key, buckets)
-    edges = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
-    # The first edge above the key, found by the scan's own comparison.
-    bucket = F.size(F.filter(edges, lambda e: e <= F.col(key).cast("double")))
-    cut = df.withColumn("_bucket", bucket)
-    fill = cut.groupBy(*by, "_bucket").agg(F.count("*").alias("_fill"))
-    # One row per group and bucket, so this window sees at most `buckets` rows per group.
-    before = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1)
-    shift = fill.select(*by, "_bucket", F.coalesce(F.sum("_fill").over(before), F.lit(0)).alias("_shift"))
-    inside = Window.partitionBy(*by, "_bucket").orderBy(key)
-    return (cut.withColumn("_rank", F.row_number().over(inside) - 1)
-            .join(shift, [*by, "_bucket"])
-            .withColumn("idx", (F.col("_shift") + F.col("_rank")).cast("long"))
-            .select(*df.columns, "idx"))
+    placed = range_placed(df, [*by, key], partitions)
+    part = F.shiftright("_place", _PLACE_BITS).alias("_part")
+    found = placed.groupBy(*by, part).agg(F.count("*").alias("n"), F.min("_place").alias("first")).orderBy("_part", "first")
+    shifts, before = [], {}
+    for r in found.collect():  # one row per range and group in it
+        group = tuple(r)[:len(by)]
+        shifts.append((*group, r["_part"], before.get(group, 0) - r["first"]))
+        before[group] = before.get(group, 0) + r["n"]
+    kinds = [found.schema[c] for c in (*by, "_part")]
+    table = df.sparkSession.createDataFrame(shifts, T.StructType([*kinds, T.StructField("_shift", T.LongType())]))
+    same = [placed[c].eqNullSafe(table[c]) for c in by] + [F.shiftright(placed["_place"], _PLACE_BITS) == table["_part"]]
+    return (placed.join(F.broadcast(table), reduce(lambda a, b: a & b, same))
+            .select(*[placed[c] for c in df.columns], (placed["_place"] + table["_shift"]).alias("idx")))
 
 
 def file_ordinal(df: DataFrame) -> DataFrame:
     """`df` with `idx`, from (`file_ord`, `pos`) where positions within a file are already dense."""
-    # One row per file of the union.
-    sizes = df.groupBy("file_ord").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("file_ord").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.select("file_ord", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    return (df.join(shift, "file_ord").withColumn("idx", (F.col("pos") + F.col("_shift")).cast("long"))
-            .drop("_shift"))
+    shifts, before = [], 0
+    for r in df.groupBy("file_ord").agg(F.count("*").alias("n")).orderBy("file_ord").collect():  # one row per file of the union
+        shifts.append((r["file_ord"], before))
+        before += r["n"]
+    table = df.sparkSession.createDataFrame(shifts, "file_ord int, _shift long")
+    return (df.join(F.broadcast(table), "file_ord").withColumn("idx", F.col("pos") + F.col("_shift"))
+            .select(*df.columns, "idx"))
 
 
 def merge_translations(base: DataFrame, chunks: list[DataFrame], key: str = "question_id",

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +27,31 @@ def staged(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def bucketed(df: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """`df` stored in buckets of `keys`, one file each: joins on these keys do not shuffle it.
+
+    A table of the session's catalog with its files below `folder`; as many buckets as the session has shuffle partitions.
+    """
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"stored_{uuid.uuid4().hex}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", folder).saveAsTable(name, format="parquet")
+    return spark.table(name)
+
+
+_ONCE: dict[tuple, Any] = {}
+
+
+def stored_once(spark: SparkSession, *key: str, write: Callable[[str], Any]) -> Any:
+    """What `write` has returned for `key` after filling a folder: new in every application, shared by its queries from then on.
+
+    The key must name all that goes into it, so that other inputs are other keys; inputs are taken not to change meanwhile.
+    """
+    key = (spark.sparkContext.applicationId, spark.conf.get("spark.sql.shuffle.partitions"), *key)
+    if key not in _ONCE:
+        _ONCE[key] = write(shared_folder(spark))
+    return _ONCE[key]
+
+
 def as_json(columns: list[str], rest: str | None = None) -> Column:
     """One JSON object of the columns, nulls written out, followed by the fields in the map column `rest`."""
     known = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
@@ -48,7 +76,9 @@ def write_chunks(df: DataFrame, path: str, stem: str, parts: int, rest: str | No
     columns = [c for c in df.columns if c not in ("part", rest)]
     lines = df.select(name(F.col("part")).alias("chunk"), as_json(columns, rest).alias("value"))
     lines.write.mode("overwrite").partitionBy("chunk").text(path)
-    filled = {r["part"] for r in df.select("part").distinct().collect()}  # at most `parts` numbers
+    # the folders that are there, by listing
+    written = df.sparkSession.read.schema("value string, chunk string").text(path).inputFiles()
+    filled = {int(m[1]) for f in written if (m := re.search(rf"_part(\d+)of{parts}/[^/]*$", f))}
     nothing = df.sparkSession.createDataFrame([], "value string")
     for i in sorted(set(range(1, parts + 1)) - filled):
         nothing.write.mode("overwrite").text(f"{path}/chunk={stem}_part{i}of{parts}")

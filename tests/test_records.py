@@ -30,13 +30,37 @@ def test_chunks(spark, n, parts, sizes):
 
 def test_dense_ordinal_with_uneven_keys(spark):
     keys = [(i if i < 300 else 10**12 + i * i, "train" if i % 3 else "dev") for i in range(500)]
-    got = records.dense_ordinal(spark.createDataFrame(keys, "k long, s string"), "k", ["s"], buckets=16).collect()
+    got = records.dense_ordinal(spark.createDataFrame(keys, "k long, s string"), "k", ["s"], partitions=16).collect()
     for s in ("train", "dev"):
         mine = sorted((r["k"], r["idx"]) for r in got if r["s"] == s)
         assert [i for _, i in mine] == list(range(len(mine)))
     assert len(got) == 500
 
 
+def test_dense_ordinal_of_nothing_and_of_null_groups(spark):
+    none = spark.createDataFrame([], "k long, s string")
+    assert records.dense_ordinal(none, "k").count() == 0 and records.dense_ordinal(none, "k", ["s"]).columns == ["k", "s", "idx"]
+    got = records.dense_ordinal(spark.createDataFrame([(5, None), (3, None), (4, "a")], "k long, s string"), "k", ["s"])
+    assert rows(got, "k", "idx") == [(3, 0), (4, 0), (5, 1)]
+    names = spark.createDataFrame([("b",), ("a",), ("c",)], "k string")
+    assert rows(records.dense_ordinal(names, "k")) == [("a", 0), ("b", 1), ("c", 2)]
+
+
+def test_ten_million_rows_in_even_ranges(spark):
+    """Keys in two far apart crowds, two groups of very different size: no range has over twice the median."""
+    n = 10_000_000
+    key = F.when(F.col("id") < n // 2, F.col("id")).otherwise(F.col("id") * 1000 + 10**15)
+    df = spark.range(n).select(key.alias("k"), F.when(F.col("id") % 100 == 0, "dev").otherwise("train").alias("s"))
+    placed = records.range_placed(df, ["s", "k"], 24)
+    sizes = sorted(r["n"] for r in placed.groupBy(F.shiftright("_place", 33)).agg(F.count("*").alias("n")).collect())
+    assert len(sizes) == 24 and sum(sizes) == n and sizes[-1] <= 2 * sizes[12]
+    got = records.dense_ordinal(df, "k", ["s"], partitions=24)
+    tops = {r["s"]: tuple(r)[1:] for r in got.groupBy("s").agg(F.min("idx"), F.max("idx"), F.count_distinct("idx")).collect()}
+    assert tops == {"dev": (0, n // 100 - 1, n // 100), "train": (0, n - n // 100 - 1, n - n // 100)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange rangepartitioning" not in plan and "SinglePartition" not in plan
+
+
 def test_files_one_after_the_other(spark):
     a = spark.createDataFrame([(0, "a"), (1, "b")], "pos int, q string")
     b = spark.createDataFrame([(0, 9)], "pos int, other int")
