@@ -15,7 +15,7 @@ from checks import expected as X  # noqa: E402
 from checks import workload as W  # noqa: E402
 from schemaloom.functions import text as T  # noqa: E402
 from schemaloom.operators import browse, catalog, enrich, extremes, graph, records, refs  # noqa: E402
-from schemaloom.sources import descriptions, encodings, json_docs, sinks  # noqa: E402
+from schemaloom.sources import descriptions, encodings, json_docs, json_split, record_store, sinks  # noqa: E402
 
 try:  # the training-text operators are a part of their own and may be missing
     from schemaloom.llm import expected_sql as LLM_SQL
@@ -28,11 +28,14 @@ t = W.table
 
 
 def _catalog(spark: SparkSession, d: str) -> catalog.Catalog:
-    return enrich.enriched_catalog(W.entries(spark, d), W.description_rows(spark, d))
+    """Worked out and stored once for all queries of an application over the same tables."""
+    def write(folder: str) -> catalog.Catalog:
+        return graph.stored(enrich.enriched_catalog(W.entries(spark, d), W.description_rows(spark, d)), folder)
+    return sinks.stored_once(spark, "catalog", d, write=write)
 
 
 def _names(spark: SparkSession, d: str) -> catalog.Catalog:
-    return catalog.plain_catalog(W.entries(spark, d))
+    return sinks.stored_once(spark, "names", d, write=lambda folder: graph.stored(catalog.plain_catalog(W.entries(spark, d)), folder))
 
 
 def _described(spark: SparkSession, d: str) -> DataFrame:
@@ -87,6 +90,20 @@ def json_array_items(spark, d):
     return json_docs.explode_items(docs, "line_no int, line string")
 
 
+def json_array_split(spark, d):
+    """Documents as objects among other items of one array a source, read back by ranges; strings hold brackets and quotes."""
+    odd = F.concat(F.lit('}, {"doc_id": 0} ['), F.col("text"), F.lit('] "\\'))
+    item = F.to_json(F.struct("doc_id", odd.alias("text"), F.array(F.struct(F.lit("}").alias("deep"))).alias("more")))
+    docs = t(spark, d, "documents").select("source", "doc_id", F.concat(F.lit(', "}", '), item).alias("value"))
+    ends = docs.select("source").distinct().select("source", F.explode(F.map_from_arrays(
+        F.array(F.lit(-1), F.lit(2**62)).cast("array<long>"), F.array(F.lit("[0"), F.lit("]")))).alias("doc_id", "value"))
+    folder = sinks.shared_folder(spark)
+    (docs.unionByName(ends).repartition("source").sortWithinPartitions("source", "doc_id").drop("doc_id")
+     .write.partitionBy("source").text(folder, lineSep="\n"))
+    read = json_split.read_array_split(spark, folder, "doc_id long, text string")
+    return read.select(F.regexp_extract("path", "source=([^/]+)", 1).alias("source"), "pos", "doc_id", "text")
+
+
 def description_csv(spark, d):
     """The lines of each document as a CSV file with header and quoted cells, read back as description rows."""
     quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
@@ -169,9 +186,11 @@ def using_natural(spark, d):
 # --- graphs -----------------------------------------------------------------------------------------------------------
 
 def _log_and_facts(spark, d, c):
-    """The log of known databases, and what was read out of its text, each written once for the steps that share it."""
-    log = sinks.staged(graph.in_catalog(W.query_log(spark, d), c), sinks.shared_folder(spark))
-    return log, sinks.staged(refs.query_facts(log), sinks.shared_folder(spark))
+    """The log of known databases, and what was read out of its text, each written once for the queries that share it."""
+    def write(folder: str) -> tuple[DataFrame, DataFrame]:
+        log = sinks.staged(graph.in_catalog(W.query_log(spark, d), c), f"{folder}/log")
+        return log, sinks.staged(refs.query_facts(log), f"{folder}/facts")
+    return sinks.stored_once(spark, "facts", d, write=write)
 
 
 def gold_edges(spark, d):
@@ -191,7 +210,7 @@ def gold_nodes(spark, d):
 
 def _records(spark, d):
     c = _catalog(spark, d)
-    return graph.gold_records(*_log_and_facts(spark, d, c), c)
+    return sinks.stored_once(spark, "records", d, write=lambda folder: sinks.staged(graph.gold_records(*_log_and_facts(spark, d, c), c), folder))
 
 
 def gold_context(spark, d):
@@ -217,6 +236,12 @@ def neighbourhood(spark, d):
     return graph.neighbourhood(_customers(spark, d), customer_edges(spark, d).select("src", "dst"), "c7")
 
 
+def neighbourhoods(spark, d):
+    """What three customers reach in three steps: suppliers, their customers, and the suppliers of those."""
+    origins = spark.createDataFrame([("c7",), ("c11",), ("c23",)], "vertex string")
+    return graph.neighbourhoods(_customers(spark, d), customer_edges(spark, d).select("src", "dst"), origins, 3)
+
+
 def _customers(spark, d):
     return t(spark, d, "customer").select(
         F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("vertex"), "c_mktsegment", "c_nationkey")
@@ -258,13 +283,17 @@ def union_files(spark, d):
     return _split_questions(spark, d).select("question_id", "db_id", "file_ord")
 
 
-def _browsed(spark, d):
+def _store(spark, d):
+    """The finished records as a stored table, written once for the queries that look something up."""
+    return sinks.stored_once(spark, "store", d, write=lambda folder: record_store.write_store(_finished(spark, d), folder, "question_id"))
+
+
+def _finished(spark, d):
     q = _split_questions(spark, d)
     split = F.when(F.col("file_ord") == 0, "train").otherwise("dev").alias("split")
-    r = records.bilingual(q).withColumnRenamed("question_ar", "_").select(
+    return records.bilingual(q).withColumnRenamed("question_ar", "_").select(
         "question_id", "db_id", "question_en", F.lit("").alias("question_ar"), split,
         F.concat(F.lit("SELECT * FROM "), F.col("db_id")).alias("SQL"))
-    return records.dense_ordinal(r, "question_id", ["split"])
 
 
 def split_contiguous(spark, d):
@@ -320,6 +349,15 @@ def tied_extreme_scope(spark, d):
         "l_orderkey", "l_linenumber", "l_partkey", "s_name", "n_name", "s_acctbal")
 
 
+def tied_extreme_by_key(spark, d):
+    """In every region the lines of the suppliers with the region's largest balance."""
+    s, n, r = t(spark, d, "supplier"), t(spark, d, "nation"), t(spark, d, "region")
+    scope = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    items = t(spark, d, "lineitem").join(scope, F.col("l_suppkey") == F.col("s_suppkey"))
+    return extremes.tied_extreme_by_key(items, ["r_name"], F.col("s_acctbal"), "max", scope).select(
+        "r_name", "l_orderkey", "l_linenumber", "l_partkey", "s_name", "s_acctbal")
+
+
 def nested_extreme(spark, d):
     """Among the rows at the earliest date, those at the smallest price class of that date."""
     o, c = t(spark, d, "orders"), t(spark, d, "customer")
@@ -407,6 +445,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "first_filled": first_filled,
         "decode_files": decode_files,
         "json_array_items": json_array_items,
+        "json_array_split": json_array_split,
         "description_csv": description_csv,
         "resolve_db_root": resolve_folders,
         "chunk_files": chunk_files,
@@ -424,6 +463,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "enrichment_report_by_db": lambda s, d: _report(s, d, True),
         "nested_entries": nested_entries,
         "table_refs": lambda s, d: refs.table_refs(_parsed(s, d)),
+        "readable_texts": lambda s, d: _parsed(s, d).select("question_id", "parse_ok"),
         "alias_map": lambda s, d: refs.alias_map(_parsed(s, d)),
         "equi_pairs": lambda s, d: refs.equi_pairs(_parsed(s, d)),
         "using_natural": using_natural,
@@ -437,6 +477,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "view_links": lambda s, d: browse.view_links(_records(s, d)),
         "item_lines": lambda s, d: browse.item_lines(_records(s, d)),
         "neighbourhood": neighbourhood,
+        "neighbourhoods": neighbourhoods,
         "graph_filter": graph_filter,
         "graph_filter_edges": graph_filter_edges,
         "visible_subgraph": visible_subgraph,
@@ -449,15 +490,17 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "o_orderkey", "o_orderstatus"), "o_orderkey", ["o_orderstatus"]),
         "file_ordinal": file_ordinal,
         "merge_translations": merge_translations,
-        "db_counts": lambda s, d: browse.db_counts(_browsed(s, d)),
-        "list_records": lambda s, d: browse.list_records(_browsed(s, d), "DEV", "src3"),
-        "record_at": lambda s, d: browse.record_at(_browsed(s, d), 11),
-        "search_records": lambda s, d: browse.search_records(_browsed(s, d), " FROM src1", "dev"),
-        "search_all": lambda s, d: browse.search_records(_browsed(s, d), "or the", "train"),
+        "db_counts": lambda s, d: _store(s, d).db_counts(),
+        "list_records": lambda s, d: _store(s, d).list_records("DEV", "src3"),
+        "record_at": lambda s, d: _store(s, d).record_at(11),
+        "search_records": lambda s, d: _store(s, d).search(" FROM src1", "dev"),
+        "search_all": lambda s, d: _store(s, d).search("or the", "train"),
+        "search_short": lambda s, d: _store(s, d).search("Or", "train", "src3"),
         "tied_extreme": tied_extreme,
         "tied_extreme_filtered": tied_extreme_filtered,
         "tied_extreme_join": tied_extreme_join,
         "tied_extreme_scope": tied_extreme_scope,
+        "tied_extreme_by_key": tied_extreme_by_key,
         "nested_extreme": nested_extreme,
         "extreme_ratio": extreme_ratio,
         "extreme_groups_max": extreme_groups_max,
@@ -500,6 +543,8 @@ def _own_sql() -> dict[str, str]:
         "json_array_items": """SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, CAST(i - 1 AS INTEGER) AS line_no, line
             FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
                   generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)""",
+        "json_array_split": """SELECT source, CAST(2 * row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS pos,
+            doc_id, '}, {"doc_id": 0} [' || text || '] "\\' AS text FROM documents""",
         "description_csv": """SELECT CAST(doc_id AS VARCHAR) AS path, CAST(i - 1 AS INTEGER) AS row_no,
             'col ' || (i - 1) AS original_column_name, line || chr(10) || 'next line' AS column_description
             FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n\\n|\\n')) AS line,
@@ -544,6 +589,7 @@ def _own_sql() -> dict[str, str]:
             USING (db_id)"""),
         "table_refs": log(X.LOG, X.by_shape("r", "name, alias", X.TABLES),
                           select="SELECT question_id, pos, name, alias FROM log JOIN r USING (k)"),
+        "readable_texts": log(X.LOG, select=f"SELECT question_id, k NOT IN {W.BROKEN} AS parse_ok FROM log"),
         "alias_map": log(X.LOG, X.by_shape("m", "qualifier, table_name", {
             k: list(X.ALIASES[k].items()) for k in X.TABLES}),
             select="SELECT question_id, qualifier, table_name FROM log JOIN m USING (k)"),
@@ -578,6 +624,13 @@ def _own_sql() -> dict[str, str]:
                              "FROM edges)", "one AS (SELECT b FROM pairs WHERE a = 'c7')", select="""SELECT vertex,
             min(level) AS level FROM (SELECT 'c7' AS vertex, 0 AS level UNION ALL SELECT b, 1 FROM one UNION ALL
             SELECT b, 2 FROM pairs WHERE a IN (SELECT b FROM one)) GROUP BY ALL"""),
+        "neighbourhoods": log(_CUSTOMER_EDGES, "pairs AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges)",
+            "zero AS (SELECT 'c' || c_custkey AS origin, 'c' || c_custkey AS vertex FROM customer WHERE c_custkey IN (7, 11, 23))",
+            "one AS (SELECT DISTINCT origin, b AS vertex FROM zero JOIN pairs ON a = vertex)",
+            "two AS (SELECT DISTINCT origin, b AS vertex FROM one JOIN pairs ON a = vertex)",
+            "three AS (SELECT DISTINCT origin, b AS vertex FROM two JOIN pairs ON a = vertex)",
+            select="""SELECT origin, vertex, min(level) AS level FROM (SELECT *, 0 AS level FROM zero UNION ALL SELECT *, 1 FROM one
+            UNION ALL SELECT *, 2 FROM two UNION ALL SELECT *, 3 FROM three) GROUP BY ALL"""),
         "graph_filter": "SELECT 'c' || c_custkey AS vertex FROM customer WHERE c_mktsegment IN ('MACHINERY', 'FURNITURE')",
         "graph_filter_edges": log(_CUSTOMER_EDGES, select="SELECT src AS vertex FROM edges WHERE l_returnflag = 'R' "
                                   "UNION SELECT dst FROM edges WHERE l_returnflag = 'R'"),
@@ -613,6 +666,8 @@ def _own_sql() -> dict[str, str]:
         "record_at": log(_RAW, _BROWSED, select="SELECT * FROM browsed WHERE split = 'train' AND idx = 11"),
         "search_records": log(_RAW, _BROWSED, select="""SELECT idx, db_id, question_en, question_ar, SQL FROM browsed
             WHERE split = 'dev' AND (contains(lower(question_en), ' from src1') OR contains(lower(SQL), ' from src1'))"""),
+        "search_short": log(_RAW, _BROWSED, select="""SELECT idx, db_id, question_en, question_ar, SQL FROM browsed
+            WHERE split = 'train' AND db_id = 'src3' AND contains(lower(question_en || ' ' || SQL), 'or')"""),
         "search_all": log(_RAW, _BROWSED, select="""SELECT idx, db_id, question_en, question_ar, SQL FROM browsed
             WHERE split = 'train' AND contains(lower(question_en || ' ' || SQL), 'or the')"""),
         "tied_extreme": "SELECT p_partkey, p_size FROM part WHERE abs(p_size) = (SELECT max(abs(p_size)) FROM part)",
@@ -624,6 +679,10 @@ def _own_sql() -> dict[str, str]:
             JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey =
             r_regionkey WHERE r_name = 'ASIA' AND s_acctbal = (SELECT max(s_acctbal) FROM supplier JOIN nation ON
             s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA')""",
+        "tied_extreme_by_key": """WITH s AS (SELECT * FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON
+            n_regionkey = r_regionkey), top AS (SELECT r_name, max(s_acctbal) AS best FROM s GROUP BY ALL) SELECT r_name, l_orderkey,
+            l_linenumber, l_partkey, s_name, s_acctbal FROM lineitem JOIN s ON l_suppkey = s_suppkey JOIN top USING (r_name)
+            WHERE s_acctbal = best""",
         "nested_extreme": f"""WITH j AS (SELECT *, {_DAY} AS day FROM orders JOIN customer ON o_custkey = c_custkey WHERE
             c_mktsegment = 'MACHINERY') SELECT o_orderkey, c_custkey, o_orderpriority FROM j WHERE day = (SELECT
             min(day) FROM j) AND o_orderpriority = (SELECT min(o_orderpriority) FROM j WHERE day = (SELECT min(day)

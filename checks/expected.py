@@ -28,6 +28,7 @@ TABLES = {
     15: [("orders", ""), ("big", "b"), ("customer", "c"), ("supplier", "")],
     16: [("orders", ""), ("customer", "c"), ("region", "")],
     17: [("nation", "a"), ("supplier", ""), ("customer", "b")],
+    18: [], 19: [],
 }
 # Column equalities in text order.
 PAIRS = {
@@ -83,6 +84,7 @@ ALIASES = {
     15: {"orders": "orders", "big": "big", "b": "big", "customer": "customer", "c": "customer", "supplier": "supplier"},
     16: {"orders": "orders", "customer": "customer", "c": "customer", "region": "region"},
     17: {"nation": "nation", "a": "nation", "supplier": "supplier", "customer": "customer", "b": "customer"},
+    18: {}, 19: {},
 }
 # Edges that the text states, by shape.
 EDGES_OF = {
@@ -131,6 +133,11 @@ NODES_OF = {
          ("region", "region", "region", "region", "Region")],
     17: [("nation", "nation", "nation", "nation", "Nation"), ("supplier", "supplier", "supplier", "party", "Supplier"),
          ("customer", "customer", "customer", "party", "Customer"), ("party", None, None, "party", None)],
+    # texts that cannot be read: tables whose names stand in them
+    18: [("customer", "customer", "customer", None, None), ("nation", "nation", "nation", "nation", None), ("part", "part", "part", "part", None),
+         ("Customer", None, None, None, "Customer"), ("Nation", None, None, None, "Nation"), ("Part", None, None, None, "Part")],
+    19: [("nation", "nation", "nation", "nation", None), ("region", "region", "region", "region", None),
+         ("Nation", None, None, None, "Nation"), ("Region", None, None, None, "Region")],
 }
 
 
@@ -147,11 +154,16 @@ def lang_columns(lang: str) -> list[tuple]:
     return out
 
 
+# Original and canonical table names by language.
+_PLAIN = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+_PROPER = ["Region", "Nation", "Customer", "Supplier", "Part", "Orders", "LineItem"]
+TABLES_OF = {"en": (_PLAIN, ["region", "nation", "customer", "supplier", "part", "orders", "line item"]), "fr": (_PLAIN, _PLAIN),
+             "de": (_PLAIN, ["region", "nation", "party", "party", "part", "orders", "lineitem"]), "es": (_PROPER, _PROPER)}
+
+
 def lang_tables(lang: str) -> list[tuple]:
     """(t_idx, original, canonical)"""
-    v = variant(lang)
-    names = v.canonical_tables or v.original_tables
-    return [(i, o, names[i] if i < len(names) else o) for i, o in enumerate(v.original_tables)]
+    return [(i, *names) for i, names in enumerate(zip(*TABLES_OF[lang]))]
 
 
 def lang_links(lang: str) -> list[tuple]:

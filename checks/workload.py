@@ -181,10 +181,14 @@ def _texts() -> list[Column]:
           ") AS s, customer c, region WHERE s.k = c.c_custkey"),
         c("SELECT b.c_name FROM nation AS a JOIN (SELECT s_name FROM supplier WHERE s_acctbal > ", price,
           ") s ON a.n_name = s.s_name JOIN customer AS b USING (name)"),
+        # no end of a literal, and none of a parenthesis
+        c("SELECT c_name FROM customer WHERE c_mktsegment = 'open -- of nation and part ", priority),
+        c("SELECT n_name FROM (SELECT n_name FROM nation JOIN region ON n_regionkey = r.r_regionkey WHERE n_name < '", status, "'"),
     ]
 
 
-TEMPLATES = 18
+TEMPLATES = 20
+BROKEN = (18, 19)
 
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:

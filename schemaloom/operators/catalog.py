@@ -8,13 +8,14 @@ join and no shuffle.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schemaloom.functions.text import norm_alnum
-from schemaloom.operators.joins import salted_lookup_join
+from schemaloom.operators.joins import split_lookup_join
 
 ENTRY_SCHEMA = ("db_id string, table_names array<string>, table_names_original array<string>, "
                 "column_names array<array<string>>, column_names_original array<array<string>>, "
@@ -190,8 +191,19 @@ class Catalog:
     described: DataFrame  # rows of `columns` with `description`
     fk_texts: DataFrame  # (db_id, child_table, child_column, parent_table, parent_column, description)
 
+    # lookups by name, stored in buckets of their keys (`stored`)
+    lookups: dict[str, DataFrame] = field(default_factory=dict)
+
     def lookup(self, rows: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-        return salted_lookup_join(rows, table, on, how)
+        return split_lookup_join(rows, table, on, how)
+
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """The stored lookup of that name, or what `make` works out."""
+        return self.lookups[name] if name in self.lookups else make()
+
+    def stored(self, store: Callable[[DataFrame, list[str], str], DataFrame], lookups: dict[str, tuple[DataFrame, list[str]]]) -> Catalog:
+        """The same catalog with `lookups` ({name: (table, its keys)}) stored."""
+        return replace(self, lookups={name: store(table, keys, name) for name, (table, keys) in lookups.items()})
 
     def column_lists(self) -> DataFrame:
         """(db_id, table_name, columns) for every canonical table, borrowed lists included."""

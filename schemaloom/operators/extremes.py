@@ -23,6 +23,17 @@ def tied_extreme(df: DataFrame, value: Column, how: str = "max", scope: DataFram
     return df.filter(value == extreme_of(within, value if scope_value is None else scope_value, how))
 
 
+def tied_extreme_by_key(df: DataFrame, keys: list[str], value: Column, how: str = "max", scope: DataFrame | None = None) -> DataFrame:
+    """All rows of `df` whose value is the extreme of their own key's rows in `scope` (default: `df` itself).
+
+    One partial aggregate finds the extremes of all keys, in place of a subquery for each; the way back is a semi-join on key
+    and value, so that of a key with very many rows only the tied ones meet. Rows with a null key or value are none.
+    """
+    pick = {"max": F.max, "min": F.min}[how]
+    extremes = (df if scope is None else scope).groupBy(*keys).agg(pick(value).alias("_value"))
+    return df.withColumn("_value", value).join(extremes, [*keys, "_value"], "left_semi").drop("_value")
+
+
 def extreme_groups(df: DataFrame, keys: list[str], how: str = "max", counted: Column | None = None) -> DataFrame:
     """Groups whose count is the largest or smallest of all: (keys, group_count)."""
     target = F.lit(1) if counted is None else counted

@@ -8,13 +8,31 @@ from pyspark.sql import functions as F
 from schemaloom.functions.sqltext import text_tokens
 from schemaloom.functions.text import edge_line, filled, first_filled, labelled, whole_word
 from schemaloom.operators import catalog as cat
+from schemaloom.operators import joins
 from schemaloom.operators.catalog import Catalog
 from schemaloom.operators.enrich import FK_ENDS
+from schemaloom.sources import sinks
 
 
 def in_catalog(log: DataFrame, catalog: Catalog) -> DataFrame:
     """Questions whose database the catalog knows. Done once, before their text is read; the functions below expect it."""
-    return catalog.lookup(log, catalog.databases, ["db_id"], "left_semi")
+    return catalog.lookup(log, catalog.kept("databases", lambda: catalog.databases), ["db_id"], "left_semi")
+
+
+def stored(catalog: Catalog, folder: str | None = None) -> Catalog:
+    """The catalog with what the steps below look up stored in buckets, so that joining a log to it shuffles the log alone."""
+    folder = folder or sinks.shared_folder(catalog.databases.sparkSession)
+    return catalog.stored(lambda table, keys, name: sinks.bucketed(table, keys, f"{folder}/{name}"), lookups(catalog))
+
+
+def lookups(catalog: Catalog) -> dict[str, tuple[DataFrame, list[str]]]:
+    """What the steps below look up, with the keys they look it up by: what `Catalog.stored` stores."""
+    return {"databases": (catalog.databases, ["db_id"]),
+            "fk_texts": (fk_lookup(catalog), ["db_id", *FK_ENDS]),
+            "names": (name_index(catalog), ["db_id", "kind", "name_key"]),
+            "table_words": (table_words(catalog), ["db_id", "word"]),
+            "column_names": (column_names(catalog), ["db_id", "table_name"]),
+            "column_lists": (catalog.column_lists(), ["db_id", "table_name"])}
 
 
 def fk_lookup(catalog: Catalog) -> DataFrame:
@@ -32,17 +50,19 @@ def fk_lookup(catalog: Catalog) -> DataFrame:
         first_filled(F.max("forward"), F.max("backward")).alias("description"))
 
 
-def shared_columns(pairs: DataFrame, catalog: Catalog) -> DataFrame:
-    """(db_id, left_table, right_table, name): column names that both tables of a pair have.
+def column_names(catalog: Catalog) -> DataFrame:
+    """(db_id, table_name, names): the distinct column names of each canonical table."""
+    return (catalog.columns.filter("t_idx >= 0").groupBy("db_id", F.col("table_canonical").alias("table_name"))
+            .agg(F.collect_set("canonical").alias("names")))
 
-    `pairs` are made distinct first, so a pair that the log repeats is worked out once.
-    """
-    cols = catalog.columns.filter("t_idx >= 0").select(
-        "db_id", F.col("table_canonical").alias("t"), F.col("canonical").alias("name")).distinct()
-    left = pairs.select("db_id", "left_table", "right_table").distinct().join(
-        cols.withColumnRenamed("t", "left_table"), ["db_id", "left_table"])
-    return left.join(cols.withColumnRenamed("t", "right_table"),
-                     ["db_id", "right_table", "name"], "left_semi")
+
+def shared_columns(joined: DataFrame, catalog: Catalog) -> DataFrame:
+    """`joined` (db_id, left_table, right_table, ...) with `name`: a row per column name that both tables have."""
+    names = catalog.kept("column_names", lambda: column_names(catalog))
+    for side in ("left", "right"):
+        joined = (catalog.lookup(joined.withColumnRenamed(f"{side}_table", "table_name"), names, ["db_id", "table_name"], "inner")
+                  .withColumnRenamed("table_name", f"{side}_table").withColumnRenamed("names", f"{side}_names"))
+    return joined.withColumn("name", F.explode(F.array_intersect("left_names", "right_names"))).drop("left_names", "right_names")
 
 
 def gold_edges(facts: DataFrame, catalog: Catalog, key: str = "question_id") -> DataFrame:
@@ -59,20 +79,18 @@ def gold_edges(facts: DataFrame, catalog: Catalog, key: str = "question_id") ->
 
     natural = (facts.filter("maybe_natural")
                .select(*keep, "edges", F.explode(F.array_distinct("natural")).alias("j")).select(*keep, "edges", "j.*"))
-    shared = shared_columns(natural, catalog)
-    implied = (catalog.lookup(natural, shared.groupBy("db_id", "left_table", "right_table").agg(F.collect_list("name").alias("shared_names")), ["db_id", "left_table", "right_table"], "inner")
-               .withColumn("name", F.explode("shared_names"))
+    implied = (shared_columns(natural, catalog)
                .select(*keep, "edges", F.struct(
                    F.col("left_table").alias("child_table"), F.col("name").alias("child_column"),
                    F.col("right_table").alias("parent_table"), F.col("name").alias("parent_column")).alias("e"))
                .filter(~F.array_contains("edges", F.col("e")))
                .select(*keep, F.size("edges").alias("pos"), "e.*"))
 
-    found = catalog.lookup(stated.unionByName(implied), fk_lookup(catalog), ["db_id", *FK_ENDS])
+    found = catalog.lookup(stated.unionByName(implied), catalog.kept("fk_texts", lambda: fk_lookup(catalog)), ["db_id", *FK_ENDS])
     return found.select(*keep, "pos", *FK_ENDS, filled(F.col("description")).alias("description"))
 
 
-def _name_index(catalog: Catalog) -> DataFrame:
+def name_index(catalog: Catalog) -> DataFrame:
     """Table names and uniquely owned column names as one lookup, so that a log is joined once."""
     names = cat.table_names(catalog.tables, catalog.columns).select(
         "db_id", F.lit("table").alias("kind"), "name_key", "candidates", F.lit(None).cast("string").alias("owner"))
@@ -91,7 +109,7 @@ def resolve_names(facts: DataFrame, catalog: Catalog, key: str = "question_id")
     items = F.concat(F.transform("names", lambda n: item("table", F.lower(n), n)),
                      F.transform("words", lambda w: item("column", w, w)))
     asked = facts.select(key, "db_id", F.explode(items).alias("i")).select(key, "db_id", "i.*")
-    hits = catalog.lookup(asked, _name_index(catalog), ["db_id", "kind", "name_key"], "inner")
+    hits = catalog.lookup(asked, catalog.kept("names", lambda: name_index(catalog)), ["db_id", "kind", "name_key"], "inner")
     return (hits.select(key, "db_id",
                         F.coalesce("owner", "name").alias("table_name"),
                         F.coalesce("owner", cat.canonical_name(F.col("name"), F.col("candidates"))).alias("canonical"))
@@ -99,20 +117,46 @@ def resolve_names(facts: DataFrame, catalog: Catalog, key: str = "question_id")
             .groupBy(key, "db_id", "table_name").agg(F.min("canonical").alias("canonical")))
 
 
+def table_words(catalog: Catalog) -> DataFrame:
+    """(db_id, word, table_name, n_words): each word of the canonical table names. A name without a word has ''."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("table_name"), F.lit(r"(?U)\w+"), F.lit(0)))
+    named = catalog.columns.filter("t_idx >= 0").select("db_id", F.col("table_canonical").alias("table_name")).distinct()
+    listed = named.withColumn("words", F.when(F.size(words) > 0, words).otherwise(F.array(F.lit(""))))
+    return listed.select("db_id", F.explode("words").alias("word"), "table_name", F.size("words").alias("n_words"))
+
+
+def rarest_words(tokens: DataFrame, catalog: Catalog) -> DataFrame:
+    """(db_id, word, table_name, n): each table under the one of its words that the fewest texts have; n is how many do.
+
+    tokens: (db_id, word), each word once per text. A table of which some word is in no text of its database is in none.
+    """
+    counts = tokens.groupBy("db_id", "word").agg(F.count("*").alias("n"))
+    seen = counts.join(catalog.kept("table_words", lambda: table_words(catalog)), ["db_id", "word"])
+    return (seen.groupBy("db_id", "table_name")
+            .agg(F.min(F.struct("n", "word")).alias("r"), F.count("*").alias("found"), F.max("n_words").alias("n_words"))
+            .where("found = n_words").select("db_id", "r.word", "table_name", "r.n"))
+
+
+#: Tables that are broadcast for words that are in very many texts.
+FEW_TABLES = 100_000
+
+
 def words_as_tables(log: DataFrame, catalog: Catalog, key: str = "question_id", sql: str = "SQL") -> DataFrame:
     """(key, db_id, table_name, canonical): schema tables whose name stands in the text as whole words.
 
-    Text and tables meet on the first word of the table's name; only names of several words are then
-    looked for in the text.
+    Text and table meet on the word of the table's name that the fewest texts have, so that a frequent word brings only the
+    tables that are called nothing else. Names of several words are then looked for in the text. Words that are in very many
+    texts even so, which the counts tell, are looked up by broadcast if they have `FEW_TABLES` at most.
     """
-    tokens = log.select(key, "db_id", F.explode(F.concat(text_tokens(F.col(sql)), F.array(F.lit("")))).alias("head"))
-    lower = F.lower("table_canonical")
-    # `min` picks the table itself: all rows of a group are the same table.
-    heads = (catalog.columns.filter("t_idx >= 0").select("db_id", F.col("table_canonical").alias("table_name"),
-                                                         F.regexp_extract(lower, r"(?U)\w+", 0).alias("head"))
-             .distinct())
-    met = tokens.join(heads, ["db_id", "head"])
-    single = F.lower("table_name") == F.col("head")
+    tokens = log.select(key, "db_id", F.explode(F.concat(text_tokens(F.col(sql)), F.array(F.lit("")))).alias("word"))
+    tables = sinks.staged(rarest_words(tokens, catalog), sinks.shared_folder(log.sparkSession))
+    total = tables.agg(F.sum("n")).first()[0] or 0
+    frequent = tables.where(F.col("n") >= max(joins.HOT_ROWS, total * joins.HOT_SHARE)).select("db_id", "word")
+    many = frequent.limit(FEW_TABLES + 1).count()
+    tables = tables.drop("n")
+    met = (joins.split_lookup_join(tokens, tables, ["db_id", "word"], "inner", frequent.distinct()) if 0 < many <= FEW_TABLES
+           else joins.lookup_join(tokens, tables, ["db_id", "word"], "inner"))
+    single = F.lower("table_name") == F.col("word")
     texts = log.select(key, F.lower(sql).alias("text"))
     longer = (met.filter(~single).join(texts, key)
               .filter(whole_word(F.col("text"), F.lower("table_name"))).drop("text"))
@@ -134,18 +178,23 @@ def gold_nodes(log: DataFrame, facts: DataFrame, catalog: Catalog, key: str = "q
     return named.unionByName(words_as_tables(left_over, catalog, key, sql))
 
 
+def _with_lists(nodes: DataFrame, catalog: Catalog) -> DataFrame:
+    """`nodes` with the columns of their canonical table."""
+    as_named = nodes.withColumnsRenamed({"table_name": "_written", "canonical": "table_name"})
+    found = catalog.lookup(as_named, catalog.kept("column_lists", catalog.column_lists), ["db_id", "table_name"])
+    return found.withColumnsRenamed({"table_name": "canonical", "_written": "table_name"})
+
+
 def node_columns(nodes: DataFrame, catalog: Catalog, key: str = "question_id") -> DataFrame:
     """(key, table_name, col_pos, column_name, description): nodes with their columns, one row each."""
-    lists = catalog.lookup(nodes, catalog.column_lists().withColumnRenamed("table_name", "canonical"),
-                           ["db_id", "canonical"])
+    lists = _with_lists(nodes, catalog)
     return (lists.select(key, "table_name", F.posexplode_outer("columns").alias("col_pos", "c"))
             .select(key, "table_name", "col_pos", F.col("c.name").alias("column_name"), "c.description"))
 
 
 def gold_graphs(nodes: DataFrame, edges: DataFrame, catalog: Catalog, key: str = "question_id") -> DataFrame:
     """(key, nodes, edges): one nested graph per query, as large as its SQL text makes it."""
-    lists = catalog.lookup(nodes, catalog.column_lists().withColumnRenamed("table_name", "canonical"),
-                           ["db_id", "canonical"])
+    lists = _with_lists(nodes, catalog)
     none = F.array().cast("array<struct<name:string,description:string>>")
     node = F.struct("table_name", F.coalesce("columns", none).alias("columns"))
     node_lists = lists.groupBy(key).agg(F.array_sort(F.collect_list(node)).alias("nodes"))
@@ -189,18 +238,53 @@ def undirected(edges: DataFrame) -> DataFrame:
         F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("e")).select("e.*")
 
 
-def neighbourhood(vertices: DataFrame, edges: DataFrame, vertex) -> DataFrame:
-    """(vertex, level): the vertex itself (0), its neighbours (1) and theirs (2), each at its nearest level.
+#: Neighbours in one row of an adjacency list.
+CHUNK = 1024
+
+
+def adjacency(edges: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """(vertex, chunks) and (vertex, chunk, neighbours), written: the neighbours of a hub are cut into many rows."""
+    spark = edges.sparkSession
+    ways = sinks.staged(undirected(edges).distinct(), sinks.shared_folder(spark))
+    ways = ways.withColumnRenamed("a", "vertex")
+    chunks = sinks.staged(ways.groupBy("vertex").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")), sinks.shared_folder(spark))
+    placed = joins.split_lookup_join(ways, chunks, ["vertex"], "inner")
+    lists = (placed.groupBy("vertex", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"))
+             .agg(F.collect_list("b").alias("neighbours")))
+    return chunks, sinks.staged(lists, sinks.shared_folder(spark))
+
+
+def neighbourhoods(vertices: DataFrame, edges: DataFrame, origins: DataFrame, degrees: int = 2, chunk: int = CHUNK) -> DataFrame:
+    """(origin, vertex, level): what each of `origins` (vertex) reaches in at most `degrees` steps, at its nearest level.
 
-    The vertex is there if `vertices` (vertex) has it, with or without an edge.
+    Only origins that `vertices` (vertex) has are there, with or without an edge; vertices that edges name are reached in any
+    case. Each round expands what was new in the round before and is written; it ends early if nothing is new. A frontier
+    meets a hub's neighbours list by list, so no task gets all of them.
     """
-    ways = undirected(edges)
-    first = ways.filter(F.col("a") == F.lit(vertex)).select(F.col("b").alias("vertex")).distinct()
-    second = ways.join(first.withColumnRenamed("vertex", "a"), "a").select(F.col("b").alias("vertex"))
-    at = lambda df, level: df.select("vertex", F.lit(level).alias("level"))
-    start = vertices.filter(F.col("vertex") == F.lit(vertex)).select("vertex")
-    return (at(start, 0).unionByName(at(first, 1)).unionByName(at(second, 2))
-            .groupBy("vertex").agg(F.min("level").alias("level")))
+    spark = edges.sparkSession
+    keep = lambda df: sinks.staged(df, sinks.shared_folder(spark))
+    start = vertices.select("vertex").join(origins.select("vertex").distinct(), "vertex", "left_semi").distinct()
+    frontier = keep(start.select(F.col("vertex").alias("origin"), "vertex", F.lit(0).alias("level")))
+    seen = frontier
+    if degrees < 1:
+        return seen
+    chunks, lists = adjacency(edges, chunk)
+    for level in range(1, degrees + 1):
+        asked = (frontier.join(chunks, "vertex")
+                 .select("origin", "vertex", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")))
+        reached = (asked.join(lists, ["vertex", "chunk"]).select("origin", F.explode("neighbours").alias("vertex")).distinct()
+                   .join(seen, ["origin", "vertex"], "left_anti"))
+        frontier = keep(reached.select("origin", "vertex", F.lit(level).alias("level")))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def neighbourhood(vertices: DataFrame, edges: DataFrame, vertex, degrees: int = 2) -> DataFrame:
+    """(vertex, level): `neighbourhoods` of one vertex; itself has level 0."""
+    origin = vertices.filter(F.col("vertex") == F.lit(vertex)).select("vertex")
+    return neighbourhoods(vertices, edges, origin, degrees).select("vertex", "level")
 
 
 def _property_in(prop: str, values: list[str]):

@@ -1,34 +1,45 @@
-"""How lookups are joined: one plan for all sizes. Adaptive execution broadcasts a side when its shuffled size turns
-out to be small, and cuts up skewed partitions when it does not."""
+"""How lookups are joined: the looked-up side stays where it is, and keys that very many rows share do not share a task."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: A key is hot if it has at least this share of the rows, so there are at most 1 / share hot keys; and so many rows at least,
+#: below which any task bears it.
+HOT_SHARE, HOT_ROWS = 1 / 1000, 10_000
+
 
 def lookup_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join `rows` to a lookup with at most one row per key."""
     return rows.join(table, on, how)
 
 
-# Copies of a lookup. They spread a hot key a little; what is still too large adaptive execution cuts up.
-SALTS = 4
+def hot_keys(rows: DataFrame, on: list[str], least: int = HOT_ROWS) -> DataFrame | None:
+    """The hot keys of `rows`, counted; None if there is none."""
+    total = rows.count()
+    if total < least:
+        return None
+    counts = rows.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") >= max(least, total * HOT_SHARE))
+    keys = [k for r in counts.collect() if None not in (k := tuple(r)[:-1])]  # 1 / HOT_SHARE at most
+    return rows.sparkSession.createDataFrame(keys, counts.select(*on).schema) if keys else None
 
 
-def salted_lookup_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """`lookup_join` for rows of which very many may share one key.
+def split_lookup_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left", hot: DataFrame | None = None,
+                      least: int = HOT_ROWS) -> DataFrame:
+    """`lookup_join` (left, inner or left_semi) for rows of which very many may share one key. `table` may have a few rows per key.
 
-    A key's rows are dealt out by a hash of their other columns and meet one copy of the lookup each. The salt also makes
-    Spark shuffle the lookup for this join, instead of taking over the partitioning of the aggregate that built it; only
-    then can adaptive execution split what is still too large.
+    Hot keys, 1000 at most, are counted first (or given as `hot`); what the table has on them is broadcast. The rest is joined
+    by key, and a table that is stored by these keys is not shuffled for it. Null keys find nothing.
     """
-    others = [c for c in rows.columns if c not in on]
-    if not others:
+    hot = hot_keys(rows, on, least) if hot is None else hot
+    if hot is None:
         return lookup_join(rows, table, on, how)
-    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int"))
-    copies = table.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return lookup_join(dealt, copies, [*on, "_salt"], how).drop("_salt")
+    few = F.broadcast(hot)
+    columns = lookup_join(rows, table, on, how).columns
+    mine = lookup_join(rows.join(few, on, "left_semi"), F.broadcast(table.join(few, on, "left_semi")), on, how)
+    rest = lookup_join(rows.join(few, on, "left_anti"), table, on, how)
+    return mine.select(*columns).unionByName(rest.select(*columns))
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -47,6 +47,7 @@ def build_gold_graphs(spark: SparkSession, entries_path: str, roots: list[str] |
         catalog = enrich.catalog_of_enriched(cat.latest_entries(cat.named_entries(read_enriched(spark, entries_path)), "pos"))
     else:
         catalog = enrich.enriched_catalog(*load_catalog(spark, entries_path, roots))
+    catalog = graph.stored(catalog)
     files = [json_docs.read_questions(spark, p) for p in question_paths]
     log = records.file_ordinal(records.union_files(*files)).withColumnRenamed("idx", "record_key")
     log = graph.in_catalog(log, catalog)

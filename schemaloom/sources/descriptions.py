@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from schemaloom.functions.text import norm_key
 from schemaloom.operators.joins import lookup_join
+from schemaloom.shipping import ship
 from schemaloom.sources.encodings import read_texts
 
 ROW_SCHEMA = ("path string, row_no int, original_column_name string, column_name string, "
@@ -39,6 +40,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def parse_files(texts: DataFrame) -> DataFrame:
     """(path, text) files to description rows; Spark spreads the files, each is parsed in its own task."""
+    ship(texts.sparkSession)
     return texts.select("path", "text").mapInPandas(_parse, ROW_SCHEMA)
 
 

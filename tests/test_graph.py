@@ -136,31 +136,100 @@ def test_filters_and_visible_part(spark):
     assert rows(graph.visible_subgraph(e, v.filter("vertex <> 'c'"))) == [("a", "b", "k")]
 
 
-def test_a_hot_database_is_split_on_the_shuffle_path(spark):
-    """Two thirds of the log ask one database; the lookup join cuts that key and loses nothing."""
-    q = spark.range(60_000).select(
-        F.col("id").alias("question_id"), F.when(F.col("id") % 3 < 2, "library").otherwise(
-            F.concat(F.lit("db"), F.col("id").cast("string"))).alias("db_id"),
-        F.array(F.lit("reader"), F.lit("branch")).alias("names"), F.array().cast("array<string>").alias("words"))
-    asked = q.select("question_id", "db_id", F.explode("names").alias("name_key"))
-    c = catalog.plain_catalog(entries(spark, LIBRARY, entry("other")))
-    index = catalog.table_names(c.tables, c.columns)
-    keys = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
-            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
-            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
-            "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "64",
-            "spark.sql.autoBroadcastJoinThreshold": "-1"}
-    before = {k: spark.conf.get(k, None) for k in keys}
+def test_hot_keys_are_broadcast_and_no_row_is_lost(spark):
+    """Two thirds of the log ask one database; all others of its keys meet the stored lookup, which is not shuffled."""
+    asked = spark.range(60_000).select(
+        F.col("id").alias("question_id"), F.when(F.col("id") % 3 < 2, "library").when(F.col("id") % 3 == 2, F.concat(F.lit("db"), F.col("id").cast("string"))).alias("db_id"),
+        F.explode(F.array(F.lit("reader"), F.lit("branch"), F.lit(None))).alias("name_key"))
+    c = catalog.plain_catalog(entries(spark, LIBRARY, entry("db5", tables=("reader",), columns=((-1, "*"), (0, "x")))))
+    index = sinks.bucketed(catalog.table_names(c.tables, c.columns), ["db_id", "name_key"], sinks.shared_folder(spark))
+    hot = joins.hot_keys(asked, ["db_id", "name_key"])
+    assert rows(hot) == [("library", "branch"), ("library", "reader")]
+    assert joins.hot_keys(asked, ["question_id"]) is None and joins.hot_keys(asked.limit(0), ["db_id"]) is None
+    for how, n in (("inner", 80_001), ("left", 180_000), ("left_semi", 80_001)):
+        joined = joins.split_lookup_join(asked, index, ["db_id", "name_key"], how)
+        plain = joins.lookup_join(asked, index, ["db_id", "name_key"], how)
+        assert joined.columns == plain.columns and joined.count() == n == plain.count()
+        assert rows(joined.groupBy("db_id", "name_key").count()) == rows(plain.groupBy("db_id", "name_key").count())
+
+
+def scans_below_an_exchange(plan, mark):
+    """Scans whose line has `mark` and that an exchange other than a broadcast stands above, short of a join."""
+    bad, path = [], []
+    for line in plan.split("\n"):
+        depth = len(line) - len(line.lstrip(" :+-"))
+        while path and path[-1][0] >= depth:
+            path.pop()
+        path.append((depth, line))
+        if mark in line:
+            for _, above in reversed(path):
+                if "Join" in above or "BroadcastExchange" in above:
+                    break
+                if "Exchange" in above:
+                    bad.append(line)
+                    break
+    return bad
+
+
+def test_records_do_not_shuffle_the_stored_catalog(spark):
+    c = graph.stored(library(spark))
+    q = graph.in_catalog(log(spark, *[c[0] for c in CASES]), c)
+    facts = facts_of(spark, q)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        for k, v in keys.items():
-            spark.conf.set(k, v)
-        joined = joins.salted_lookup_join(asked.repartition(16), index, ["db_id", "name_key"], "inner")
-        assert len(joined.collect()) == 80_000
-        plan = joined._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin(skew=true)" in plan
+        got = graph.gold_records(q, facts, c)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("spark_catalog.default.stored_") >= 5 and not scans_below_an_exchange(plan, "spark_catalog.default.stored_")
+        assert rows(got, "question_id", "context_text") == rows(graph.gold_records(q, facts, library(spark)), "question_id", "context_text")
     finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_a_table_called_like_the_most_frequent_word(spark, monkeypatch):
+    """Tables meet texts on their rarest word; a name that is one frequent word is looked up by broadcast."""
+    item = entry("library", tables=("select", "select rare", "rare thing", "never here", "line-item", "***"), columns=((-1, "*"), *((i, "x") for i in range(6))))
+    sqls = ["SELECT 1 -- filler"] * 40 + ["SELECT rare", "rare select thing", "thing, rare", "SELECT line item line-item", "RARE  thing", "*** rare thing", ""]
+    c = library(spark, item)
+    q = log(spark, *sqls)
+    q = q.where("db_id = 'library'")
+    tokens = q.select("db_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("SQL"), F.lit(r"\w+"), F.lit(0)))).alias("word"))
+    assert {(r["word"], r["table_name"]) for r in graph.rarest_words(tokens, c).collect()} == {
+        ("select", "select"), ("rare", "select rare"), ("thing", "rare thing"), ("item", "line-item")}
+    want = [(i, "select") for i in range(42)] + [(40, "select rare"), (43, "line-item"), (43, "select"), (45, "rare thing")]
+    for rows_of_a_hot_key in (10_000, 10):
+        monkeypatch.setattr(joins, "HOT_ROWS", rows_of_a_hot_key)
+        got = graph.words_as_tables(q, c)
+        assert sorted(rows(got, "question_id", "table_name")) == sorted(want)
+    # no task gets more than its share of the frequent word
+    many = spark.range(0, 40_000, 1, 16).select(F.col("id").alias("question_id"), F.lit("library").alias("db_id"), F.lit("SELECT 1 -- filler").alias("SQL"))
+    monkeypatch.setattr(joins, "HOT_ROWS", 10_000)
+    met = graph.words_as_tables(many, c).where("table_name = 'select'").groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in met) == 40_000 and max(r["n"] for r in met) <= 2 * 40_000 / 16
+
+
+def test_neighbourhoods_of_any_depth(spark, monkeypatch):
+    """Several origins, chains, a hub cut into lists, an origin without an edge and one that is not there."""
+    pairs = [(i, i + 1) for i in range(8)] + [(100, 200 + i) for i in range(300)] + [(8, 100), (3, 3), (1, 0), (205, 4000)]
+    near = defaultdict(set)
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+
+    def reach(origin, degrees):
+        level, front = {origin: 0}, [origin]
+        for k in range(1, degrees + 1):
+            front = [w for v in front for w in near[v] if w not in level and not level.update({w: k})]
+        return level
+    v = spark.createDataFrame([(i,) for i in (*range(9), 100, 205, 777)], "vertex int")
+    e = spark.createDataFrame(pairs, "src int, dst int")
+    origins = [0, 8, 205, 777, 999]
+    o = spark.createDataFrame([(i,) for i in (*origins, 8)], "vertex int")
+    for degrees in (0, 1, 3, 12):
+        got = graph.neighbourhoods(v, e, o, degrees, chunk=7)
+        assert rows(got) == sorted(((i, w, k) for i in origins[:-1] for w, k in reach(i, degrees).items()), key=repr)
+    chunks, lists = graph.adjacency(e, 7)
+    assert dict(rows(chunks))[100] == 43 and max(len(r["neighbours"]) for r in lists.collect()) < 40
 
 
 def test_a_database_without_tables_keeps_its_questions(spark):
