@@ -14,27 +14,42 @@ from schemaloom.sources import descriptions, json_docs, sinks
 REST = "_rest"
 
 
+def description_rows(spark: SparkSession, dbs: DataFrame, roots: list[str]) -> DataFrame:
+    """The description rows of the databases in `dbs` (db_id), from the folders below the roots."""
+    if not roots:
+        return spark.createDataFrame([], "file string, row_no int, original_column_name string, column_name string, column_description string, db_id string")
+    return descriptions.descriptions_by_db(dbs, descriptions.read_description_files(spark, roots), descriptions.list_folders(spark, roots))
+
+
 def load_catalog(spark: SparkSession, entries_path: str, roots: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Schema entries, as they are also in `REST`, and their description rows."""
+    """Schema entries, the last of each database, as they are also in `REST`, and their description rows."""
     entries = cat.latest_entries(cat.named_entries(json_docs.read_entries(spark, entries_path, rest=REST)), "pos")
-    if roots:
-        rows = descriptions.descriptions_by_db(entries, descriptions.read_description_files(spark, roots))
-    else:
-        rows = spark.createDataFrame([], "file string, row_no int, original_column_name string, "
-                                         "column_name string, column_description string, db_id string")
-    return entries, rows
+    return entries, description_rows(spark, entries, roots)
 
 
 def enrich_schemas(spark: SparkSession, entries_path: str, roots: list[str], out: str) -> DataFrame:
-    """Write the entries with descriptions attached and all other fields as they were; returns the counts."""
-    entries, rows = load_catalog(spark, entries_path, roots)
-    described = sinks.staged(
-        enrich.column_descriptions(cat.columns(entries), enrich.description_map(rows)),
-        sinks.shared_folder(spark))
-    fks = enrich.fk_descriptions(cat.foreign_keys(entries), described)
-    sinks.write_json(enrich.nested_entries(entries, fks, described).select(
-        "column_descriptions", "foreign_key_descriptions", REST), out, rest=REST)
-    return enrich.enrichment_report(entries, fks, described)
+    """Write the entries with descriptions attached and all other fields as they were; returns the counts.
+
+    Entries go by their place in the file: repeated entries of a database are each enriched and written, and entries without
+    a database id are written as they were, all in the order of the file.
+    """
+    keep = lambda df: sinks.staged(df, sinks.shared_folder(spark))
+    entries = keep(json_docs.read_entries(spark, entries_path, rest=REST))
+    named = cat.named_entries(entries)
+    places = named.select("db_id", F.col("pos").cast("string").alias("place"))
+    # from here on an entry's place stands for its database
+    rows = description_rows(spark, named, roots).join(places, "db_id").drop("db_id").withColumnRenamed("place", "db_id")
+    placed = named.withColumn("db_id", F.col("pos").cast("string"))
+    described = keep(enrich.column_descriptions(cat.columns(placed), enrich.description_map(rows)))
+    fks = enrich.fk_descriptions(cat.foreign_keys(placed), described)
+    nested = enrich.nested_entries(placed, fks, described)
+    added = ["column_descriptions", "foreign_key_descriptions"]
+    none = lambda c: F.coalesce(F.col(c), F.array().cast(nested.schema[c].dataType)).alias(c)
+    whole = sinks.as_json(added, REST)
+    lines = (nested.select("pos", REST, *map(none, added)).select("pos", whole.alias("value"))
+             .unionByName(entries.join(named.select("pos"), "pos", "left_anti").select("pos", F.to_json(REST, {"ignoreNullFields": "false"}).alias("value"))))
+    lines.orderBy("pos").select("value").write.mode("overwrite").text(out)
+    return enrich.enrichment_report(placed, fks, described)
 
 
 def build_gold_graphs(spark: SparkSession, entries_path: str, roots: list[str] | None, question_paths: list[str],
@@ -56,10 +71,15 @@ def build_gold_graphs(spark: SparkSession, entries_path: str, roots: list[str] |
 
 
 def read_enriched(spark: SparkSession, path: str) -> DataFrame:
-    """Enriched entries with `pos`. JSON lines have no order; there each database comes once."""
-    array = json_docs.read_entries(spark, path, cat.ENRICHED_SCHEMA)
-    lines = spark.read.schema(cat.ENRICHED_SCHEMA).json(path).withColumn("pos", F.lit(-1))
-    return array.unionByName(lines)
+    """Enriched entries with `pos`, from an array or from JSON lines, whichever the first character says. Lines go by file name and
+    their place in the file."""
+    place = lambda *parts: F.struct(*[p.alias(n) for p, n in zip(parts, ("file", "start", "line"))]).alias("pos")
+    text = spark.read.text(path).where(F.trim("value") != "").select(F.substring(F.ltrim("value"), 1, 1).alias("c")).first()
+    if text is not None and text["c"] in ("[", "\ufeff"):
+        entries = json_docs.read_entries(spark, path, cat.ENRICHED_SCHEMA)
+        return entries.withColumn("pos", place(F.lit(""), F.lit(0).cast("long"), F.col("pos").cast("long")))
+    lines = spark.read.schema(cat.ENRICHED_SCHEMA).json(path)
+    return lines.select("*", place(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
 
 
 def prepare_translation(spark: SparkSession, question_path: str, out: str, stem: str, parts: int = 4) -> DataFrame:

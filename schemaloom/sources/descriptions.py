@@ -44,15 +44,20 @@ def parse_files(texts: DataFrame) -> DataFrame:
     return texts.select("path", "text").mapInPandas(_parse, ROW_SCHEMA)
 
 
+def _file_system(spark: SparkSession, folder: str):
+    """The store that has the folder, and the folder's path in it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def read_description_files(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """All description rows below the roots, with `root_ord`, `folder` and `file` (name without extension)."""
-    parts = []
+    """All description rows below the roots, with `root_ord`, `folder` and `file` (name without extension). A root that is not there
+    has none."""
+    out = spark.createDataFrame([], f"{ROW_SCHEMA}, root_ord int")
     for i, root in enumerate(roots):
-        rows = parse_files(read_texts(spark, root, "*.csv"))
-        parts.append(rows.withColumn("root_ord", F.lit(i)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        fs, path = _file_system(spark, root)
+        if fs.exists(path):
+            out = out.unionByName(parse_files(read_texts(spark, root, "*.csv")).withColumn("root_ord", F.lit(i)))
     inside = r"([^/]+)/database_description/([^/]+)\.csv$"
     name = lambda g: F.url_decode(F.replace(F.regexp_extract("path", inside, g), F.lit("+"), F.lit("%2B")))
     return (out.filter(F.regexp_like("path", F.lit(inside)))
@@ -65,6 +70,19 @@ def bad_files(rows: DataFrame) -> DataFrame:
     return rows.filter("error is not null").select("root_ord", "folder", "file", "error")
 
 
+def list_folders(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """(root_ord, folder): the folders right below each root, from its listing; a root that is not there has none.
+
+    Names only, nothing is opened. A folder without description files is listed too, and so hides one under a later root.
+    """
+    found = []
+    for i, root in enumerate(roots):
+        fs, path = _file_system(spark, root)
+        if fs.exists(path):
+            found += [(i, s.getPath().getName()) for s in fs.listStatus(path) if s.isDirectory()]
+    return spark.createDataFrame(found, "root_ord int, folder string")
+
+
 def resolve_folders(dbs: DataFrame, folders: DataFrame) -> DataFrame:
     """(db_id, root_ord, folder): where each database lies.
 
@@ -85,8 +103,11 @@ def resolve_folders(dbs: DataFrame, folders: DataFrame) -> DataFrame:
             .filter("folder is not null"))
 
 
-def descriptions_by_db(dbs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Description rows under the `db_id` whose folder holds them, bad files passed over."""
+def descriptions_by_db(dbs: DataFrame, rows: DataFrame, folders: DataFrame | None = None) -> DataFrame:
+    """Description rows under the `db_id` whose folder holds them, bad files passed over.
+
+    folders: all folders below the roots (`list_folders`); None for those that have rows.
+    """
     good = rows.filter("error is null").drop("error")
-    homes = resolve_folders(dbs, rows.select("root_ord", "folder").distinct())
+    homes = resolve_folders(dbs, rows.select("root_ord", "folder").distinct() if folders is None else folders)
     return good.join(homes, ["root_ord", "folder"]).drop("root_ord", "folder")

@@ -1,6 +1,7 @@
 """Registered queries against their SQL at the smallest scale; `checks.compare` runs them at any scale."""
 
 import os
+import re
 
 import pytest
 from checks.compare import difference, duck
@@ -8,11 +9,6 @@ from checks.compare import difference, duck
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-# The graph queries share their parts with these and with test_graph; they are left to `checks.compare`.
-HEAVY = {"table_columns", "column_descriptions", "fk_descriptions", "enrichment_report", "enrichment_report_by_db",
-         "nested_entries", "resolve_tables", "gold_nodes", "gold_edges", "gold_context", "gold_records", "view_nodes",
-         "view_links", "item_lines"}
-
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not there")
 
 
@@ -25,9 +21,11 @@ def test_every_query_has_its_sql():
     assert set(E._own_queries()) == set(E._own_sql())
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) & set(E.oracle_sql()) - HEAVY))
+@pytest.mark.parametrize("name", sorted(set(E.queries()) & set(E.oracle_sql())))
 def test_same_rows(spark, con, name):
     got = E.queries()[name](spark, SF)
     assert difference(got.toArrow(), con.sql(E.oracle_sql()[name]).to_arrow_table()) is None
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("CartesianProduct", "BroadcastNestedLoopJoin Inner", "BatchEvalPython"))
+    # no window over all rows: that is one task
+    assert not re.search(r"Window \[[^\]]*\](, \[[^\]]*\])?$", plan, re.M) and "windowspecdefinition(0" not in plan

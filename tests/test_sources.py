@@ -2,7 +2,9 @@ import json
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
+from schemaloom.operators import catalog
 from schemaloom.plans import flows
 from schemaloom.sources import descriptions, encodings, json_docs, sinks
 
@@ -110,3 +112,34 @@ def test_one_bad_item_or_key_takes_nothing_else_with_it(spark, tmp_path):
         json_docs.read_array(spark, str(tmp_path / "cut.json"), "q string", strict=True).collect()
     (tmp_path / "e.json").write_text('[{"db_id": "d", "foreign_keys": [[1, 2], ["x", 3], [[1, 2], 3], 7, [4, 5]]}]')
     assert json_docs.read_entries(spark, str(tmp_path / "e.json")).first()["foreign_keys"] == [[1, 2], [None, 3], [None, 3], None, [4, 5]]
+
+
+def test_entries_are_written_back_by_their_place(spark, tmp_path):
+    """Repeated entries each with their own columns, entries without an id as they were, the order of the file."""
+    entry = lambda db, *cols, **more: {"db_id": db, "table_names_original": ["t"], "column_names_original": [[-1, "*"], *([0, c] for c in cols)], "foreign_keys": [], **more}
+    nameless = {"table_names_original": ["x"], "z": [1, {"y": None}]}
+    items = [entry("d", "a"), nameless, entry("d", "a", "b", extra=1), {"db_id": ""}, entry("e", "a"), {"db_id": None, "q": "ü"}, {"db_id": "bare"}]
+    (tmp_path / "s.json").write_text(json.dumps(items))
+    d = tmp_path / "dbs" / "d" / "database_description"
+    d.mkdir(parents=True)
+    (d / "t.csv").write_text("original_column_name,column_description\na,first\nb,second\n")
+    report = flows.enrich_schemas(spark, str(tmp_path / "s.json"), [str(tmp_path / "dbs")], str(tmp_path / "out"))
+    out = [json.loads(line) for f in sorted((tmp_path / "out").glob("part-*")) for line in f.read_text().splitlines()]
+    texts = [["", "first"], None, ["", "first", "second"], None, ["", ""], None, []]
+    assert out == [item if t is None else {"column_descriptions": t, "foreign_key_descriptions": [], **item} for item, t in zip(items, texts)]
+    assert rows(report) == [(4, 0, 1, 0)]
+    last = catalog.latest_entries(catalog.named_entries(flows.read_enriched(spark, str(tmp_path / "out"))), "pos")
+    assert rows(last.select("db_id", F.array_join("column_descriptions", ","))) == [("bare", ""), ("d", ",first,second"), ("e", ",")]
+
+
+def test_an_empty_folder_hides_a_later_root(spark, tmp_path):
+    for root, db in (("one", "Shop-1"), ("two", "shop1"), ("two", "other")):
+        (tmp_path / root / db / "database_description").mkdir(parents=True)
+    for db in ("shop1", "other"):
+        (tmp_path / "two" / db / "database_description" / "t.csv").write_text("original_column_name,column_description\na,text\n")
+    (tmp_path / "one" / "file").write_text("no folder")
+    roots = [str(tmp_path / r) for r in ("one", "two", "three")]
+    assert rows(descriptions.list_folders(spark, roots)) == [(0, "Shop-1"), (1, "other"), (1, "shop1")]
+    dbs = spark.createDataFrame([("shop1",), ("other",)], "db_id string")
+    assert rows(flows.description_rows(spark, dbs, roots), "db_id", "column_description") == [("other", "text")]
+    assert rows(descriptions.descriptions_by_db(dbs, descriptions.read_description_files(spark, roots[1:2])), "db_id") == [("other",), ("shop1",)]
