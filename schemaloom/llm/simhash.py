@@ -2,17 +2,21 @@
 
 The 64 bits are cut into groups of correlated bits. If thresholds of the groups add up to d - groups + 1, two
 fingerprints at distance d or less agree within its threshold in at least one group (threshold -1: the group is not
-asked). Each distinct fingerprint gets its own thresholds from a dynamic program over the candidates they would bring,
-estimated from a fixed-size histogram of all values of each group. It then asks the index for the values it allows,
-and candidates are verified on all bits.
-
-Fingerprints in regions so dense that any thresholds bring too many candidates are joined among each other exactly by
-their one-bit variants: two fingerprints at distance 2 or less share a variant, and no more than 65 share one.
+asked). Each distinct fingerprint gets its own thresholds from a dynamic program over the probes and candidates they would
+bring, estimated from a histogram of all values of each group. It then asks the index for the values it allows, and
+candidates are verified on all bits. How many groups there are follows the number of fingerprints: wider groups have more
+values to ask for and fewer fingerprints to each.
+
+What remains are fingerprints in real clusters, where any thresholds bring too many candidates. They are joined among each
+other exactly by their one-bit variants: two fingerprints at distance 2 or less share a variant, and no more than 65 share
+one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +26,11 @@ from pyspark.sql import functions as F
 
 from schemaloom.llm.components import components
 from schemaloom.llm.shared import lookup, staged
+from schemaloom.shipping import ship
 
 SHINGLE, DISTANCE, BITS = 3, 2, 64
-#: Groups of bits; cells of a group's histogram; candidates a fingerprint may expect before it counts as dense.
-GROUPS, CELLS, DENSE = 3, 1 << 16, 256
+#: Most cells of a group's histogram; probes and candidates a fingerprint may expect before it counts as dense.
+CELLS, DENSE = 1 << 20, 256
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -45,6 +50,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash, fp (the fingerprint as a signed long) per row of `docs`."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,41 +109,91 @@ def values(fp: np.ndarray, bits: list[int]) -> np.ndarray:
     return out
 
 
-def cell(value: np.ndarray, cells: int = CELLS) -> np.ndarray:
-    return ((value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % cells
+def even_cost(total: int, groups: int, distance: int) -> float:
+    """Probes and candidates of one fingerprint among `total` evenly spread ones, thresholds being as equal as they can."""
+    size = BITS / groups
+    steps = [(distance + 1) // groups + (g < (distance + 1) % groups) for g in range(groups)]  # above -1
+    return sum(sum(comb(int(size), e) for e in range(s)) * (1 + total / 2 ** size) for s in steps)
+
+
+def group_count(total: int, distance: int = DISTANCE) -> int:
+    """The number of groups that is cheapest for `total` fingerprints."""
+    return min(range(1, distance + 2), key=lambda g: even_cost(total, g, distance))
+
+
+def cell_count(total: int, most: int = CELLS) -> int:
+    """Cells of a group's histogram: two for each fingerprint, as a power of two."""
+    return min(most, max(1 << 12, 1 << (2 * total).bit_length()))
+
+
+def cell(value: np.ndarray, bits: int, cells: int) -> np.ndarray:
+    """The cell of a value of `bits` bits: its own if there are enough, else by a hash that mixes all bits."""
+    if 1 << bits <= cells:
+        return value.astype(np.int64)
+    x = value.astype(np.uint64)
+    for by in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(by)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(64 - (cells.bit_length() - 1))).astype(np.int64)
 
 
-def histogram(distinct: DataFrame, groups: list[list[int]], cells: int = CELLS) -> np.ndarray:
-    """Fingerprints per cell of each group's hashed values: len(groups) x cells numbers, however many fingerprints."""
+@dataclass
+class Histogram:
+    """Fingerprints per cell of each group's values: len(groups) x cells numbers, however many fingerprints."""
+    groups: list[list[int]]
+    counts: np.ndarray
+    total: int
+
+    def expected(self, g: int, value: np.ndarray) -> np.ndarray:
+        """Fingerprints with that value in group `g`. Where values share cells, a cell counts by what it holds beyond chance."""
+        bits, cells = len(self.groups[g]), self.counts.shape[1]
+        held = self.counts[g][cell(value, bits, cells)].astype(float)
+        if 1 << bits <= cells:
+            return held
+        chance = self.total / cells
+        return self.total / 2.0 ** bits + np.maximum(0.0, held - chance - 3 * np.sqrt(chance))
+
+
+def histogram(distinct: DataFrame, groups: list[list[int]], total: int) -> Histogram:
+    cells = cell_count(total)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = b.column(0).to_numpy()
-            at, n = np.unique(np.concatenate([cell(values(fp, g), cells) + i * cells for i, g in enumerate(groups)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n.astype(np.int64))], ["cell", "n"])
+            at, n = np.unique(np.concatenate([cell(values(fp, g), len(g), cells) + i * cells for i, g in enumerate(groups)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n.astype(np.int64))], ["cell", "n"])
 
-    sums = distinct.select("fp").mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(len(groups) * cells, np.int64)
+    sums = distinct.select("fp").mapInArrow(counted, "cell int, n long").groupBy("cell").agg(F.sum("n").cast("int").alias("n")).toArrow()
+    out = np.zeros(len(groups) * cells, np.int32)
     out[sums.column("cell").to_numpy()] = sums.column("n").to_numpy()
-    return out.reshape(len(groups), cells)
+    return Histogram(groups, out.reshape(len(groups), cells), total)
 
 
-def expected(fp: np.ndarray, groups: list[list[int]], cells: np.ndarray, distance: int) -> np.ndarray:
-    """Expected candidates and probes [fingerprint, group, threshold + 1] for thresholds -1 to `distance`.
+def costs(fp: np.ndarray, h: Histogram, distance: int, above: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Least cost and thresholds per fingerprint (see `allocate`), probes and candidates being what costs.
 
-    Thresholds 0 and 1 add up the cells of all values asked for, which never is less than the true number. Higher ones
-    ask for hundreds of values each, more than the dense way costs, and count as infinitely dear.
+    Thresholds of 2 ask for hundreds of values each; they are priced only for fingerprints whose cost without them exceeds
+    both that number and `above`.
     """
-    out = np.zeros((len(fp), len(groups), distance + 2))
-    for g, bits in enumerate(groups):
+    out = np.zeros((len(fp), len(h.groups), distance + 2))
+    dear = np.inf
+    for g, bits in enumerate(h.groups):
         v = values(fp, bits)
-        at = cells[g][cell(v, cells.shape[1])].astype(float)
+        at = h.expected(g, v)
         out[:, g, 1] = at + 1
-        for e in range(1, distance + 1):
-            for b in range(len(bits) if e == 1 else 0):
-                at = at + cells[g][cell(v ^ np.uint64(1 << b), cells.shape[1])]
-            out[:, g, e + 1] = at + 1 + len(bits) if e == 1 else np.inf
-    return out
+        if distance >= 1:
+            out[:, g, 2] = at + 1 + len(bits) + sum(h.expected(g, v ^ np.uint64(1 << b)) for b in range(len(bits)))
+        if distance >= 2:
+            out[:, g, 3] = np.inf
+            dear = min(dear, 1 + len(bits) + comb(len(bits), 2))
+    best, thresholds = allocate(out, distance)
+    again = np.flatnonzero(best > max(dear, above))
+    if len(again):
+        for g, bits in enumerate(h.groups):
+            v = values(fp[again], bits)
+            pairs = (h.expected(g, v ^ np.uint64(1 << b | 1 << c)) for b in range(len(bits)) for c in range(b))
+            out[again, g, 3] = out[again, g, 2] + comb(len(bits), 2) + sum(pairs)
+        best[again], thresholds[again] = allocate(out[again], distance)
+    return best, thresholds
 
 
 def allocate(cost: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,27 +218,27 @@ def allocate(cost: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return best[:, goal], out
 
 
-def _asked(distinct: DataFrame, groups: list[list[int]], cells: np.ndarray, distance: int, dense: int) -> DataFrame:
-    """Rows (kind, part, value, fp): kind 0 the index, 1 a value asked for, 2 a one-bit variant of a dense fingerprint."""
-    shared = distinct.sparkSession.sparkContext.broadcast((groups, cells))  # len(groups) x CELLS numbers
+def _asked(distinct: DataFrame, h: Histogram, distance: int, dense: int) -> DataFrame:
+    """Rows (kind, part, value, fp), written: kind 0 the index, 1 a value asked for, 2 a one-bit variant of a dense fingerprint."""
+    shared = distinct.sparkSession.sparkContext.broadcast(h)  # len(groups) x CELLS numbers at most
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, cells = shared.value
+        h = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 fp = whole.column(0).slice(at, 2048).to_numpy()
-                cost, thresholds = allocate(expected(fp, groups, cells, distance), distance)
+                cost, thresholds = costs(fp, h, distance, dense)
                 hot = cost > dense
                 out = []
-                for g, bits in enumerate(groups):
+                for g, bits in enumerate(h.groups):
                     v = values(fp, bits)
-                    # no fingerprint asks for a value whose cell alone is above the limit
-                    held = cells[g][cell(v, cells.shape[1])] <= dense
+                    # no fingerprint asks for a value that alone is expected above the limit
+                    held = h.expected(g, v) <= dense
                     out.append((0, g, v[held], fp[held]))
-                    ask = ~hot & (thresholds[:, g] >= 0)
-                    out.append((1, g, v[ask], fp[ask]))
-                    near = ~hot & (thresholds[:, g] >= 1)
-                    out += [(1, g, v[near] ^ np.uint64(1 << b), fp[near]) for b in range(len(bits))]
+                    for e in range(distance + 1):
+                        ask = ~hot & (thresholds[:, g] >= e)
+                        if ask.any():
+                            out += [(1, g, v[ask] ^ np.uint64(m), fp[ask]) for m in _masks(len(bits), e)]
                 f = fp[hot]
                 out += [(2, -1, f.view(np.uint64), f), *((2, -1, f.view(np.uint64) ^ np.uint64(1 << b), f) for b in range(BITS))]
                 yield pa.RecordBatch.from_arrays(
@@ -190,20 +246,28 @@ def _asked(distinct: DataFrame, groups: list[list[int]], cells: np.ndarray, dist
                     + [pa.array(np.concatenate([x[2] for x in out]).view(np.int64)), pa.array(np.concatenate([x[3] for x in out]))],
                     ["kind", "part", "value", "fp"])
 
-    return distinct.select("fp").mapInArrow(probes, "kind int, part int, value long, fp long")
+    out = staged(distinct.select("fp").mapInArrow(probes, "kind int, part int, value long, fp long"), "kind")
+    shared.destroy()
+    return out
+
+
+def _masks(bits: int, flips: int) -> list[int]:
+    """Numbers with `flips` (0 to 2) of `bits` bits set."""
+    one = [1 << b for b in range(bits)]
+    return [0] if flips == 0 else one if flips == 1 else [x | y for i, x in enumerate(one) for y in one[:i]]
 
 
-def near_pairs(distinct: DataFrame, distance: int = DISTANCE, groups: int = GROUPS, dense: int = DENSE) -> DataFrame:
+def near_pairs(distinct: DataFrame, distance: int = DISTANCE, groups: int | None = None, dense: int = DENSE) -> DataFrame:
     """Links (a < b) that join all of `distinct`'s fingerprints at most `distance` <= 2 bits apart.
 
     Every pair with a fingerprint that is not dense is there. Dense ones are linked to the least that shares a variant with
-    them, which leaves out pairs that are linked through it, and no others.
+    them, which leaves out pairs that are linked through it, and no others. groups: None for what suits their number.
     """
     if distance != 2:
         raise ValueError("the variants of dense fingerprints are made for a distance of 2")
     total = distinct.count()
-    parts = group_bits(together(distinct), total, groups)
-    asked = staged(_asked(distinct, parts, histogram(distinct, parts), distance, dense), "kind")
+    parts = group_bits(together(distinct), total, groups or group_count(total, distance))
+    asked = _asked(distinct, histogram(distinct, parts, total), distance, dense)
     index = asked.where("kind = 0").select("part", "value", F.col("fp").alias("a"))
     probes = asked.where("kind = 1").select("part", "value", F.col("fp").alias("b"))
     sparse = (probes.join(index, ["part", "value"]).where("a <> b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)

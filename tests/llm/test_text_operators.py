@@ -165,8 +165,8 @@ def test_simhash_documents(spark):
     assert got == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("dense", [0, 3, 256])
-def test_links_of_close_fingerprints(spark, dense):
+@pytest.mark.parametrize("dense, groups", [(0, None), (3, None), (256, None), (256, 1), (256, 2), (40, 2), (3, 2), (10_000, 1)])
+def test_links_of_close_fingerprints(spark, dense, groups):
     """Whatever counts as dense, no link is lost: random fingerprints, chains of small steps and a crowded region."""
     rnd = random.Random(5)
     prints = {rnd.getrandbits(64) for _ in range(150)}
@@ -179,13 +179,57 @@ def test_links_of_close_fingerprints(spark, dense):
     prints |= {centre ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) for _ in range(200)} | {0, 1, 2**64 - 1}
     prints = sorted(prints)
     signed = [p - 2**64 if p >= 2**63 else p for p in prints]
-    got = simhash.near_pairs(spark.createDataFrame([(s,) for s in signed], "fp long"), dense=dense).collect()
+    got = simhash.near_pairs(spark.createDataFrame([(s,) for s in signed], "fp long"), groups=groups, dense=dense).collect()
     close = {(a, b) for i, a in enumerate(signed) for j, b in enumerate(signed) if a < b and (prints[i] ^ prints[j]).bit_count() <= 2}
     links = {(r["a"], r["b"]) for r in got}
     assert links <= close
     assert components_by_hand(links, signed) == components_by_hand(close, signed)
 
 
+def histogram_of(fp, groups):
+    cells = simhash.cell_count(len(fp))
+    counts = [np.bincount(simhash.cell(simhash.values(fp, g), len(g), cells), minlength=cells) for g in groups]
+    return simhash.Histogram(groups, np.array(counts, np.int32), len(fp))
+
+
+@pytest.mark.parametrize("total", [1_000_000, 10_000_000])
+def test_the_method_holds_at_any_number_of_fingerprints(total):
+    """Even fingerprints are not dense, clusters are; expected candidates are what the index would bring."""
+    rnd = np.random.default_rng(21)
+    fp = rnd.integers(-2**63, 2**63, total)
+    fp[:5000] = fp[0] ^ (1 << rnd.integers(0, 8, 5000)) ^ (1 << rnd.integers(0, 8, 5000)) ^ rnd.integers(0, 1 << 12, 5000)
+    bits = np.array_split(np.arange(64), simhash.group_count(total))
+    h = histogram_of(fp, [b.tolist() for b in bits])
+    sample = fp[np.concatenate([np.arange(500), np.arange(6000, 26_000)])]
+    cost, thresholds = simhash.costs(sample, h, 2)
+    assert (thresholds.sum(axis=1) == 2 - len(bits) + 1).all()
+    assert (cost[500:] > simhash.DENSE).mean() < 0.05 and (cost[:500] > simhash.DENSE).all()
+    v = simhash.values(fp, h.groups[0])
+    others = np.bincount(v.astype(np.int64), minlength=1 << len(h.groups[0]))[simhash.values(sample[500:], h.groups[0]).astype(np.int64)] - 1
+    assert 0.5 * others.mean() <= h.expected(0, simhash.values(sample[500:], h.groups[0])).mean() <= 2 * others.mean()
+
+
+def test_groups_follow_the_number_of_fingerprints():
+    counts = [simhash.group_count(n) for n in (10, 10**6, 10**7, 10**8, 10**9, 10**10)]
+    assert counts == sorted(counts, reverse=True) and counts[0] == 3 and counts[-1] == 2
+    assert all(simhash.even_cost(n, simhash.group_count(n), 2) <= simhash.DENSE for n in (10**6, 10**7, 10**8, 10**9, 10**10))
+    assert simhash.cell_count(10**12) == simhash.CELLS
+    x = simhash.cell(np.arange(1 << 21, dtype=np.uint64), 21, 1 << 16)
+    assert np.bincount(x, minlength=1 << 16).min() > 0
+
+
+def test_links_among_many_fingerprints(spark):
+    """Every planted neighbour is found among 60,000 even fingerprints, in both widths of groups."""
+    rnd = np.random.default_rng(23)
+    fp = np.unique(rnd.integers(-2**63, 2**63, 60_000))
+    near = fp[:300] ^ (1 << rnd.integers(0, 64, 300)) ^ (1 << rnd.integers(0, 64, 300))
+    want = {(min(a, b), max(a, b)) for a, b in zip(fp[:300].tolist(), near.tolist()) if a != b}
+    df = spark.createDataFrame([(x,) for x in set(fp.tolist()) | set(near.tolist())], "fp long")
+    for groups in (3, 2):
+        got = {(r["a"], r["b"]) for r in simhash.near_pairs(df, groups=groups).collect()}
+        assert want <= got and all(((a ^ b) & (2**64 - 1)).bit_count() <= 2 for a, b in got)
+
+
 def test_allocation_is_the_cheapest_that_is_complete():
     rnd = np.random.default_rng(6)
     cost = rnd.integers(1, 100, (50, 3, 4)).astype(float)
