@@ -40,9 +40,12 @@ def _url() -> str:
     rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in rules)
     kind = " ".join(f"WHEN {fits(h, p)} THEN '{k}'" for k, h, p in rules)
 
+    listed = "two IN (" + ", ".join(f"'{x}'" for x in U.SUFFIXES) + ")"
+    address = r"regexp_matches(site, '^(\[.*\]|\d{1,3}(\.\d{1,3}){3})$')"
+
     def level(name: str, table: str, above: str, key: str) -> str:
         return f"""
-{name}_m AS (SELECT n.*, a.alpha / (a.alpha + a.beta) AS mean FROM {table} n JOIN {above} a USING ({key})),
+{name}_m AS (SELECT n.*, a.alpha / (a.alpha + a.beta) AS mean, a.trials AS above FROM {table} n JOIN {above} a USING ({key})),
 {name}_s AS ({moments(f'{name}_m')}),
 {name}_p AS (SELECT m.*, w * mean + bad AS alpha, w * (1 - mean) + trials - bad AS beta FROM {name}_m m, {name}_s)"""
 
@@ -53,22 +56,25 @@ def _url() -> str:
             sum(trials * mean * (1 - mean)) AS total FROM {t} WHERE trials > 0)"""
 
     return rf"""
-WITH seen AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), {_AZ}) AS host,
+WITH urls AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), {_AZ}) AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+seen AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '\.$', '') AS site FROM urls),
 outcome AS (SELECT doc_id, max(CAST(quality = 0 OR toxic = 1 AS INT)) AS bad FROM labels GROUP BY doc_id),
-hosts AS (SELECT host, count(bad) AS trials, coalesce(sum(bad), 0)::DOUBLE AS bad, split_part(host, '.', -1) AS suffix,
-    CASE WHEN contains(host, '.') THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) ELSE host END AS domain
-    FROM seen LEFT JOIN outcome ON page_id = doc_id GROUP BY host),
+tried AS (SELECT site, count(bad) AS trials, coalesce(sum(bad), 0)::DOUBLE AS bad, CASE WHEN contains(site, '.') THEN
+    split_part(site, '.', -2) || '.' || split_part(site, '.', -1) ELSE site END AS two
+    FROM seen LEFT JOIN outcome ON page_id = doc_id GROUP BY site),
+hosts AS (SELECT site, trials, bad, CASE WHEN {address} THEN site WHEN {listed} THEN two ELSE split_part(site, '.', -1) END AS suffix,
+    CASE WHEN {address} THEN site WHEN {listed} AND site <> two THEN split_part(site, '.', -3) || '.' || two ELSE two END AS domain FROM tried),
 domains AS (SELECT domain, suffix, sum(trials)::DOUBLE AS trials, sum(bad) AS bad FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(trials) AS trials, sum(bad) AS bad FROM domains GROUP BY ALL),
 suf_m AS (SELECT s.*, (SELECT CASE WHEN sum(trials) > 0 THEN sum(bad) / sum(trials) ELSE 0 END FROM suffixes) AS mean FROM suffixes s),
 suf_s AS ({moments('suf_m')}),
 suf_p AS (SELECT m.*, w * mean + bad AS alpha, w * (1 - mean) + trials - bad AS beta FROM suf_m m, suf_s),
 {level('dom', 'domains', 'suf_p', 'suffix')}, {level('hst', 'hosts', 'dom_p', 'domain')},
-judged AS (SELECT host, alpha / (alpha + beta) - {U.BOUND} * sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1)))
+judged AS (SELECT site, above > 0 AND alpha / (alpha + beta) - {U.BOUND} * sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1)))
     > {U.TOLERATED} AS bad_host FROM hst_p)
 SELECT page_id, host, path, CASE {rule} END AS rule, CASE {kind} WHEN bad_host THEN 'block' ELSE 'allow' END AS verdict
-FROM seen JOIN judged USING (host)"""
+FROM seen JOIN judged USING (site)"""
 
 
 SUBSTRING = rf"""
