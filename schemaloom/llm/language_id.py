@@ -3,7 +3,8 @@
 Models are over words: runs of letters, lower-cased, with boundary marks. All models share one sorted array of n-gram
 hashes per order, with a row of log probabilities (of interpolation weights, for contexts) that has a column per
 language. The language with the lowest cross-entropy per character wins. Rejection and score are calibrated on labelled
-rows kept out of the counts.
+rows kept out of the counts: how far a text's cross-entropy may lie above its language's mean is measured on pieces of those
+texts, from a few words to whole texts, and set so that a stated share of them is rejected.
 """
 
 from __future__ import annotations
@@ -17,16 +18,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from schemaloom.llm.shared import kept as kept_in_worker
 from schemaloom.llm.shared import staged
+from schemaloom.shipping import ship
 
 ORDER = 4
 #: Labelled rows that the models are fitted on, per language and on average; they are chosen by a hash of the id.
 SAMPLE = 400
-#: Deviations from a language's mean cross-entropy beyond which a text is rejected.
-REJECT = 10.0
-#: Least standard deviation between texts (names, numbers and foreign words move it by that), and that of a character's
-#: log probability, both in nats.
-USUAL, CHARACTER = 0.1, 2.8
+#: Share of the calibration pieces of a language that its limit rejects, and their sizes in letters besides whole texts.
+FALSE_REJECT, PIECES = 0.001, (20, 40, 80, 160, 400)
+#: Deviations that no limit goes below: a sample of pieces says little about its own tail.
+LEAST_LIMIT = 4.0
+#: Share of a text that may be in another language, such as quotations, names or code, before it counts against the text.
+FOREIGN = 0.3
 #: Words that a task remembers the scores of.
 REMEMBERED = 200_000
 EDGE = "\x02"
@@ -43,12 +47,16 @@ class Model:
     unseen: np.ndarray  # log probability of a character that no model knows
     mean: np.ndarray
     between: np.ndarray  # variance of texts' means beyond what their length explains
-    within: np.ndarray  # variance of a character's log probability
+    within: np.ndarray  # variance that a character adds to the sum of a text's log probabilities
+    slack: np.ndarray  # what a text's mean rises by if `FOREIGN` of it is in another language
+    limit: np.ndarray  # deviations beyond which a text is rejected
     sharpness: float
 
 
-def letters(run: str) -> str:
-    return "".join(c for c in run.lower() if c.isalpha())
+def words_of(run: str) -> list[str]:
+    """Runs of letters in a lower-cased run, as the counts have them: marks and numerals part words."""
+    low = run.lower()
+    return [low] if low.isalpha() else "".join(c if c.isalpha() else " " for c in low).split()
 
 
 def gram_hash(codes: np.ndarray) -> np.ndarray:
@@ -112,7 +120,7 @@ def fit(counts: list[tuple[int, str, str, int]], langs: list[str], order: int =
             by = np.argsort(h)
             to.append((h[by], np.log(what[by])))
     size = len(langs)
-    return Model(langs, grams, contexts, np.log(unseen), np.zeros(size), np.ones(size), np.ones(size), 1.0)
+    return Model(langs, grams, contexts, np.log(unseen), np.zeros(size), np.ones(size), np.ones(size), np.zeros(size), np.full(size, LEAST_LIMIT), 1.0)
 
 
 def _find(table: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,8 +164,8 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.ids, self.rows = model, {}, np.zeros((1024, 1 + len(model.langs)))
 
-    def texts(self, texts: list[str | None]) -> np.ndarray:
-        """Per text: number of characters scored, log probability per language."""
+    def _learn(self, texts: list[str | None]) -> list[list[str]]:
+        """The texts' runs, all of which are known afterwards."""
         if len(self.ids) > REMEMBERED:
             self.ids, self.rows = {}, self.rows[:1024]
         runs = [_RUNS.findall(t) if t else [] for t in texts]
@@ -167,11 +175,27 @@ class Scorer:
             while base + len(new) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             self.ids.update(zip(new, range(base, base + len(new))))
+            self.rows[base:base + len(new)] = 0
             for at in range(0, len(new), 4096):
-                part = [letters(w) for w in new[at:at + 4096]]
-                self.rows[base + at:base + at + len(part)] = word_scores(self.model, part)
+                words = [(base + k, w) for k, run in enumerate(new[at:at + 4096], at) for w in words_of(run)]
+                np.add.at(self.rows, [k for k, _ in words], word_scores(self.model, [w for _, w in words]))
+        return runs
+
+    def texts(self, texts: list[str | None]) -> np.ndarray:
+        """Per text: number of characters scored, log probability per language."""
+        runs = self._learn(texts)
         return np.array([self.rows[[self.ids[w] for w in r]].sum(axis=0) if r else np.zeros(self.rows.shape[1]) for r in runs])
 
+    def runs(self, text: str) -> np.ndarray:
+        """The same per run of the text."""
+        found = self._learn([text])[0]  # may replace the rows
+        return self.rows[[self.ids[w] for w in found]].reshape(-1, self.rows.shape[1])
+
+
+def deviations(model: Model, lang: np.ndarray, entropy: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How far texts of `n` characters lie above their languages' means, in what is usual for that length."""
+    return (entropy - model.mean[lang] - model.slack[lang]) / np.sqrt(model.between[lang] + model.within[lang] / np.maximum(n, 1))
+
 
 def judge(model: Model, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(best language's number or -1, score, deviations from the language's mean) per row of `Scorer.texts`."""
@@ -182,28 +206,48 @@ def judge(model: Model, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     best = entropy.argmin(axis=1)
     rows = np.arange(len(sums))
     odds = np.exp(-model.sharpness * (entropy - entropy[rows, best][:, None]))
-    z = (entropy[rows, best] - model.mean[best]) / np.sqrt(model.between[best] + model.within[best] / np.maximum(n[:, 0], 1))
+    z = deviations(model, best, entropy[rows, best], n[:, 0])
     there = n[:, 0] > 0
     return np.where(there, best, -1), np.where(there, 1 / odds.sum(axis=1), 0.0), np.where(there, z, 0.0)
 
 
+def pieces(runs: np.ndarray, sizes: tuple[int, ...] = PIECES) -> np.ndarray:
+    """Sums of consecutive rows of `Scorer.runs`: for each size pieces of at least so many characters, and all rows together."""
+    upto = np.concatenate([np.zeros((1, runs.shape[1])), np.cumsum(runs, axis=0)])
+    out = [upto[-1:]]
+    for size in sizes:
+        cuts = np.unique(np.searchsorted(upto[:, 0], np.arange(0, upto[-1, 0] + 1, size)))
+        out.append(np.diff(upto[cuts], axis=0))
+    out = np.concatenate(out)
+    return out[out[:, 0] > 0]
+
+
 def calibrate(model: Model, held: list[tuple[str, str]]) -> None:
-    """Mean and spread of cross-entropy per language, and the sharpness under which scores fit held-out languages best."""
-    sums = Scorer(model).texts([t for _, t in held]) if held else np.zeros((0, 1 + len(model.langs)))
-    lang = np.array([model.langs.index(x) for x, _ in held], int)
-    ok = sums[:, 0] > 0 if len(sums) else np.zeros(0, bool)
-    sums, lang = sums[ok], lang[ok]
-    if not len(sums):
+    """Means, variances and limits per language, and the sharpness under which scores fit held-out languages best.
+
+    A language without texts to calibrate on takes what all together give.
+    """
+    scorer = Scorer(model)
+    runs = [(model.langs.index(x), r) for x, t in held if (r := scorer.runs(t))[:, 0].sum() > 0]
+    if not runs:
         model.mean[:], model.between[:] = 0, 1e6  # nothing to calibrate on: nothing is rejected
         return
+    lang, sums = np.array([l for l, _ in runs]), np.array([r.sum(axis=0) for _, r in runs])
     entropy = -sums[:, 1:] / sums[:, :1]
-    own = entropy[np.arange(len(sums)), lang]
     for l in range(len(model.langs)):
-        mine, n = own[lang == l] if (lang == l).any() else own, sums[lang == l, 0] if (lang == l).any() else sums[:, 0]
-        model.mean[l] = np.median(mine)
-        off = np.abs(mine - model.mean[l])
-        model.within[l] = CHARACTER ** 2
-        model.between[l] = max(USUAL, 1.4826 * float(np.median(off))) ** 2
+        mine = [(r, k) for k, r in runs if k == l] or [(r, k) for k, r in runs]
+        n = np.array([r[:, 0].sum() for r, _ in mine])
+        own = np.array([-r[:, 1 + k].sum() for r, k in mine]) / n
+        # what the words of a text add to the variance of its sum, a character
+        spread = [((r[:, 1 + k] + r[:, 0] * h) ** 2).sum() for (r, k), h in zip(mine, own)]
+        model.mean[l], model.within[l] = np.median(own), max(1e-3, sum(spread) / n.sum())
+        model.between[l] = max(1e-4, np.median(np.abs(own - model.mean[l])) ** 2 * 1.4826 ** 2 - model.within[l] / np.median(n))
+        others = entropy[lang != l, l]
+        strange = np.median(others) if len(others) else -model.unseen[l]  # a lone language is told from unknown characters
+        model.slack[l] = FOREIGN * max(0.0, strange - model.mean[l])
+        cut = [(pieces(r), k) for r, k in mine]
+        z = np.concatenate([deviations(model, np.full(len(p), l), -p[:, 1 + k] / p[:, 0], p[:, 0]) for p, k in cut])
+        model.limit[l] = max(LEAST_LIMIT, float(np.quantile(z, 1 - FALSE_REJECT, method="higher")))
     fits = []
     for sharp in (1.0, 2.0, 5.0, 10.0, 20.0, 50.0):
         logit = -sharp * entropy
@@ -219,7 +263,7 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
     langs = sorted(sizes)
     if not langs:
-        return Model([], [], [], np.empty(0), np.empty(0), np.empty(0), np.empty(0), 1.0)
+        return Model([], [], [], *[np.empty(0)] * 6, 1.0)
     share = F.lit(0)
     for l in langs:
         share = F.when(F.col("lang") == l, int(min(1.0, sample / sizes[l]) * 1_000_000)).otherwise(share)
@@ -231,45 +275,52 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     return model
 
 
-def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", reject: float = REJECT) -> DataFrame:
+def _rejected(model: Model, best: np.ndarray, z: np.ndarray) -> np.ndarray:
+    return (best < 0) | (z > np.append(model.limit, 0.0)[best])  # -1 takes the last
+
+
+def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_hash, lang_pred, score, deviation, rejected for every row of `docs`.
 
     lang_pred is "und" and the row rejected if the text is null or has no letter, or there is no model. A text is also
-    rejected if its cross-entropy lies more than `reject` deviations above what is usual for texts of its length.
+    rejected if its cross-entropy lies more deviations above what is usual for texts of its length than its language's limit.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        scorer = Scorer(model)
+        scorer = kept_in_worker(shared, Scorer)
+        model = scorer.model
         names = np.array([*model.langs, "und"], dtype=object)
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 b = whole.slice(at, 64)
                 best, score, z = judge(model, scorer.texts(b.column(2).to_pylist()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array(names[best], pa.string()), pa.array(score), pa.array(z), pa.array((best < 0) | (z > reject))],
+                    [b.column(0), b.column(1), pa.array(names[best], pa.string()), pa.array(score), pa.array(z), pa.array(_rejected(model, best, z))],
                     ["doc_id", "text_hash", "lang_pred", "score", "deviation", "rejected"])
 
     return rows.mapInArrow(scored, f"doc_id {kind}, text_hash long, lang_pred string, score double, deviation double, rejected boolean")
 
 
-def kept(docs: DataFrame, model: Model, text: str = "text", reject: float = REJECT) -> DataFrame:
+def kept(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of `docs` that are not rejected, as they are."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
     def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = kept_in_worker(shared, Scorer)
         for whole in batches:
             for start in range(0, whole.num_rows, 64):
                 b = whole.slice(start, 64)
-                best, _, z = judge(shared.value, scorer.texts(b.column(at).to_pylist()))
-                yield b.filter(pa.array((best >= 0) & (z <= reject)))
+                best, _, z = judge(scorer.model, scorer.texts(b.column(at).to_pylist()))
+                yield b.filter(pa.array(~_rejected(scorer.model, best, z)))
 
-    return docs.mapInArrow(accepted, docs.schema)
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # whatever characters the names have
+    return plain.mapInArrow(accepted, plain.schema).toDF(*docs.columns)
 
 
 def in_fold(doc_id: Column, folds: int = 5) -> Column:
