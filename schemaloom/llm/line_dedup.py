@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from schemaloom.llm.shared import HEAVY, lookup, row_key, staged
+from schemaloom.llm.shared import HEAVY, lookup, row_key, staged, quoted
 
 #: Sites from which on a line is boilerplate.
 MIN_SITES = 10
@@ -55,7 +55,7 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site
     """`docs` with boilerplate lines taken out of `text`, and the columns __n_lines and __n_removed.
 
     Lines are compared without blanks, tabs and carriage returns at their ends; blank lines are never removed. The first
-    occurrence (least id, then place in the text) stays. A null text has no lines and stays null; a text that loses all
+    occurrence (least id, a null id before all others, then place in the text) stays. A null text has no lines and stays null; a text that loses all
     its lines becomes empty and its row stays. A null site counts for no site. Repeated rows are treated alike.
     """
     lines = _lines(docs, doc_id, text, site)
@@ -72,4 +72,4 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site
             .withColumns({"__n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).cast("long"),
                           "__n_removed": F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop")).cast("long")})
             .withColumn(text, F.when(F.col("__drop").isNull(), F.col(text)).otherwise(left))
-            .select(*docs.columns, "__n_lines", "__n_removed"))
+            .select(*quoted(docs.columns), "__n_lines", "__n_removed"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from schemaloom.llm.shared import WORD, lookup, staged
+from schemaloom.llm.shared import WORD, lookup, staged, quoted
 
 LEVELS = ("domain", "lang", "source")
 SEED, EPOCHS = 42, 2
@@ -140,4 +140,4 @@ def mixed(docs: DataFrame, chosen: DataFrame, doc_id: str = "doc_id", text: str
     joined = mine.join(picked, F.col("__key0") == F.col("__key"))
     nth = F.row_number().over(Window.partitionBy("__key0").orderBy("__key0"))
     dealt = F.when(nth == 1, F.sequence(F.lit(1).cast("long"), "__copies"))
-    return joined.withColumn("__dealt", dealt).withColumn("__i", F.explode("__dealt")).select(*docs.columns)
+    return joined.withColumn("__dealt", dealt).withColumn("__i", F.explode("__dealt")).select(*quoted(docs.columns))

@@ -77,7 +77,7 @@ def op10_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     """History: the older half of the ids' range."""
     docs = table(spark, d, "documents")
     ids = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
-    history = F.col("doc_id") * 2 < F.lit((ids["a"] or 0) + (ids["b"] or 0))
+    history = F.col("doc_id") <= F.lit(((ids["a"] or 0) + (ids["b"] or 0) - 1) // 2)  # doc_id * 2 < a + b, for ids of any size
     return exact_dedup.exact_dedup(docs, history)
 
 

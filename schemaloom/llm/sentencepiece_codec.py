@@ -2,8 +2,12 @@
 
 The automaton reports, position by position, all pieces that end there (its output links are followed in C), and the pass
 relaxes the best segmentation that ends there. For unigram models the best is the highest sum of scores. For BPE models
-a segmentation counts only if each two neighbours are what merging their joined text gives; exactly one such
-segmentation exists per prefix, and it is the one that merging finds.
+scores are ranks of merges, not probabilities: a segmentation counts only if each two neighbours are what merging their
+joined text gives. Exactly one such segmentation exists per prefix, and it is the one that merging finds; so what the pass
+relaxes there is whether a prefix is reached at all, and scores decide inside the neighbours' merges.
+
+The space mark itself in a text is written as bytes, where the vocabulary has them, and so comes back as it was; the library
+would read it as a space. Ids of all other texts are the library's.
 """
 
 from __future__ import annotations
@@ -19,6 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from schemaloom.llm.shared import kept
+from schemaloom.shipping import ship
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Units (a word with the space before it) and neighbours that a task remembers, and the longest unit remembered.
@@ -34,13 +41,52 @@ class Vocabulary:
     dummy_prefix: bool
 
 
-def read_vocabulary(path: str = MODEL, bpe: bool = True, dummy_prefix: bool = True) -> Vocabulary:
-    """The pieces of a model file, read by the driver. The file must not rewrite text (identity normalisation)."""
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol-buffer message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            b = raw[at]
+            at += 1
+            value |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return value
+
+    while at < len(raw):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+            continue
+        size = varint() if key & 7 == 2 else 8 if key & 7 == 1 else 4
+        yield key >> 3, raw[at:at + size]
+        at += size
+
+
+#: Fixed values of the format: numbers of the fields and of the model types that are read here.
+TRAINER, NORMALIZER, MODEL_TYPE, CHARSMAP, DUMMY_PREFIX, REMOVE_SPACES = 2, 3, 3, 2, 3, 4
+UNIGRAM, BPE = 1, 2
+
+
+def read_vocabulary(path: str = MODEL) -> Vocabulary:
+    """The pieces of a model file, its type and whether texts get a space in front, read by the driver.
+
+    The model has to be a unigram or BPE model that does not rewrite text: identity normalisation, extra spaces kept.
+    """
     import sentencepiece
     m = sentencepiece.SentencePieceProcessor(model_file=path)
+    parts = dict(_fields(m.serialized_model_proto()))  # of repeated fields the last; these two are not
+    trainer, normalizer = dict(_fields(parts.get(TRAINER, b""))), dict(_fields(parts.get(NORMALIZER, b"")))
+    kind_of_model = trainer.get(MODEL_TYPE, UNIGRAM)
+    if kind_of_model not in (UNIGRAM, BPE) or normalizer.get(CHARSMAP) or normalizer.get(REMOVE_SPACES, 1):
+        raise ValueError(f"{path}: not a unigram or BPE model that leaves texts as they are")
     ids = range(m.get_piece_size())
     kind = lambda i: "byte" if m.is_byte(i) else "unknown" if m.is_unknown(i) else "control" if m.is_control(i) else "normal"
-    return Vocabulary([m.id_to_piece(i) for i in ids], [m.get_score(i) for i in ids], [kind(i) for i in ids], bpe, dummy_prefix)
+    return Vocabulary([m.id_to_piece(i) for i in ids], [m.get_score(i) for i in ids], [kind(i) for i in ids], kind_of_model == BPE,
+                      bool(normalizer.get(DUMMY_PREFIX, 1)))
 
 
 class Codec:
@@ -192,17 +238,6 @@ class Codec:
         return (raw[1:] if self.v.dummy_prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-#: The codec of a worker process, with what it remembers, and the broadcast it was made from.
-_MADE: list = []
-
-
-def _codec(shared) -> Codec:
-    vocabulary = shared.value  # one object per process and broadcast
-    if not _MADE or _MADE[0] is not vocabulary:
-        _MADE[:] = [vocabulary, Codec(vocabulary)]
-    return _MADE[1]
-
-
 def _encoded(codec: Codec, column: pa.Array) -> pa.Array:
     ids, ends, gone = array("i"), [0], []
     for t in column.to_pylist():
@@ -230,18 +265,20 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: s
 
 
 def _mapped(df: DataFrame, vocabulary: Vocabulary, source: str, target: str, kind: str, how) -> DataFrame:
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)  # the model's pieces
     at, names = df.columns.index(source), [*df.columns, target]
-    schema = df.withColumn(target, F.lit(None).cast(kind)).schema
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))  # whatever characters the names have
+    schema = plain.withColumn(f"c{len(df.columns)}", F.lit(None).cast(kind)).schema
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared)
+        codec = kept(shared, Codec)
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 b = whole.slice(start, 256)
-                yield pa.RecordBatch.from_arrays([*b.columns, how(codec, b.column(at))], names)
+                yield pa.RecordBatch.from_arrays([*b.columns, how(codec, b.column(at))], [f"c{k}" for k in range(b.num_columns + 1)])
 
-    return df.mapInArrow(mapped, schema)
+    return plain.mapInArrow(mapped, schema).toDF(*names)
 
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

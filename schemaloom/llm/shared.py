@@ -37,6 +37,11 @@ def row_key(doc_id: str, text: str) -> tuple[Column, Column]:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)), F.xxhash64(F.col(text))
 
 
+def quoted(names: list[str]) -> list[str]:
+    """Column names for `select`, whatever characters are in them."""
+    return [f"`{n.replace('`', '``')}`" for n in names]
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom.llm.shared import lookup, staged, workspace
+from schemaloom.shipping import ship
 
 #: Bytes after which an archive is closed, before compression. Rounded up to whole records.
 ARCHIVE = 8 << 20
@@ -255,6 +256,7 @@ def archive_round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "u
     comes after all others and gives null refers_to. Url blanks and line ends are percent-encoded; a null url is "-".
     """
     spark = pages.sparkSession
+    ship(spark)
     folder = workspace(spark)
     write_arcs(pages, f"{folder}/arc", page_id, url, html, archive)
     arcs = read_files(spark, f"{folder}/arc")

@@ -108,6 +108,24 @@ def test_reputation_shrinks_and_blocks(spark):
     assert {h for h, v in verdict.items() if v == "block"} == {"bad.a.net", "x.farm.net", "y.farm.net", "z.farm.net", "new.farm.net"}
 
 
+def test_sites_suffixes_and_domains(spark):
+    rows = {"h.net:8080": ("h.net", "net", "h.net"), "u:p@a.h.net:": ("a.h.net", "net", "h.net"), "x.co.uk": ("x.co.uk", "co.uk", "x.co.uk"), "a.x.co.uk.": ("a.x.co.uk", "co.uk", "x.co.uk"),
+            "co.uk": ("co.uk", "co.uk", "co.uk"), "10.0.0.1:80": ("10.0.0.1",) * 3, "[::1]:8080": ("[::1]",) * 3, "1.2.3.4.5": ("1.2.3.4.5", "5", "4.5"), "localhost": ("localhost",) * 3, "": ("",) * 3}
+    site = url_filter.site_of(F.col("host"))
+    got = spark.createDataFrame([(h,) for h in rows], "host string").select("host", site.alias("site")).select("host", "site", *url_filter.suffix_and_domain(F.col("site"))).collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == rows
+
+
+def test_strangers_do_not_share_a_verdict(spark):
+    """Forty bad pages of one host say nothing of another under the same public suffix or in the same network."""
+    urls = [f"http://{h}/" for h in ("a.co.uk", "10.0.0.1", "a.github.io") for _ in range(40)] + ["http://b.co.uk/", "http://9.8.0.1/", "http://b.github.io", "http://c.uk/",
+            "http://w.a.co.uk:81/", "http://me@10.0.0.1:8080/x"] + ["http://good.org/"] * 15
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if i < 120 else 1, 0) for i, u in enumerate(urls) if i < 120 or "good" in u], "doc_id long, quality int, toxic int")
+    got = {r["host"]: r["verdict"] for r in url_filter.url_filter(pages, labels).collect()}
+    assert {h for h, v in got.items() if v == "block"} == {"a.co.uk", "10.0.0.1", "a.github.io", "w.a.co.uk:81", "me@10.0.0.1:8080"}
+
+
 def test_no_urls(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.url_filter(none, spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int")).count() == 0
@@ -180,6 +198,46 @@ def test_odd_texts(spark):
     assert language_id.identify(odd.limit(0), model).count() == 0
 
 
+@has_tables
+def test_short_texts_in_other_languages_are_rejected(spark):
+    """Of pieces of held-out documents, some words long, hardly any; of languages and letters without a model, all."""
+    docs = queries.table(spark, SF, "documents").where("lang IS NOT NULL AND text IS NOT NULL")
+    model = language_id.train(docs.where(~language_id.in_fold(F.col("doc_id"))))
+    foreign = ["oggi il tempo è molto bello", "il gatto dorme sul divano rosso", "xqzvk wprtl jjkqz mnbvc ghtyw", "sabah erken kalkmak iyidir",
+               "Доброе утро, как ваши дела", "今天天气很好我们去公园散步吧", "hyvää huomenta kaikille"]
+    assert all(sum(c.isalpha() for c in t) < 40 for t in foreign)
+    texts = [r["text"] for r in docs.where(language_id.in_fold(F.col("doc_id"))).limit(150).collect()]
+    own = [" ".join(t.split()[2:2 + k]) for t in texts for k in (3, 6, 12, 40, 10**6) if len(t.split()) > 2 + k]
+    both = spark.createDataFrame([(i, t) for i, t in enumerate(foreign + own)], "doc_id long, text string")
+    got = {r["doc_id"]: r["rejected"] for r in language_id.identify(both, model).collect()}
+    assert all(got[i] for i in range(len(foreign)))
+    assert sum(got[i] for i in range(len(foreign), len(got))) <= 0.03 * len(own)
+
+
+def test_scores_and_limits_by_hand():
+    """score: odds under the sharpness; limit: the stated quantile of the pieces' deviations."""
+    counts = [(k, l, g, 3) for l, letters in (("x", "ab"), ("y", "cd")) for k in (1, 2) for g in ([*letters, language_id.EDGE] if k == 1 else [letters, letters[::-1], language_id.EDGE + letters[0], letters[1] + language_id.EDGE])]
+    model = language_id.fit(counts, ["x", "y"], 2)
+    held = [("x", "ab abab ab " * 30), ("x", "abab ab ba " * 20), ("y", "cdcd cd " * 25)]
+    language_id.calibrate(model, held)
+    scorer = language_id.Scorer(model)
+    sums = scorer.texts(["ab ab", "cd", "zz", None, "²"])
+    best, score, z = language_id.judge(model, sums)
+    assert best.tolist()[:2] == [0, 1] and best.tolist()[3:] == [-1, -1] and score.tolist()[3:] == [0, 0]
+    for k in range(3):
+        h = -sums[k, 1:] / sums[k, 0]
+        odds = np.exp(-model.sharpness * (h - h.min()))
+        assert score[k] == pytest.approx(1 / odds.sum())
+        l = best[k]
+        assert z[k] == pytest.approx((h[l] - model.mean[l] - model.slack[l]) / np.sqrt(model.between[l] + model.within[l] / sums[k, 0]))
+    assert language_id._rejected(model, best, z).tolist() == [False, False, bool(z[2] > model.limit[best[2]]), True, True]
+    other = -scorer.texts([held[2][1]])[0]
+    assert model.slack[0] == pytest.approx(language_id.FOREIGN * (other[1] / -other[0] - model.mean[0]))
+    rows = scorer.runs("ab abab x²y")
+    assert rows[:, 0].tolist() == [3, 5, 4] and language_id.words_of("x²y") == ["x", "y"]  # with the end marks
+    assert sorted(language_id.pieces(rows, (4,))[:, 0].tolist()) == [4, 8, 12]
+
+
 # --- pieces ---------------------------------------------------------------------------------------------------------
 
 TEXTS = ["", " ", "  lead and   runs     of spaces ", "a\n\n\tb\r\n", "▁", "a▁b ▁▁ c", "Ünïcödé 😀 漢字 \u0300", "x" * 5000, "aaaa aaab abab", "\x00\x01", "<0x0A><s></s>", "hello world, this is a test."]
@@ -223,6 +281,45 @@ def test_unigram_segmentation_has_the_best_score():
         assert sum(score.get(p, codec.floor) for p in codec._segment(text)) == pytest.approx(best(text))
 
 
+@pytest.mark.skipif(not os.path.exists(sentencepiece_codec.MODEL), reason="no tokenizer file")
+def test_unigram_of_a_real_size():
+    """The 32,000 pieces with scores of their own as a unigram model: the pass finds the best sum that a plain table finds."""
+    v = sentencepiece_codec.read_vocabulary()
+    assert v.bpe and v.dummy_prefix
+    rnd = random.Random(8)
+    scores = [-rnd.uniform(3, 14) - 0.5 * len(p) for p in v.pieces]
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.Vocabulary(v.pieces, scores, v.kinds, False, True))
+    of = {p: scores[i] for p, i in codec.ids.items()}
+    longest = max(map(len, of))
+    words = [p.strip("▁") for p in rnd.sample(v.pieces, 400)]
+    for _ in range(300):
+        text = " ".join(rnd.choice(words) + rnd.choice(["", "ing", "漢", "😀", "."]) for _ in range(rnd.randint(1, 12)))
+        unit = ("▁" + text.replace(" ", "▁"))
+        best = [0.0] + [-1e18] * len(unit)
+        for end in range(1, len(unit) + 1):
+            for start in range(max(0, end - longest), end):
+                s = of.get(unit[start:end], codec.floor if end - start == 1 else None)
+                if s is not None:
+                    best[end] = max(best[end], best[start] + s)
+        ids = codec.encode(text)
+        assert codec.decode(ids) == text
+        assert sum(of.get(p, codec.floor) for p in codec._segment(unit)) == pytest.approx(best[-1])
+        parts = [p for u in codec.units.findall(unit) for p in codec._segment(u)]
+        assert sum(of.get(p, codec.floor) for p in parts) == pytest.approx(best[-1])  # units cut where no piece reaches across
+        assert [i for p in parts for i in ([codec.ids[p]] if p in codec.ids else codec._fallback(p))] == ids
+
+
+def test_only_models_that_leave_texts_alone_are_read(monkeypatch):
+    import sentencepiece
+    assert list(sentencepiece_codec._fields(bytes([8, 150, 1, 18, 2, 65, 66, 29, 0, 0, 0, 0]))) == [(1, 150), (2, b"AB"), (3, bytes(4))]
+    for trainer, normalizer in ((b"\x18\x03", b"\x20\x00"), (b"\x18\x02", b""), (b"\x18\x02", b"\x12\x01x\x20\x00")):
+        raw = bytes([18, len(trainer)]) + trainer + bytes([26, len(normalizer)]) + normalizer
+        fake = type("M", (), {"__init__": lambda self, model_file: None, "serialized_model_proto": lambda self, raw=raw: raw})
+        monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", fake)
+        with pytest.raises(ValueError):
+            sentencepiece_codec.read_vocabulary("x")
+
+
 # --- pipeline -------------------------------------------------------------------------------------------------------
 
 @has_tables
@@ -293,5 +390,5 @@ def test_native_queries_use_no_python(spark):
 @has_tables
 def test_every_operator_is_registered():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
+    assert [n.split("_")[0] for n in names] == [*(f"op{i}" for i in range(1, 14)), "pipeline"]
     F  # noqa: B018
