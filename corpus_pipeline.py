@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from schemaloom.llm import language_id, line_dedup, mixing, sentencepiece_codec, simhash
 from schemaloom.llm.queries import WEIGHTS, domain_of
-from schemaloom.llm.shared import staged
+from schemaloom.llm.shared import quoted, staged
 
 #: Tokens of the mixture as a part of those that are left, in per cent; nothing comes twice after deduplication.
 PERCENT, EPOCHS = 80, 1
@@ -31,7 +31,7 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """All documents, without the lines that many sources share; n_chars follows the text."""
     out = line_dedup.line_dedup(docs)
     changed = F.col("__n_removed") > 0
-    return out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*quoted(docs.columns))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = staged(grouped.groupBy("root").agg(F.min(order).alias("k")).select("k.doc_id", "k.text_hash"))
     mine, k = _keyed(docs), first.select(F.col("doc_id").alias("__k"), F.col("text_hash").alias("__h"))
     on = mine["__id"].eqNullSafe(k["__k"]) & (mine["__text_hash"] == k["__h"])
-    return mine.join(k, on, "left_semi").dropDuplicates(["__id", "__text_hash"]).select(*docs.columns)
+    return mine.join(k, on, "left_semi").dropDuplicates(["__id", "__text_hash"]).select(*quoted(docs.columns))
 
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +60,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", identified), ("line_dedup", without_boilerplate), ("simhash", one_of_each), ("mixing", to_weights),
           ("sentencepiece", encoded)]
-#: Language models and SimHash fingerprints are beyond SQL. No test holds all rows of run() against brute force: the tests run the stages on
-#: the small table and compare the SimHash stage and the decoded text by hand, of the others what is planted and the budget.
+#: Language models and SimHash fingerprints are beyond SQL; tests/llm/test_pipeline.py holds all rows of run() against brute force.
 ORACLE_SQL = None
 
 
