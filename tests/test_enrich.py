@@ -98,3 +98,28 @@ def test_table_name_order_of_preference(spark):
         "name", catalog.canonical_name(F.col("name"), F.col("candidates")).alias("c")).filter("c is not null")
     assert dict(rows(got)) == {"items": "items", "orders": "items", "Orders": "sales", "ORDERS": "items",
                                "Items": "lines", "sales": "sales"}
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_descriptions_are_dealt_out_once_by_database(spark):
+    e = entries(spark, entry(fks=[(1, 2)]), entry("e"))
+    r = spark.createDataFrame([("d", "a", 0, "x", "", "the x"), ("d", "b", 0, "y", "", "the y"), (None, "a", 0, "x", "", "lost")], ROWS)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = enrich.column_descriptions(catalog.columns(e), enrich.description_map(r))
+        assert exchanges(got) == 2  # the rows of the files, and the columns
+        assert rows(got, "db_id", "description") == [("d", ""), ("d", "the x"), ("d", "the y"), ("e", ""), ("e", ""), ("e", "")]
+        c = enrich.enriched_catalog(e, r)
+        fks = enrich.fk_descriptions(catalog.foreign_keys(e), c.described)
+        assert exchanges(fks) == 1 and exchanges(enrich.nested_entries(e, fks, c.described)) == 2  # entries and their keys; no description
+        assert rows(fks, "child_description", "parent_description") == [("the x", "the y")]
+        # a database with two entries has each pair of texts
+        twice = e.unionByName(e.filter("db_id = 'd'"))
+        described = enrich.column_descriptions(catalog.columns(twice), enrich.description_map(r))
+        assert enrich.fk_descriptions(catalog.foreign_keys(twice), described).count() == 8
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
