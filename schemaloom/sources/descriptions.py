@@ -19,13 +19,23 @@ from schemaloom.sources.encodings import read_texts
 ROW_SCHEMA = ("path string, row_no int, original_column_name string, column_name string, "
               "column_description string, error string")
 
+#: Description rows after which a frame is handed over.
+FRAME = 1000
+
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """CSV text to rows by header name, file by file. Cells may be of any length. A file that cannot be read becomes one
-    row with `error` set."""
+    row with `error` set. Small files share a frame of `FRAME` rows or some more."""
     csv.field_size_limit(sys.maxsize)
     names = ["path", "row_no", "original_column_name", "column_name", "column_description", "error"]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=names)
+        out["row_no"] = out["row_no"].astype("Int32")
+        return out
+
     for batch in batches:
+        found = []
         for path, text in zip(batch["path"], batch["text"]):
             try:
                 rows = [(path, i, r.get("original_column_name") or r.get("original"), r.get("column_name"),
@@ -33,9 +43,12 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         for i, r in enumerate(csv.DictReader(io.StringIO(text, newline="")))]
             except csv.Error as e:
                 rows = [(path, None, None, None, None, str(e))]
-            out = pd.DataFrame(rows, columns=names)
-            out["row_no"] = out["row_no"].astype("Int32")
-            yield out
+            found += rows
+            if len(found) >= FRAME:
+                yield frame(found)
+                found = []
+        if found:
+            yield frame(found)
 
 
 def parse_files(texts: DataFrame) -> DataFrame:

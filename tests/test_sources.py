@@ -143,3 +143,11 @@ def test_an_empty_folder_hides_a_later_root(spark, tmp_path):
     dbs = spark.createDataFrame([("shop1",), ("other",)], "db_id string")
     assert rows(flows.description_rows(spark, dbs, roots), "db_id", "column_description") == [("other", "text")]
     assert rows(descriptions.descriptions_by_db(dbs, descriptions.read_description_files(spark, roots[1:2])), "db_id") == [("other",), ("shop1",)]
+
+
+def test_small_description_files_share_a_frame():
+    import pandas as pd
+    texts = ["original_column_name,column_description\r\na,one\r\nb,two", "original_column_name\r\n", ""] * 1000
+    frames = list(descriptions._parse([pd.DataFrame({"path": [str(i) for i in range(3000)], "text": texts})]))
+    assert len(frames) < 10 and sum(map(len, frames)) == 2000
+    assert frames[0].iloc[1].tolist()[:3] == ["0", 1, "b"] and str(frames[0]["row_no"].dtype) == "Int32"
