@@ -242,3 +242,36 @@ def test_a_database_without_tables_keeps_its_questions(spark):
 def test_words_of_sql_are_no_columns(spark):
     item = entry("library", tables=("reader",), columns=((-1, "*"), (0, "end"), (0, "desc")))
     assert nodes(spark, "SELECT CASE WHEN 1 THEN 2 END FROM nowhere ORDER BY 1 DESC", item=item) == []
+
+
+def test_the_columns_of_a_database_go_through_no_shuffle(spark):
+    """Queries meet the lists of their database last. One key asked of two databases has the tables of both."""
+    other = entry("other", tables=("reader",), columns=((-1, "*"), (0, "pages")))
+    c = graph.stored(enrich.enriched_catalog(entries(spark, LIBRARY, other), spark.createDataFrame(TEXTS, ROWS)))
+    q = spark.createDataFrame([(1, "library", "SELECT 1 FROM branch"), (2, "library", "SELECT 1 FROM reader"), (2, "other", "SELECT 1 FROM reader"),
+                               (None, "other", "SELECT 1 FROM reader"), (3, "other", "SELECT 1")], "question_id long, db_id string, SQL string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = graph.gold_records(q, facts_of(spark, q), c)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        free, path = [], []
+        for line in plan.split("\n"):
+            depth = len(line) - len(line.lstrip(" :+-"))
+            while path and path[-1][0] >= depth:
+                path.pop()
+            path.append((depth, line))
+            if "Scan" in line and "lists#" in line:
+                free.append(not any("Exchange" in above for _, above in path))
+        assert any(free)
+        both = "Table reader: pages\nTable reader: reader_id: the unique id, branch_id, joined"
+        assert rows(got, "question_id", "db_id", "context_text") == sorted([
+            (1, "library", "Table branch: branch_id, Aisle"), (2, "library", both), (2, "other", both), (None, "other", ""), (3, "other", "")], key=repr)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_texts_are_dealt_out_by_their_number(spark):
+    log = spark.range(0, 130, 1, 8)
+    assert joins.spread(log, 10).rdd.getNumPartitions() == 13 and joins.spread(log, 10).count() == 130
+    assert joins.spread(log).rdd.getNumPartitions() == 8 == joins.spread(log, 1000).rdd.getNumPartitions()
