@@ -30,6 +30,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Units (a word with the space before it) and neighbours that a task remembers, and the longest unit remembered.
 REMEMBERED, LONGEST = 300_000, 64
+#: Plain letters, as a class of a regular expression, and the marks that may be cut off behind them.
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", "!,.:;?"
 
 
 @dataclass
@@ -103,12 +105,15 @@ class Codec:
         # text may be cut where no piece reaches across
         across = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         line = "\n" if not any("\n" in p for p in self.ids) else ""
-        self.units = re.compile(r"(?s).+") if across else re.compile(f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+" + (f"|{line}" if line else ""))
+        joined = set(re.findall(f"(?<=[{LETTERS}])[{MARKS}]", "\0".join(self.ids)))
+        apart = "".join(c for c in MARKS if c not in joined)
+        word = f"(?:[{LETTERS}]+(?=[{apart}])|[^{SPACE}{line}]+)" if apart else f"[^{SPACE}{line}]+"
+        self.units = re.compile(r"(?s).+") if across else re.compile(f"{SPACE}*{word}|{SPACE}+" + (f"|{line}" if line else ""))
         self.single = {p for p in self.ids if len(p) == 1}
         self.seen: dict[str, array] = {}
         self.before: dict[str, array] = {}  # what was remembered before `seen` was last full
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.follows: dict[int, bool] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}  # of texts, for units with characters that are no pieces
+        self.follows: dict[int, bool] = {}  # of ids
         text = {"byte": lambda p: bytes([int(p[3:5], 16)]), "normal": lambda p: p.replace(SPACE, " ").encode("utf-8", "surrogatepass"),
                 "unknown": lambda p: " ⁇ ".encode(), "control": lambda p: b""}
         self.raw = [text[k](p) for k, p in zip(v.kinds, v.pieces)]
@@ -136,9 +141,12 @@ class Codec:
         if known is None:
             if len(self.pairs) > REMEMBERED:
                 self.pairs.clear()
-            known = self.pairs[(a, b)] = self._merged(a + b) == ([a, b] if a else [b])
+            known = self.pairs[(a, b)] = self._stay(a, b)
         return known
 
+    def _stay(self, a: str, b: str) -> bool:
+        return self._merged(a + b) == ([a, b] if a else [b])
+
     def _segment(self, unit: str) -> list[str]:
         """The pieces of a unit; characters without a piece come alone."""
         n = len(unit)
@@ -187,7 +195,7 @@ class Codec:
             if ok is None:
                 if len(follows) > REMEMBERED:
                     follows.clear()
-                ok = follows[pair] = self._neighbours(pieces[a] if start else "", pieces[i])
+                ok = follows[pair] = self._stay(pieces[a] if start else "", pieces[i])
             if ok:
                 last[end + 1], back[end + 1] = i, start
         out, end = array("i"), len(unit)
@@ -256,33 +264,42 @@ def _decoded(codec: Codec, column: pa.Array) -> pa.Array:
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
     """`docs` with the ids of `text` in a new last column (in place of one of that name). Null texts have null ids."""
-    return _mapped(docs.drop(ids), vocabulary, text, ids, "array<int>", _encoded)
+    return _mapped(docs.drop(ids), vocabulary, text, [(ids, "array<int>", _encoded)])
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """`encoded` with the text of `ids` in a new last column (in place of one of that name). Null ids give null."""
-    return _mapped(encoded.drop(text), vocabulary, ids, text, "string", _decoded)
+    return _mapped(encoded.drop(text), vocabulary, ids, [(text, "string", _decoded)])
+
 
+def _mapped(df: DataFrame, vocabulary: Vocabulary, source: str, steps: list[tuple]) -> DataFrame:
+    """`df` with a new column per step (name, type, how): the first made from `source`, each other from the one before it.
 
-def _mapped(df: DataFrame, vocabulary: Vocabulary, source: str, target: str, kind: str, how) -> DataFrame:
+    All in one pass, so a task has one worker with one codec however many steps there are.
+    """
     ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)  # the model's pieces
-    at, names = df.columns.index(source), [*df.columns, target]
-    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))  # whatever characters the names have
-    schema = plain.withColumn(f"c{len(df.columns)}", F.lit(None).cast(kind)).schema
+    at, names = df.columns.index(source), [*df.columns, *(name for name, _, _ in steps)]
+    out = plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))  # whatever characters the names have
+    for _, kind, _ in steps:
+        out = out.withColumn(f"c{len(out.columns)}", F.lit(None).cast(kind))
+    ways = [how for _, _, how in steps]
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = kept(shared, Codec)
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 b = whole.slice(start, 256)
-                yield pa.RecordBatch.from_arrays([*b.columns, how(codec, b.column(at))], [f"c{k}" for k in range(b.num_columns + 1)])
+                columns, last = [*b.columns], b.column(at)
+                for how in ways:
+                    columns.append(last := how(codec, last))
+                yield pa.RecordBatch.from_arrays(columns, [f"c{k}" for k in range(len(columns))])
 
-    return plain.mapInArrow(mapped, schema).toDF(*names)
+    return plain.mapInArrow(mapped, out.schema).toDF(*names)
 
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids, n_tokens, decoded (the text read back from the ids) per row of `docs`."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    coded = encode(rows, vocabulary).drop("text")
-    return decode(coded, vocabulary).select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "decoded")
+    coded = _mapped(rows, vocabulary, "text", [("ids", "array<int>", _encoded), ("decoded", "string", _decoded)])
+    return coded.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "decoded")

@@ -267,6 +267,22 @@ def test_encode_and_decode_frames(spark):
     assert sentencepiece_codec.encode(docs.limit(0), v).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists(sentencepiece_codec.MODEL), reason="no tokenizer file")
+def test_a_round_trip_is_one_pass_and_words_are_remembered_without_marks(spark):
+    import sentencepiece
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    v = sentencepiece_codec.read_vocabulary()
+    codec = sentencepiece_codec.Codec(v)
+    texts = ["Wqord, Wqord. Wqord", "élan; 3.5 e.g. a.b,c!? x:\n(y).", ".com .. a", "I.B.M.'s", "word." * 40]
+    assert [codec.encode(t) for t in texts] == [lib.encode(t) for t in texts]
+    assert f"{sentencepiece_codec.SPACE}Wqord" in codec.seen and f"{sentencepiece_codec.SPACE}Wqord," not in codec.seen
+    docs = spark.createDataFrame([*enumerate([*texts, "", None])], "doc_id long, text string")
+    trip = sentencepiece_codec.round_trip(docs, v)
+    assert trip._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert [tuple(r) for r in trip.orderBy("doc_id").collect()] == [
+        *((k, lib.encode(t), len(lib.encode(t)), t) for k, t in enumerate([*texts, ""])), (len(texts) + 1, None, 0, None)]
+
+
 def test_unigram_segmentation_has_the_best_score():
     rnd = random.Random(4)
     pieces = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 4))) for _ in range(40)} - {"c"})
