@@ -96,3 +96,32 @@ def test_an_empty_store(spark, tmp_path):
     none = spark.createDataFrame([], "question_id long, split string, db_id string, question_en string, question_ar string, SQL string")
     store = RS.write_store(none, str(tmp_path / "s"), "question_id")
     assert store.record_at(0).count() == store.search("abc").count() == store.list_records().count() == store.db_counts().count() == 0
+
+
+def test_postings_are_lists_of_runs_of_rows(spark, made, monkeypatch):
+    _, store = made
+    kept = store.records().select("split", "block", "idx", RS._text().alias("text")).collect()
+    want = {(r["split"], r["text"][i:i + 3], r["block"], r["idx"] % 32) for r in kept for i in range(len(r["text"]) - 2)}
+    postings = spark.read.parquet(f"{store.folder}/postings").selectExpr("CAST(split AS string) AS split", "gram", "block", "at").collect()
+    missing = lambda s: None if s == "__HIVE_DEFAULT_PARTITION__" else s
+    assert {(missing(r["split"]), r["gram"], r["block"], at) for r in postings for at in r["at"]} == want
+    assert len(postings) < len(want) / 3  # no row per piece and text
+    monkeypatch.setattr(RS, "LETTERS", 50)
+    made_of = lambda rows: {(b, g, a) for x in RS._posted(iter([RS.pa.RecordBatch.from_arrays(
+        [RS.pa.array(c) for c in zip(*rows)], ["split", "block", "at", "text"])])) for b, g, at in zip(x["block"].to_pylist(), x["gram"].to_pylist(), x["at"].to_pylist()) for a in at}
+    rows_ = [("a", k // 3, k % 3, t.encode()) for k, t in enumerate(["x" * 60 + "yz" * 40, "", "ab", "日本語" * 30, "abc", "q"])]
+    assert made_of(rows_) == {(b, t.decode()[i:i + 3], at) for _, b, at, t in rows_ for i in range(len(t.decode()) - 2)}
+
+
+def test_texts_with_very_many_characters_are_taken_in_halves(monkeypatch):
+    whole = RS.grams
+
+    def small(texts):
+        if len(texts) > 1:
+            raise OverflowError
+        return whole(texts)
+
+    monkeypatch.setattr(RS, "grams", small)
+    texts = ["abcd", "", "bcde", "abc", "日本語"]
+    got = {(g, k) for b in RS._lists("a", 0, [0, 1, 2, 3, 4], texts) for g, at in zip(b["gram"].to_pylist(), b["at"].to_pylist()) for k in at}
+    assert got == {(t[i:i + 3], k) for k, t in enumerate(texts) for i in range(len(t) - 2)}
