@@ -232,6 +232,25 @@ def test_neighbourhoods_of_any_depth(spark, monkeypatch):
     assert dict(rows(chunks))[100] == 43 and max(len(r["neighbours"]) for r in lists.collect()) < 40
 
 
+def test_tasks_of_a_neighbourhood_follow_the_rows(spark, monkeypatch):
+    """With two shuffle partitions, no task joins or groups more than its share, with hot hubs or without."""
+    pairs = [(i % 40, 1000 + i % 300) for i in range(2400)] + [(7, 2000 + i) for i in range(300)]
+    v = spark.createDataFrame([(i,) for i in range(40)], "vertex int")
+    e = spark.createDataFrame([*pairs, (None, 1), (2, None)], "src int, dst int")
+    o = spark.createDataFrame([(7,), (8,)], "vertex int")
+    want = rows(graph.neighbourhoods(v, e, o, 3, chunk=7))
+    assert len(want) > 300
+    monkeypatch.setattr(joins, "ROWS", 100)
+    for rows_of_a_hot_key, few in ((10_000, 0), (10, 0), (10, 50_000)):
+        monkeypatch.setattr(joins, "HOT_ROWS", rows_of_a_hot_key)
+        monkeypatch.setattr(graph, "FEW_LISTS", few)
+        assert rows(graph.neighbourhoods(v, e, o, 3, chunk=7)) == want
+        lists = graph.adjacency(e, 7)[1]
+        assert len(lists.inputFiles()) > 20
+        assert {(r["vertex"], b) for r in lists.collect() for b in r["neighbours"]} == {
+            (a, b) for x, y in pairs + [(None, 1), (2, None)] for a, b in ((x, y), (y, x)) if a is not None and b is not None}
+
+
 def test_a_database_without_tables_keeps_its_questions(spark):
     bare = entry("library", tables=(), columns=())
     q = graph.in_catalog(log(spark, "SELECT 1 FROM reader"), library(spark, bare))
