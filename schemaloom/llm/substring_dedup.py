@@ -153,20 +153,20 @@ def _spread(packed: DataFrame, window: int, run: int, crowded: int) -> DataFrame
     """`packed` (staged) with buckets of over `crowded` windows in different strings cut again until there are none.
 
     Each round uses up one run of the window, so there are fewer rounds than runs in a window. Windows left together
-    then have the same set of runs, that is, the same words but for the order of repeats.
+    then have the same set of runs, that is, the same words but for the order of repeats. There is at most one full bucket
+    to `crowded` windows, so they are broadcast: a round shuffles no strings, and what it leaves is read as it was written.
     """
     out = None
     while True:
         strings = (packed.where(F.col("last") != int(_NONE.astype(np.int64))).groupBy("minimiser", "string_hash")
-                   .agg(F.first("size").alias("size"), F.count("*").alias("n")))
-        full = staged(strings.groupBy("minimiser").agg(F.sum("size").alias("windows"), F.sum("n").alias("n"))
-                      .where(F.col("windows") > crowded).select("minimiser", "n", F.lit(True).alias("full")))
+                   .agg(F.first("size").alias("size")))
+        full = staged(strings.groupBy("minimiser").agg(F.sum("size").alias("windows"))
+                      .where(F.col("windows") > crowded).select("minimiser"))
         if full.isEmpty():
             return packed if out is None else out.unionByName(packed)
-        marked = lookup(packed, full, ["minimiser"], "n", packed.count())
-        rest = marked.where("full IS NULL").drop("full")
+        rest = packed.join(F.broadcast(full), "minimiser", "left_anti")
         out = rest if out is None else out.unionByName(rest)
-        packed = staged(_cut_again(marked.where("full"), window, run))
+        packed = staged(_cut_again(packed.join(F.broadcast(full), "minimiser", "left_semi"), window, run))
 
 
 def _least_documents(strings: DataFrame, window: int) -> DataFrame:
@@ -246,7 +246,8 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     strings = packed.groupBy("minimiser", "packed", "string_hash").agg(F.min("doc").alias("doc"), F.count("*").alias("n"))
     least = staged(_least_documents(strings, window))
     places = packed.select("minimiser", "string_hash", "doc", "text_hash", "start")
-    again = (lookup(places, least, ["minimiser", "string_hash"], "n", places.count(), "inner")
+    n_places = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # each string is in `least` with the number of its places
+    again = (lookup(places, least, ["minimiser", "string_hash"], "n", n_places, "inner")
              .select("doc", "text_hash", "start", F.posexplode("least").alias("i", "first")).where("first < doc")
              .groupBy("doc", "text_hash").agg(F.collect_set(F.col("start") + F.col("i")).alias("starts")))
     left = _without(suspects.drop("kmers").join(again, ["doc", "text_hash"]), window)

@@ -296,6 +296,24 @@ def test_substring_dedup_of_a_run_between_different_words(spark, monkeypatch, sh
     assert max(map(len, windows.values())) <= 200
 
 
+def test_substring_dedup_cuts_crowded_buckets_without_a_shuffle(spark):
+    """Rounds shuffle no strings, however many there are, and each is read once in what they leave."""
+    rnd = random.Random(24)
+    word = lambda: f"w{rnd.randrange(10**6)}".encode()
+    passage, out = [word() for _ in range(24)], []
+    for d in range(80):
+        words = [*(word() for _ in range(40)), *passage, *(word() for _ in range(40))]
+        for m, s, k in zip(*(x.tolist() for x in substring_dedup.super_kmers(words, 50, 12))):
+            out.append((m, b" ".join(words[s:s + k + 49]), d, d, s, k, m))
+    packed = spark.createDataFrame(out, substring_dedup._PACKED).withColumn("string_hash", F.unhex(F.md5("packed")))
+    got = substring_dedup._spread(substring_dedup.staged(packed), 50, 12, 200)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    scans = plan.count("FileScan")
+    assert "hashpartitioning" not in plan and scans > 1 and plan.count("BroadcastExchange") == scans // 2
+    windows = lambda rows: sorted((r["doc"], r["start"] + i) for r in rows for i in range(r["size"]))
+    assert windows(got.collect()) == windows(packed.collect())
+
+
 def test_super_k_mers_hold_each_window_once():
     words = [f"w{i % 37 * i}".encode() for i in range(500)]
     _, start, size = substring_dedup.super_kmers(words, 50, 12)
