@@ -294,3 +294,25 @@ def test_texts_are_dealt_out_by_their_number(spark):
     log = spark.range(0, 130, 1, 8)
     assert joins.spread(log, 10).rdd.getNumPartitions() == 13 and joins.spread(log, 10).count() == 130
     assert joins.spread(log).rdd.getNumPartitions() == 8 == joins.spread(log, 1000).rdd.getNumPartitions()
+
+
+def test_records_over_written_graphs(spark):
+    """Graphs are written once; records over them read neither log texts nor lookups again, and links no columns."""
+    other = entry("other", tables=("reader",), columns=((-1, "*"), (0, "pages")))
+    c = graph.stored(enrich.enriched_catalog(entries(spark, LIBRARY, other), spark.createDataFrame(TEXTS, ROWS)))
+    alone = [(i, "library", s) for i, (s, _, _) in enumerate(CASES)] + [(None, "other", "SELECT 1 FROM reader")]
+    for asked in (alone, [*alone, (1, "other", "SELECT 1 FROM reader")]):  # a key of two databases as well
+        q = spark.createDataFrame(asked, "question_id long, db_id string, SQL string")
+        facts = facts_of(spark, q)
+        graphs = sinks.staged(graph.gold_graphs(q, facts, c), sinks.shared_folder(spark))
+        done, want = graph.gold_records(q, facts, c, graphs=graphs), graph.gold_records(q, facts, c)
+        assert rows(done) == rows(want) and len(rows(done)) == len(asked)
+        plan = browse.view_links(done)._jdf.queryExecution().executedPlan().toString()
+        assert "words#" not in plan and "lists#" not in plan
+        assert rows(browse.view_links(done)) == rows(browse.view_links(want))
+
+
+def test_words_of_a_table_name_are_read_once(spark):
+    words = graph.table_words(library(spark))
+    assert words._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert ("library", "branch", "branch", 1) in rows(words, "db_id", "word", "table_name", "n_words")
